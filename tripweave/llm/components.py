@@ -1,0 +1,44 @@
+"""Connected components of a graph given as a table of links."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tripweave.llm.storage import written
+
+
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, component) of every node that has a link; component is its smallest node.
+
+    Rounds of large-star and small-star: each node's links are moved to the
+    smallest of its neighbours until every component is one star. A round costs
+    two aggregations and two joins on the links left; the number of rounds grows
+    with the logarithm of the longest path. Each round is written to the shared
+    folder. No group of links is ever gathered in one row; the joins are
+    plain sort-merge joins, whose hot keys adaptive execution splits.
+
+    Self links and nulls are ignored; repeated links count once.
+    """
+    links = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
+    before = None
+    while True:
+        links = written(_small_star(_large_star(links)), "stars")
+        state = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if state == before:
+            return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(links.select("v", "v").distinct())
+        before = state
+
+
+def _large_star(links: DataFrame) -> DataFrame:
+    """Each node's larger neighbours are linked to the smallest node around it."""
+    around = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    return around.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+
+
+def _small_star(links: DataFrame) -> DataFrame:
+    """Each node and its smaller neighbours are linked to the smallest of them."""
+    least = links.groupBy("u").agg(F.min("v").alias("m"))
+    moved = links.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()

@@ -1,0 +1,53 @@
+"""Intermediate tables in the folder that all machines of a cluster share."""
+
+from __future__ import annotations
+
+import atexit
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_folders: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A folder of this application below spark.checkpoint.dir.
+
+    Only where no such folder is set (tests, one machine) a temporary one is
+    made. It is deleted when the driver's Python ends.
+    """
+    app = spark.sparkContext.applicationId
+    if app not in _folders:
+        root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+        if not root:
+            root = "file://" + tempfile.mkdtemp(prefix="shared-")
+            spark.sparkContext.setCheckpointDir(root)
+        folder = f"{root.rstrip('/')}/tables-{uuid.uuid4().hex}"
+        _folders[app] = folder
+        atexit.register(_drop, spark, folder)
+    return _folders[app]
+
+
+def _drop(spark: SparkSession, folder: str) -> None:
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # the JVM is gone already
+        return
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written once as Parquet to the shared folder and read from there.
+
+    This cuts the lineage: what reads the result survives the loss of any
+    executor, and nothing upstream is worked out twice.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
