@@ -45,7 +45,7 @@ def named(rows: DataFrame, values: list[str], spread: list[str], total: int, nam
     return cold.union(rows.filter(is_hot).join(ranks, ["_bucket", "_salt", "_rank"]).select(*outer, label(F.col("_whole"))))
 
 
-def text_identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def text_identities(docs: DataFrame, id_col: str | Column = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(id, sha, rows, level, name): (level, name) is equal exactly for equal texts.
 
     Texts are cut into blocks of block_bytes (the last may be shorter), the sorted blocks
@@ -53,7 +53,7 @@ def text_identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     agree in id and text come together in one row that counts them.
     """
     body = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    texts = docs.select(F.col(id_col).alias("id"), body.alias("body"))
+    texts = docs.select((F.col(id_col) if isinstance(id_col, str) else id_col).alias("id"), body.alias("body"))
     total, longest = texts.agg(F.sum(F.greatest(F.lit(1), F.ceil(F.octet_length("body") / block_bytes))), F.max(F.octet_length("body"))).first()
     blocks = F.greatest(F.lit(1), F.ceil(F.octet_length("body") / block_bytes).cast("int"))
     rows = texts.select("id", F.unhex(F.sha2("body", 256)).alias("sha"), "body", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("pos"), blocks.alias("blocks"))
@@ -72,19 +72,27 @@ def text_identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rows = named(pairs, ["one", "two"], ["id", "pos"], pairs.count(), "name")
 
 
+def exact_groups(docs: DataFrame, id_col: str | Column = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(id, sha, rows, keep_id, group_size): one row for each different pair of id and text, `rows` of which docs has.
+
+    id_col may also be a column of its own, such as a struct.
+    """
+    found = written(text_identities(docs, id_col, text_col, block_bytes), "identities")
+    groups = found.groupBy("level", "name").agg(F.max("id").alias("keep_id"), F.sum("rows").alias("group_size"))
+    return found.join(groups, ["level", "name"]).select("id", "sha", "rows", "keep_id", "group_size")
+
+
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per row of docs: id_col, keep_id, group_size (long), kept, text_sha256.
 
     Texts are equal when their UTF-8 bytes are; a null text counts as empty. Of
-    each group of equal texts, the row with the largest id is kept (a null id is the smallest). Rows that repeat both
-    id and text each count and are each returned, and one of them can be kept. Other columns aren't read.
+    each group of equal texts, the row with the largest id is kept (a null id only if there is no other). Rows that
+    repeat both id and text each count and are each returned, and one of them can be kept. Other columns aren't read.
 
     The texts move once, as blocks; all later steps move a few numbers and a
     digest per document. Groups are counted with partial aggregates and joined
     back by a plain join, whose hot keys adaptive execution splits.
     """
-    found = written(text_identities(docs, id_col, text_col, block_bytes), "identities")
-    groups = found.groupBy("level", "name").agg(F.max("id").alias("keep_id"), F.sum("rows").alias("group_size"))
-    rows = found.join(groups, ["level", "name"]).select("*", F.explode(F.sequence(F.lit(1).cast("long"), "rows")).alias("copy"))
-    kept: Column = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)
+    rows = exact_groups(docs, id_col, text_col, block_bytes).select("*", F.explode(F.sequence(F.lit(1).cast("long"), "rows")).alias("copy"))
+    kept = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)
     return rows.select(F.col("id").alias(id_col), "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripweave.llm.storage import written
@@ -42,14 +42,15 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return sources.select("source", "source_size", target.cast("double").alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most_epochs: float = MOST_EPOCHS, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, id_col: str | Column = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most_epochs: float = MOST_EPOCHS, seed: int = SEED) -> DataFrame:
     """Each row's share in the mix: id_col, source, size, source_size, target, copies, taken.
 
     size counts words (a null text has none). A source with a target of r times its
     size takes floor(r) copies of each of its documents, and one more of those that come
     first in a seeded order, as long as the words still fit; then the one document
     left whose size is nearest to what is still missing, if that brings it nearer.
-    Rows that repeat a document count as documents of their own. A null source is a source.
+    Rows that repeat a document count as documents of their own. A null source is a source. id_col
+    may be a column of its own, such as a struct (then named id).
 
     The texts are read once. The seeded order is never sorted as a whole: sizes
     are summed by source and hash bucket, so only the one bucket of a source in
@@ -57,8 +58,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     a bucket of it.
     """
     words = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    drawn = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))), 1, 8), 16, 10).cast("long")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words.alias("size"), drawn.alias("draw"))
+    key = F.col(id_col) if isinstance(id_col, str) else id_col
+    drawn = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(key.cast("string"), F.lit("null")))), 1, 8), 16, 10).cast("long")
+    rows = docs.select(key.alias("id"), F.col(source_col).alias("source"), words.alias("size"), drawn.alias("draw"))
     rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "sizes")  # the number is fixed from here on
     rows = rows.withColumn("bucket", F.shiftright("draw", 32 - BUCKET_BITS))
 
@@ -87,4 +89,4 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     last = left.groupBy("s").agg(F.min(F.struct("off", "draw", "id", "size", "row"))["row"].alias("last_row")).select("last_row")
     rows = rows.join(last, F.col("row") == F.col("last_row"), "left")
     copies = F.col("whole") + (F.col("more") | F.col("last_row").isNotNull()).cast("long")
-    return rows.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+    return rows.select(F.col("id").alias(id_col if isinstance(id_col, str) else "id"), "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))

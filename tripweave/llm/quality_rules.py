@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripweave.llm.storage import written
@@ -21,15 +21,15 @@ RULES = {
 }
 
 
-def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """(id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, base_failed) of whole texts.
+def measures(docs: DataFrame, kept: Column, text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """(kept, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, base_failed) of whole texts.
 
-    Everything is worked out within a row: repeated windows are found by sorting the
+    kept is a column of docs to take along, such as the id or a struct of them all. Everything is worked out within a row: repeated windows are found by sorting the
     hashes of a text's windows (64 bits) with their places, and only in texts that have
     any. Time grows with the length times its logarithm.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), text.alias("text"))
+    rows = docs.select(kept.alias("kept"), F.col(host_col).alias("host"), text.alias("text"))
     rows = rows.withColumns({
         "words": F.array_remove(F.split("text", SPACE), ""),
         "lines": F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD_START)),
@@ -88,17 +88,24 @@ def beta_prior(mean: float | None, variance: float | None) -> tuple[float, float
     return mean * strength, (1 - mean) * strength
 
 
+def judged(docs: DataFrame, kept: Column, text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """The columns of measures() with host_rejected and passed: neither the document nor its host was rejected.
+
+    The measured rows are written once; rejected hosts are joined back by a plain join that
+    adaptive execution may broadcast when they turn out few, or split where one host is hot.
+    """
+    rows = written(measures(docs, kept, text_col, host_col), "measures")
+    bad = host_verdicts(rows).filter("host_rejected").select(F.col("host").alias("bad_host"), F.lit(True).alias("bad"))
+    rows = rows.join(bad, F.col("host").eqNullSafe(F.col("bad_host")), "left").withColumn("host_rejected", F.coalesce("bad", F.lit(False)))
+    return rows.drop("bad_host", "bad").withColumn("passed", ~F.col("base_failed") & ~F.col("host_rejected"))
+
+
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """Each row's measures and verdict: id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_lines, host_rejected.
 
     A null text counts as empty (no words: base_failed); rows without a host are
-    one host; repeated rows are judged alike. kept is false if the
-    document fails the base rules or its host is rejected. The measured rows are
-    written once; hosts are joined back by a plain join that adaptive execution
-    may broadcast when the hosts turn out few, or split where one host is hot.
+    one host; repeated rows are judged alike; other columns aren't read. kept is false if the
+    document fails the base rules or its host is rejected.
     """
-    rows = written(measures(docs, id_col, text_col, host_col), "measures")
-    bad = host_verdicts(rows).filter("host_rejected").select(F.col("host").alias("bad_host"), F.lit(True).alias("host_rejected"))
-    rows = rows.join(bad, F.col("host").eqNullSafe(F.col("bad_host")), "left")
-    rejected = F.coalesce("host_rejected", F.lit(False))
-    return rows.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~rejected).alias("kept"), "n_lines", rejected.alias("host_rejected"))
+    rows = judged(docs, F.col(id_col), text_col, host_col)
+    return rows.select(F.col("kept").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("passed").alias("kept"), "n_lines", "host_rejected")

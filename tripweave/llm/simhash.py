@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripweave.llm.components import components
@@ -40,7 +40,7 @@ def fingerprint(text: bytes | None, shingle_words: int = SHINGLE_WORDS) -> int:
     return int.from_bytes(np.packbits(ones * 2 > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str | Column = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """(id, fp): each row's fingerprint as a signed 64-bit integer. Null texts count as empty (0)."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,7 +49,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = np.array([fingerprint(t.as_py(), shingle_words) for t in texts], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["id", "fp"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select((F.col(id_col) if isinstance(id_col, str) else id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(kernel, f"id {rows.schema['id'].dataType.simpleString()}, fp long")
 
 
@@ -173,6 +173,17 @@ def links(distinct: DataFrame) -> DataFrame:
     return pairs.union(around.join(centre, "near").filter("fp <> b").select(F.col("fp").alias("a"), "b").distinct())
 
 
+def near_components(docs: DataFrame, id_col: str | Column = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS) -> DataFrame:
+    """(id, fp, component_id, component_size) of each row; id_col may be a column of its own, such as a struct."""
+    rows = written(fingerprints(docs, id_col, text_col, shingle_words), "fingerprints")
+    distinct = written(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "distinct")
+    named = components(links(distinct.select("fp")))
+    parts = distinct.join(named, distinct.fp == named.node, "left").select("fp", "least", "n", F.coalesce("component", "fp").alias("component"))
+    whole = parts.groupBy("component").agg(F.min("least").alias("component_id"), F.sum("n").alias("component_size"))
+    ids = written(parts.select("fp", "component").join(whole, "component").select("fp", "component_id", "component_size"), "components")
+    return rows.join(ids, "fp").select("id", "fp", "component_id", "component_size")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """Each document's fingerprint and the component of linked documents it belongs to.
 
@@ -184,10 +195,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     never the smallest unless a component has no other. Other columns are not
     read. Texts are hashed once; after that only 16 bytes a document move.
     """
-    rows = written(fingerprints(docs, id_col, text_col, shingle_words), "fingerprints")
-    distinct = written(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "distinct")
-    named = components(links(distinct.select("fp")))
-    parts = distinct.join(named, distinct.fp == named.node, "left").select("fp", "least", "n", F.coalesce("component", "fp").alias("component"))
-    whole = parts.groupBy("component").agg(F.min("least").alias("component_id"), F.sum("n").alias("component_size"))
-    ids = written(parts.select("fp", "component").join(whole, "component").select("fp", "component_id", "component_size"), "components")
-    return rows.join(ids, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component_size")
+    rows = near_components(docs, id_col, text_col, shingle_words)
+    return rows.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component_size")
