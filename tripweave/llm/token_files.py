@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tripweave.llm import encoders
 from tripweave.llm.chunks import slices
-from tripweave.llm.storage import new_path, written
+from tripweave.sources.shared import new_path, written
 
 MAGIC = b"TWTOKEN1"
 BUCKET_KEYS = 4
