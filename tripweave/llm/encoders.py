@@ -12,6 +12,7 @@ import functools
 import os
 import unicodedata
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -84,7 +85,7 @@ class Encoder:
         else:
             text = "".join([c.lower() for c in unicodedata.normalize("NFC", chunk)])
         words = self.words
-        return np.array([i for w in self.pattern.findall(text) for i in words[w]], np.uint32).tobytes()
+        return array("I", [i for w in self.pattern.findall(text) for i in words[w]]).tobytes()
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)

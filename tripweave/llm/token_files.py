@@ -15,6 +15,8 @@ in the shard, and the slot names the documents, whose ids are one slice.
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import json
 from collections.abc import Iterator
 
@@ -31,8 +33,7 @@ from tripweave.llm.chunks import slices
 from tripweave.sources.shared import new_path, written
 
 MAGIC = b"TWTOKEN1"
-BUCKET_KEYS = 4
-_MASK = (1 << 64) - 1
+BUCKET_KEYS = 2
 
 
 def key_bytes(key) -> bytes:
@@ -40,11 +41,17 @@ def key_bytes(key) -> bytes:
     return b"\xff" if key is None else str(key).encode()
 
 
-def _slot(h: int, displacement: int, slots: int) -> int:
-    z = (h + displacement * 0x9E3779B97F4A7C15) & _MASK
-    z = ((z ^ (z >> 30)) * 0xBF58476D1CE4E5B9) & _MASK
-    z = ((z ^ (z >> 27)) * 0x94D049BB133111EB) & _MASK
-    return (z ^ (z >> 31)) % slots
+#: Displacements that are tried at once.
+_TRIES = np.arange(64, dtype=np.uint64)
+_STEP, _MIX1, _MIX2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+_S30, _S27, _S31 = (np.uint64(x) for x in (30, 27, 31))
+
+
+def _slots(keyed: np.ndarray, slots: int) -> np.ndarray:
+    """Slots of numbers that join a key's hash and a displacement."""
+    z = (keyed ^ (keyed >> _S30)) * _MIX1
+    z = (z ^ (z >> _S27)) * _MIX2
+    return ((z ^ (z >> _S31)) % np.uint64(slots)).astype(np.int64)
 
 
 class PerfectHash:
@@ -74,32 +81,37 @@ class PerfectHash:
         for h in hashes:
             buckets[(h >> 32) % len(buckets)].append(h)
         displace = np.zeros(len(buckets), np.int32)
-        taken = bytearray(n)
-        order = sorted(range(len(buckets)), key=lambda b: -len(buckets[b]))
+        taken = np.zeros(n, bool)
         free = None
-        for b in order:
-            own = buckets[b]
-            if not own:
+        for b in sorted(range(len(buckets)), key=lambda b: -len(buckets[b])):
+            if not buckets[b]:
                 break
-            if len(own) == 1:
-                free = free or iter([s for s in range(n) if not taken[s]])
+            if len(buckets[b]) == 1:
+                free = free or iter(np.flatnonzero(~taken).tolist())
                 displace[b] = -1 - next(free)
                 continue
-            for d in range(1 << 20):
-                places = {_slot(h, d, n) for h in own}
-                if len(places) == len(own) and not any(taken[p] for p in places):
-                    break
+            own = np.array(buckets[b], np.uint64)
+            for base in range(0, 1 << 20, len(_TRIES)):
+                places = _slots(own[:, None] + (_TRIES + np.uint64(base)) * _STEP, n)
+                for d in np.flatnonzero(~taken[places].any(axis=0)):
+                    if len(set(places[:, d].tolist())) == len(own):
+                        break
+                else:
+                    continue
+                break
             else:
                 return None
-            displace[b] = d
-            for p in places:
-                taken[p] = 1
+            displace[b] = base + d
+            taken[places[:, d]] = True
         return displace
 
-    def slot(self, key: bytes) -> int:
-        h = xxhash.xxh64_intdigest(key, self.seed)
-        d = int(self.displace[(h >> 32) % len(self.displace)])
-        return -1 - d if d < 0 else _slot(h, d, self.slots)
+    def slots_of(self, keys: list[bytes]) -> np.ndarray:
+        """Each key's slot; a key that isn't one of those the hash was built of gets some slot too."""
+        if not keys or not self.slots:
+            return np.zeros(len(keys), np.int64)
+        hashes = np.array([xxhash.xxh64_intdigest(k, self.seed) for k in keys], np.uint64)
+        d = self.displace[((hashes >> np.uint64(32)) % np.uint64(len(self.displace))).astype(np.int64)].astype(np.int64)
+        return np.where(d < 0, -1 - d, _slots(hashes + np.maximum(d, 0).astype(np.uint64) * _STEP, self.slots))
 
 
 def _fingerprint(key: bytes) -> int:
@@ -129,8 +141,8 @@ class ShardWriter:
             first.setdefault(key, [place, 0])[1] += 1
         index = PerfectHash.build(list(first))
         slots = np.zeros((len(first), 3), "<u8")
-        for key, (place, n) in first.items():
-            slots[index.slot(key)] = (_fingerprint(key), place, n)
+        for slot, (key, (place, n)) in zip(index.slots_of(list(first)), first.items(), strict=True):
+            slots[slot] = (_fingerprint(key), place, n)
         tokens = int(ends[-1]) if len(ends) else 0
         footer = json.dumps({"ids": self.dtype, "tokens": tokens, "documents": len(ends), "buckets": len(index.displace), "slots": len(slots), "seed": index.seed}).encode()
         for part in (ends.tobytes(), index.displace.astype("<i4").tobytes(), slots.tobytes(), footer, len(footer).to_bytes(8, "little"), MAGIC):
@@ -167,16 +179,16 @@ class ShardReader:
         start = int(self.ends[place - 1]) if place else 0
         return self._array(self.about["ids"], int(self.ends[place]) - start, start * self.width)
 
-    def places(self, key) -> range:
-        """The key's documents, by place in the shard; none if it is not there."""
-        name = key_bytes(key)
+    def places(self, keys: list) -> list[range]:
+        """Each key's documents, by place in the shard; none if it is not there."""
         if not len(self.slots):
-            return range(0)
-        fingerprint, place, n = map(int, self.slots[self.index.slot(name)])
-        return range(place, place + n) if fingerprint == _fingerprint(name) else range(0)
+            return [range(0)] * len(keys)
+        names = [key_bytes(k) for k in keys]
+        rows = self.slots[self.index.slots_of(names)].tolist()
+        return [range(p, p + n) if f == _fingerprint(name) else range(0) for name, (f, p, n) in zip(names, rows, strict=True)]
 
     def documents(self, key) -> list[np.ndarray]:
-        return [self.ids(p) for p in self.places(key)]
+        return [self.ids(p) for p in self.places([key])[0]]
 
 
 def write_token_files(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end: int = 0, folder: str | None = None) -> DataFrame:
@@ -231,28 +243,29 @@ def read_token_files(manifest: DataFrame, docs: DataFrame, id_col: str = "doc_id
     sort_key = lambda x: (x is not None, x)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import bisect
-
         lasts = [sort_key(r[3]) for r in ranges]
         reader, at = None, None
         for batch in batches:
             rows = {"id": [], "start": [], "n_tokens": [], "ids_crc32": [], "ids": []}
-            for key in batch.column(0).to_pylist():
-                k = bisect.bisect_left(lasts, sort_key(key))
-                if k == len(ranges) or sort_key(ranges[k][2]) > sort_key(key):
+            held = 0
+            for k, own in itertools.groupby(batch.column(0).to_pylist(), lambda key: bisect.bisect_left(lasts, sort_key(key))):
+                if k == len(ranges):
                     continue
                 if k != at:
                     reader, at = ShardReader(ranges[k][1]), k
-                for place in reader.places(key):
-                    ids = reader.ids(place)
-                    rows["id"].append(key)
-                    rows["start"].append(ranges[k][4] + (int(reader.ends[place - 1]) if place else 0))
-                    rows["n_tokens"].append(len(ids))
-                    rows["ids_crc32"].append(encoders.crc32(ids))
-                    rows["ids"].append(ids.astype(np.int32) if with_ids else [])
-                if sum(rows["n_tokens"]) > 1 << 21:
-                    yield _found(rows, batch.schema.field(0).type)
-                    rows = {k: [] for k in rows}
+                keys = list(own)
+                for key, found in zip(keys, reader.places(keys), strict=True):
+                    for place in found:
+                        ids = reader.ids(place)
+                        rows["id"].append(key)
+                        rows["start"].append(ranges[k][4] + (int(reader.ends[place - 1]) if place else 0))
+                        rows["n_tokens"].append(len(ids))
+                        rows["ids_crc32"].append(encoders.crc32(ids))
+                        rows["ids"].append(ids.astype(np.int32) if with_ids else [])
+                        held += len(ids)
+                        if held > 1 << 21:
+                            yield _found(rows, batch.schema.field(0).type)
+                            rows, held = {k: [] for k in rows}, 0
             yield _found(rows, batch.schema.field(0).type)
 
     keys = docs.select(F.col(id_col).alias("id")).distinct()
