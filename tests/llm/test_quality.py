@@ -1,0 +1,162 @@
+from __future__ import annotations
+
+import re
+from collections import Counter
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from tripweave.llm import language, mixing, oracles, quality_model, quality_rules, queries, secret_scan
+
+
+def plain_measures(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    windows = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
+    covered = {i + k for i in range(len(words) - 7) if windows[tuple(words[i : i + 8])] > 1 for k in range(8)}
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    n, r = len(words), len(covered)
+    return n, sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), r, n < 20 or 100 * r > 30 * n
+
+
+def same(a, b):
+    return sorted(map(str, a)) == sorted(map(str, b))
+
+
+def test_rules_by_brute_force(docs, texts):
+    found = quality_rules.quality_rules(docs).collect()
+    got = {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in found}
+    assert got == {i: plain_measures(t) for i, t in texts.items()}
+    assert all(r.kept == (not r.base_failed) for r in found)  # no host is bad here
+
+
+def test_a_bad_host_takes_its_documents_along(spark):
+    good, bad = "a b c d e f g h i j k l m n o p q r s t u v", "short"
+    rows = [(k, good if k % 10 or k < 40 else bad, f"h{k // 20}") for k in range(200)] + [(1000 + k, bad if k < 38 else good, "spam") for k in range(40)]
+    found = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert not found[1039].kept and not found[1039].base_failed and found[1039].host_rejected
+    assert all(found[k].kept == (rows[k][1] == good) for k in range(200))
+
+
+def test_beta_prior():
+    a, b = quality_rules.beta_prior(0.1, 0.01)
+    assert a / (a + b) == pytest.approx(0.1) and a + b == pytest.approx(8)
+    assert quality_rules.beta_prior(0.0, 0.0) == (0.0, 1000.0) and quality_rules.beta_prior(None, None) == (0.0, 1000.0)
+
+
+def test_rules_on_odd_rows(odd, odd_rows, none):
+    found = quality_rules.quality_rules(odd).collect()
+    expected = Counter((r[0], plain_measures(r[1])) for r in odd_rows)
+    assert Counter((r.doc_id, (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed)) for r in found) == expected
+    assert quality_rules.quality_rules(none).count() == 0
+
+
+@pytest.mark.parametrize("name", ["op5_quality_rules", "op6_exact_dedup", "op9_mix"])
+def test_queries_agree_with_their_sql(spark, sf_dir, name):
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{sf_dir}/documents.parquet'")
+    sql = con.execute(queries.oracle_sql()[name])
+    names = sorted(c[0] for c in sql.description)
+    expected = [tuple(r[[c[0] for c in sql.description].index(n)] for n in names) for r in sql.fetchall()]
+    got = [tuple(r[n] for n in names) for r in queries.queries()[name](spark, sf_dir).collect()]
+    rounded = lambda rows: [tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in rows]
+    assert same(rounded(got), rounded(expected))
+
+
+def test_targets_fill_up_to_caps(spark):
+    rows = [("a", 100), ("b", 10), ("c", 1000), (None, 50)]
+    found = {r.source: r for r in mixing.targets(spark.createDataFrame(rows, "source string, size long")).collect()}
+    # weights 3, 1, 2, 3: a, b and null stop at 200, 20 and 100, and c takes the rest of 1740
+    assert {k: v.target for k, v in found.items()} == {"a": 200, "b": 20, None: 100, "c": pytest.approx(1740 - 320)}
+
+
+def test_mix_on_odd_rows(odd, odd_rows, none):
+    found = mixing.mix(odd).collect()
+    assert len(found) == len(odd_rows) and all(0 <= r.taken <= 2 * r.size for r in found)
+    sizes = Counter()
+    for r in odd_rows:
+        sizes[r[3]] += len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or ""))
+    for source, size in sizes.items():
+        own = [r for r in found if r.source == source]
+        assert {r.source_size for r in own} == {size} and abs(sum(r.taken for r in own) - own[0].target) <= max(r.size for r in own)
+    again = Counter((r.doc_id, r.size, r.taken) for r in mixing.mix(odd.repartition(5)).collect())
+    assert again == Counter((r.doc_id, r.size, r.taken) for r in found)
+    assert mixing.mix(none).count() == 0
+
+
+def test_mix_comes_near_its_targets(docs):
+    found = mixing.mix(docs).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.max("size").alias("largest")).collect()
+    assert all(abs(r.taken - r.target) <= r.largest / 2 + 1 for r in found)
+
+
+def test_language_by_held_out_rows(spark, sf_dir, docs):
+    found = queries.op3_language(spark, sf_dir).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
+    assert len(found) > 20 and sum(r.lang_pred == r.lang for r in found) / len(found) > 0.95 and all(0 <= r.score <= 1 for r in found)
+
+
+def test_language_backs_off():
+    model = language.Model([("en", "thing", 5), ("en", "the", 9), ("fr", "chose", 5), ("fr", "le", 9)])
+    assert model.word("the")[0] > model.word("the")[1]
+    assert model.word("things").argmax() == 0 and model.word("choses").argmax() == 1  # by n-grams
+    assert (model.word("ЖЖЖ") == 0).all()
+
+
+def test_language_on_odd_rows(odd, odd_rows, none):
+    model = language.train(odd, F.lit(True))
+    found = language.predict(odd, model).collect()
+    assert len(found) == len(odd_rows) and {r.lang_pred for r in found if r.doc_id in (3, 4, 5)} == {"und"}
+    empty = language.train(none, F.lit(True))
+    assert {(r.lang_pred, r.score) for r in language.predict(odd, empty).collect()} == {("und", 0.0)} and language.predict(none, model).count() == 0
+
+
+def test_quality_model_by_held_out_rows(spark, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    found = queries.op7_quality_model(spark, sf_dir).join(labels, "doc_id").filter("held_out").collect()
+    assert sum(r.predicted == r.quality for r in found) / len(found) > 0.9
+    good, bad = ([r.score for r in found if r.quality == q] for q in (1, 0))
+    assert sum(g > b for g in good for b in bad) > 0.95 * len(good) * len(bad)
+
+
+def test_pairs_by_the_identity_are_all_pairs():
+    import numpy as np
+
+    machine = quality_model.FactorisationMachine()
+    rng = np.random.default_rng(0)
+    machine.linear, machine.factors, machine.bias = rng.normal(size=machine.linear.shape), rng.normal(size=machine.factors.shape), 0.3
+    f, x = np.array([3, 70, 900, 16_390]), np.array([0.5, 1.0, -2.0, 0.25])
+    slow = 0.3 + machine.linear[f] @ x + sum(machine.factors[f[i]] @ machine.factors[f[j]] * x[i] * x[j] for i in range(4) for j in range(i))
+    assert machine.raw(np.zeros(4, np.int64), f, x, 1)[0][0] == pytest.approx(slow)
+
+
+def test_quality_model_on_odd_rows(spark, odd, odd_rows, none):
+    labels = spark.createDataFrame([(1, 1), (4, 0), (6, None), (None, 1)], "doc_id long, quality int")
+    model = quality_model.train(odd, labels, F.lit(True))
+    found = quality_model.score(odd, model).collect()
+    assert len(found) == len(odd_rows) and all(0 <= r.score <= 1 for r in found)
+    untrained = quality_model.train(none, labels, F.lit(True))
+    assert {r.score for r in quality_model.score(odd, untrained).collect()} and quality_model.score(none, model).count() == 0
+
+
+def test_secrets(spark):
+    rows = []
+    import hashlib
+
+    for k in range(60):
+        digest = hashlib.sha1(str(k).encode()).hexdigest()
+        rows.append((3 * k, f'some words and token = "{digest}" then more', "src"))
+        rows.append((3 * k + 1, f"a number {10**15 + k * 7919} in a text", "src"))
+        rows.append((3 * k + 2, f"key = {digest} key = {digest}", None))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = secret_scan.scan(docs).collect()
+    text = {r[0]: r[1] for r in rows}
+    assert len(found) == 240 and all(text[r.doc_id][r.start : r.start + r.length] == r.value for r in found)
+    assert all(r.is_secret for r in found if r.doc_id % 3 == 0) and not any(r.is_secret for r in found if r.doc_id % 3 == 1)
+    labelled = spark.createDataFrame([(r.doc_id, r.start, int(r.doc_id % 3 == 1)) for r in found if r.doc_id < 90], "id long, start long, label int")
+    turned = secret_scan.scan(docs, labelled).collect()
+    assert all(r.is_secret == (r.doc_id % 3 == 1) for r in turned)
+
+
+def test_secrets_on_odd_rows(odd, none):
+    found = secret_scan.scan(odd).collect()
+    assert [(r.doc_id, r.value, r.score) for r in found] == [(8, "0123456789abcdef0123456789abcdef01234567", 1.0)]  # nothing to learn from
+    assert secret_scan.scan(none).count() == 0
