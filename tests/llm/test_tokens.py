@@ -62,6 +62,15 @@ def test_token_files(docs, texts, reference, odd, odd_rows, none):
     assert token_files.read_token_files(empty, docs).count() == 0
 
 
+def test_an_id_may_go_on_over_shards(spark):
+    rows = spark.createDataFrame([(7 if k % 3 else k, f"text number {k}") for k in range(300)], "doc_id long, text string")
+    manifest = token_files.write_token_files(rows, BYTE)
+    assert manifest.filter("first_id <= 7 and last_id >= 7").count() > 1
+    found = token_files.read_token_files(manifest, rows, with_ids=False).orderBy("start").collect()
+    assert len(found) == 300 and [r.doc_id for r in found] == sorted(r.doc_id for r in rows.collect())
+    assert [r.start for r in found] == (np.cumsum([r.n_tokens for r in found]) - [r.n_tokens for r in found]).tolist()
+
+
 def test_shards(tmp_path):
     uri = f"file://{tmp_path}/x.tokens"
     out = token_files.ShardWriter(uri, wide=False)

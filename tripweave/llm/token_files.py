@@ -197,15 +197,16 @@ def write_token_files(docs: DataFrame, vocabulary: str, id_col: str = "doc_id",
     Manifest: shard, path, first_id and last_id (both inclusive), documents, tokens, start (ids of all shards before).
 
     A null text counts as empty (only the end id), a null id comes first, rows that repeat an id stand
-    side by side ordered by text, and other columns aren't read. An empty table gives no shard.
-    Rows are dealt by ranges of id, so the texts move once. An attempt at a task writes a file
+    side by side ordered by a hash of the text, and other columns aren't read. An empty table gives no shard.
+    Rows are dealt by ranges of id and that hash, so the texts move once and an id that many rows
+    share may go on over several shards. An attempt at a task writes a file
     of its own name, and the manifest, which is written once, names those of the attempts that
     counted: a lost executor or a second attempt leaves no mixed shard.
     """
     spark = docs.sparkSession
     folder = folder or new_path(spark, "tokens")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(text_col).alias("hash"))
     kind = rows.schema["id"].dataType.simpleString()
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,8 +225,8 @@ def write_token_files(docs: DataFrame, vocabulary: str, id_col: str = "doc_id",
             schema = pa.schema([("shard", pa.int64()), ("path", pa.string()), ("first_id", batch.column(0).type), ("last_id", batch.column(0).type), ("documents", pa.int64()), ("tokens", pa.int64())])
             yield pa.RecordBatch.from_pylist([dict(zip(schema.names, (task.partitionId(), uri, *ends, *found), strict=True))], schema=schema)
 
-    dealt = rows.repartitionByRange(n, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
-    shards = written(dealt.mapInArrow(kernel, f"shard long, path string, first_id {kind}, last_id {kind}, documents long, tokens long"), "manifest")
+    dealt = rows.repartitionByRange(n, F.col("id").asc_nulls_first(), "hash").sortWithinPartitions(F.col("id").asc_nulls_first(), "hash", "text")
+    shards = written(dealt.select("id", "text").mapInArrow(kernel, f"shard long, path string, first_id {kind}, last_id {kind}, documents long, tokens long"), "manifest")
     before = F.sum("tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))  # a row per shard
     return shards.withColumn("start", F.coalesce(before, F.lit(0)))
 
@@ -233,48 +234,61 @@ def write_token_files(docs: DataFrame, vocabulary: str, id_col: str = "doc_id",
 def read_token_files(manifest: DataFrame, docs: DataFrame, id_col: str = "doc_id", with_ids: bool = True) -> DataFrame:
     """Looks up each id of docs in the shards: id, start, n_tokens, ids_crc32, ids of every document found.
 
-    ids is the array of token ids (empty without with_ids). The keys are dealt to the shards by the ranges in the
-    manifest (a row per shard, as many as there were tasks), each shard's keys are looked up
-    in its index, and rows that ask for the same key get its documents once.
+    ids is the array of token ids (empty without with_ids). The manifest (a row per shard, as many as there were
+    tasks) tells which shards may hold a key. A shard's keys go to one task, which looks them up in its index; rows
+    that ask for the same key get its documents once.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     shards = manifest.orderBy("shard").collect()
-    ranges = [(r.shard, r.path, r.first_id, r.last_id, r.start) for r in shards]
-    sort_key = lambda x: (x is not None, x)
+    ranges = [(r.path, _order(r.first_id), _order(r.last_id), r.start) for r in shards]
+
+    def addressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lasts = [r[2] for r in ranges]
+        for batch in batches:
+            at, keys = [], []
+            for key in batch.column(0).to_pylist():
+                k = bisect.bisect_left(lasts, _order(key))
+                while k < len(ranges) and ranges[k][1] <= _order(key):
+                    at.append(k)
+                    keys.append(key)
+                    k += 1
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(keys, batch.column(0).type)], names=["at", "id"])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lasts = [sort_key(r[3]) for r in ranges]
-        reader, at = None, None
+        reader, now = None, None
         for batch in batches:
-            rows = {"id": [], "start": [], "n_tokens": [], "ids_crc32": [], "ids": []}
-            held = 0
-            for k, own in itertools.groupby(batch.column(0).to_pylist(), lambda key: bisect.bisect_left(lasts, sort_key(key))):
-                if k == len(ranges):
-                    continue
-                if k != at:
-                    reader, at = ShardReader(ranges[k][1]), k
-                keys = list(own)
+            rows, held = {k: [] for k in ("id", "start", "n_tokens", "ids_crc32", "ids")}, 0
+            wanted = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            for at, own in itertools.groupby(wanted, lambda x: x[0]):
+                if at != now:
+                    reader, now = ShardReader(ranges[at][0]), at
+                keys = [key for _, key in own]
                 for key, found in zip(keys, reader.places(keys), strict=True):
                     for place in found:
                         ids = reader.ids(place)
                         rows["id"].append(key)
-                        rows["start"].append(ranges[k][4] + (int(reader.ends[place - 1]) if place else 0))
+                        rows["start"].append(ranges[at][3] + (int(reader.ends[place - 1]) if place else 0))
                         rows["n_tokens"].append(len(ids))
                         rows["ids_crc32"].append(encoders.crc32(ids))
                         rows["ids"].append(ids.astype(np.int32) if with_ids else [])
                         held += len(ids)
                         if held > 1 << 21:
-                            yield _found(rows, batch.schema.field(0).type)
+                            yield _found(rows, batch.schema.field(1).type)
                             rows, held = {k: [] for k in rows}, 0
-            yield _found(rows, batch.schema.field(0).type)
+            yield _found(rows, batch.schema.field(1).type)
 
     keys = docs.select(F.col(id_col).alias("id")).distinct()
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = keys.repartitionByRange(n, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first())
+    dealt = keys.mapInArrow(addressed, f"at long, id {kind}").repartition(n, "at").sortWithinPartitions("at", F.col("id").asc_nulls_first())
     found = dealt.mapInArrow(kernel, f"id {kind}, start long, n_tokens long, ids_crc32 long, ids array<int>")
     return found.withColumnRenamed("id", id_col)
 
 
+def _order(key) -> tuple:
+    """Sorts None before all other keys."""
+    return (key is not None, key)
+
+
 def _found(rows: dict, kind: pa.DataType) -> pa.RecordBatch:
     types = [kind, pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
     return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), types, strict=True)], names=list(rows))
