@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tripweave.functions.keys import uniform
 from tripweave.operators.components import components
 from tripweave.sources.shared import written
 
@@ -31,6 +32,10 @@ class Graph:
         """(src, dst, weight) with src <= dst, weights added up."""
         return self.edges.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.sum("weight").alias("weight"))
 
+    def symmetrized(self) -> DataFrame:
+        """(src, dst, weight): the sum of the adjacency matrix and its transpose, loops counted once."""
+        return self.both_ways().groupBy("src", "dst").agg(F.sum("weight").alias("weight")).withColumn("weight", F.when(F.col("src") == F.col("dst"), F.col("weight") / 2).otherwise(F.col("weight")))
+
     def both_ways(self) -> DataFrame:
         return self.edges.unionByName(self.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
 
@@ -124,6 +129,11 @@ def _spread(colours: DataFrame, edges: DataFrame) -> DataFrame:
             return colours
 
 
+def sampled_sources(graph: Graph, share: float, seed: int = 42) -> DataFrame:
+    """(id) of the vertices that draw below `share`: the starts of a betweenness estimate, whose values then scale by 1 / share."""
+    return graph.vertices.select("id").filter(uniform(F.lit(seed), F.lit("source"), "id") < share)
+
+
 def component_sizes(membership: DataFrame) -> DataFrame:
     return membership.groupBy("component").agg(F.count("*").alias("size"))
 

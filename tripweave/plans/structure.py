@@ -313,6 +313,34 @@ def top20_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cascade.overlap(best.filter("metric = 'betweenness'"), best.filter("metric = 'out_strength'"), "id")
 
 
+@query(f"""WITH {_METRICS}, a AS (SELECT id FROM met ORDER BY betweenness DESC, id LIMIT 20), b AS (SELECT id FROM met ORDER BY out_strength DESC, id LIMIT 20) SELECT count(*) AS shared, round(count(*) / 20, 6) AS rate FROM a JOIN b USING (id)""")
+def overlap_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(cascade.overlap_rate(top20_overlap(spark, sf_dir)), "rate")
+
+
+@query(f"WITH RECURSIVE {S.ROUTES}, {_KINDS}, {_LIVE.format(runs=20)}, {_SPREAD}, {_SIZES}, g AS (SELECT run % 4 AS scenario, sum(c)::BIGINT AS total, round(avg(c), 6) AS mean, max(c) AS most, count(*) AS runs FROM cs GROUP BY 1) SELECT row_number() OVER (ORDER BY total DESC, scenario)::INT AS rank, * FROM g")
+def superspreader_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reached, seeds, g = _cascades(spark, sf_dir)
+    sizes = cascade.cascade_sizes(reached, seeds, g.vertices.count()).withColumn("scenario", F.col("run") % 4)
+    return rounded(cascade.rolled_up(sizes, "scenario"), "mean")
+
+
+@query(f"WITH RECURSIVE {S.ROUTES}, {_KINDS}, {_LIVE.format(runs=20)}, {_SPREAD}, {_SIZES} SELECT c AS cascade_size, count(*) AS runs FROM cs GROUP BY 1")
+def cascade_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reached, seeds, g = _cascades(spark, sf_dir)
+    return cascade.cascade_sizes(reached, seeds, g.vertices.count()).groupBy("cascade_size").agg(F.count("*").alias("runs"))
+
+
+@query(f"WITH {S.ROUTES} SELECT least(src, dst) AS src, greatest(src, dst) AS dst, sum(weight) AS weight FROM e GROUP BY 1, 2")
+def undirected_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.route_graph(spark, sf_dir).undirected()
+
+
+@query(f"WITH {S.NATION_GRAPH}, b AS (SELECT src, dst, weight FROM e UNION ALL SELECT dst, src, weight FROM e) SELECT src, dst, CASE WHEN src = dst THEN sum(weight) / 2 ELSE sum(weight) END AS weight FROM b GROUP BY src, dst")
+def symmetrized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.nation_graph(spark, sf_dir).symmetrized()
+
+
 # Link prediction
 
 _TRAIN, _TEST = tuple(range(1, 10)), (10, 11, 12)
@@ -361,6 +389,13 @@ def heuristic_auc_ap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(linkpred.auc_ap(_scored(spark, sf_dir), list(linkpred.HEURISTICS)), "auc", "ap")
 
 
+@query(f"WITH {_SPLIT}, {_SCORES}, t AS (SELECT * FROM sc ORDER BY round(adamic_adar, 6) DESC, u, v LIMIT 100) SELECT round(avg((u < 10 OR v < 10)::INT), 6) AS share FROM t")
+def prediction_plausibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of the best predictions that touch one of ten named nodes."""
+    best = linkpred.top_predictions(rounded(_scored(spark, sf_dir), "adamic_adar"), 100, "adamic_adar")
+    return rounded(linkpred.touching(best, (F.col("u") < 10) | (F.col("v") < 10)), "share")
+
+
 @query(f"WITH {_SPLIT}, {_SCORES} SELECT row_number() OVER (ORDER BY round(adamic_adar, 6) DESC, u, v)::INT AS rank, u, v, round(adamic_adar, 6) AS score FROM sc ORDER BY rank LIMIT 100")
 def top_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkpred.top_predictions(rounded(_scored(spark, sf_dir), "adamic_adar"), 100, "adamic_adar")
