@@ -120,7 +120,7 @@ def metric_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {S.NATION_GRAPH}, i AS (SELECT count(*) AS n FROM e JOIN v a ON src = a.id JOIN v b ON dst = b.id WHERE a.community = b.community), s AS (SELECT sum(n * (n - 1)) AS p FROM (SELECT community, count(*) AS n FROM v GROUP BY 1))
-SELECT round(i.n - 0.01 * p, 6) AS quality FROM i, s""")
+SELECT round((i.n - 0.01 * p)::DOUBLE, 6) AS quality FROM i, s""")
 def cpm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = _nations(spark, sf_dir)
     return rounded(communities.cpm_quality(g, g.vertices), "quality")
