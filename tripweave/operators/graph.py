@@ -26,7 +26,8 @@ class Graph:
     edges: DataFrame
 
     def small(self, most: int = KERNEL_EDGES) -> bool:
-        return self.edges.limit(most + 1).count() <= most
+        """Whether a kernel may hold it: neither edges nor vertices are more than `most`."""
+        return all(df.limit(most + 1).count() <= most for df in (self.edges, self.vertices))
 
     def undirected(self) -> DataFrame:
         """(src, dst, weight) with src <= dst, weights added up."""
