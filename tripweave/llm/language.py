@@ -35,8 +35,8 @@ class Model:
             for size in range(1, longest + 1):
                 for gram in _grams(word, size):
                     grams[size][gram][place[lang]] += n
-        self.words = _logs(words)
-        self.grams = [_logs({g: np.array([c[k] for k in range(len(place))], float) for g, c in level.items()}) for level in grams]
+        self.words = _Logs(words)
+        self.grams = [_Logs({g: np.array([c[k] for k in range(len(place))], float) for g, c in level.items()}) for level in grams]
 
     def word(self, word: str) -> np.ndarray:
         """A word's log frequency in each language: its own if it is known, or else the mean of its longest known n-grams."""
@@ -54,12 +54,17 @@ def _grams(word: str, size: int) -> list[str]:
     return [padded[k : k + size] for k in range(len(padded) - size + 1) if padded[k : k + size] != " "]
 
 
-def _logs(counts: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    if not counts:
-        return {}
-    table = np.array(list(counts.values())) + SMOOTH
-    table = np.log(table / table.sum(axis=0)).astype(np.float32)
-    return dict(zip(counts, table, strict=True))
+class _Logs:
+    """Rows of log frequencies by name: one array, and each name's row in it."""
+
+    def __init__(self, counts: dict[str, np.ndarray]):
+        self.places = {name: k for k, name in enumerate(counts)}
+        table = np.array(list(counts.values())) + SMOOTH if counts else np.zeros((0, 1))
+        self.table = np.log(table / table.sum(axis=0)).astype(np.float32)
+
+    def get(self, name: str) -> np.ndarray | None:
+        place = self.places.get(name)
+        return None if place is None else self.table[place]
 
 
 def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_rows: int = MOST_ROWS, most_words: int = MOST_WORDS) -> Model:
@@ -84,8 +89,8 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
-        self.words = Memo(model.word, 300_000)
-        self.memo = Memo(self._chunk, 300_000)
+        self.words = Memo(model.word, 150_000)
+        self.memo = Memo(self._chunk, 200_000)
 
     def _chunk(self, chunk: str) -> np.ndarray:
         """Each language's score, and how many words there are."""
