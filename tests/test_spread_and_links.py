@@ -127,12 +127,17 @@ def test_streamed_legs_match_the_batch(spark, tmp_path):
     from tripweave.operators import networks
     from tripweave.streaming.tails import next_legs
 
-    t = lambda h, m=0: dt.datetime(2024, 1, 1, h, m)
-    rows = [(0, "N1", "AA", t(6), t(7)), (1, "N1", "AA", t(8), t(9)), (2, "N1", "DL", t(9), t(10)), (3, "N2", "DL", t(7), t(8)), (4, "N2", "DL", t(9), t(10)), (5, None, "DL", t(9), t(10))]
-    df = spark.createDataFrame(rows, "flight_id long, tail string, carrier string, dep_ts timestamp_ntz, arr_ts timestamp_ntz")
-    df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = next_legs(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")))
-    q = stream.writeStream.format("memory").queryName("legs").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = sorted((r.src_id, r.dst_id, r.ground_time_minutes) for r in spark.table("legs").collect())
-    assert got == sorted((r.src_id, r.dst_id, r.ground_time_minutes) for r in networks.tail_edges(df).collect())
+    t = lambda h, m=0, day=1: dt.datetime(2024, 1, day, h, m)
+    late = [(1, "N1", "AA", t(8), t(9)), (4, "N2", "DL", t(9), t(10)), (5, None, "DL", t(9), t(10))]  # come after flights that leave later
+    first = [(0, "N1", "AA", t(6), t(7)), (2, "N1", "DL", t(9, 30), t(10)), (3, "N2", "DL", t(7), t(8)), (6, "N2", "DL", t(9, 30), t(11))]
+    end = [(7, "N9", "DL", t(0, day=9), t(1, day=9))]  # moves the watermark past all others
+    schema = "flight_id long, tail string, carrier string, dep_ts timestamp_ntz, arr_ts timestamp_ntz"
+    (tmp_path / "in").mkdir()
+    stream = next_legs(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+    for rows in (first, late, end):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        assert q.awaitTermination(120)
+    edges = lambda df: sorted((r.src_id, r.dst_id, r.tail, r.ground_time_minutes) for r in df.collect())
+    got = edges(spark.read.schema("src_id long, dst_id long, tail string, ground_time_minutes long").parquet(str(tmp_path / "out")))
+    assert len(got) == 3 and got == edges(networks.tail_edges(spark.createDataFrame(first + late, schema)))
