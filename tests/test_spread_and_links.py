@@ -111,6 +111,17 @@ def test_walks(spark):
     assert vectors.count() == 5 and len(vectors.first().embedding) == 8
 
 
+@pytest.mark.parametrize("bias", [(1.0, 1.0), (0.5, 2.0)])
+def test_walks_in_tables_are_the_same(spark, monkeypatch, bias):
+    edges = [(i, (i * 3 + k) % 9, float(k)) for i in range(9) for k in (1, 2, 4)] + [(2, 9, 5.0)]
+    g = Graph(spark.createDataFrame([(i,) for i in range(11)], "id long"), spark.createDataFrame(edges, "src long, dst long, weight double"))
+    take = lambda: sorted((r.walk, r.start, tuple(r.path)) for r in linkpred.walks(g, 5, 2, *bias).collect())
+    fast = take()
+    assert len(fast) == 22 and {len(x[2]) for x in fast} > {1, 5}
+    monkeypatch.setattr(Graph, "small", lambda self, most=0: False)
+    assert take() == fast
+
+
 def test_business(spark):
     trips = spark.createDataFrame(
         [("AA", "ATL", 10.0, 20.0, 0.0, 100.0)] * 2 + [("AA", "JFK", 5.0, -5.0, 0.0, 200.0), ("DL", "DEN", 0.0, 15.0, 0.0, 300.0), ("DL", "DEN", None, None, 1.0, 300.0), ("DL", "ATL", 3.0, 0.0, 0.0, 300.0)],
