@@ -101,6 +101,16 @@ def test_curve_measures(spark):
     assert ratio.ratio == pytest.approx(0.8 / 0.45)
 
 
+def test_nested_communities(spark):
+    triangles = make(spark, 6, [(0, 1), (1, 2), (2, 0), (3, 4), (4, 5), (5, 3), (2, 3)])
+    assert {(r.id, r.community, r.level) for r in communities.nested(triangles, 6, 0.01).collect()} == {(i, 0, 0) for i in range(6)}
+    halves = communities.nested(triangles, resolution=0.08).collect()
+    assert {(r.id, r.community) for r in halves} == {(i, i // 3 * 3) for i in range(6)} 
+    alone = communities.nested(triangles, 1, 0.4).collect()
+    assert {r.community for r in alone} == set(range(6)) and all(r.level > 0 for r in alone)
+    assert communities.nested(make(spark, 0, []), 1).count() == 0
+
+
 def test_random_orders_are_seeded(spark):
     g = make(spark, 10, [(0, 1)])
     a, b = (sorted(map(tuple, robustness.random_orders(g, 3).collect())) for _ in range(2))

@@ -85,7 +85,7 @@ def geographic_composition(membership: DataFrame, nodes: DataFrame) -> DataFrame
 
 
 def leiden_cpm(graph: Graph, resolution: float = 0.01, seed: int = 42, runs: int = 10, passes: int = 10, weighted: bool = False) -> DataFrame:
-    """(id, community): the best of several seeded runs by CPM quality; of equal ones the earliest.
+    """(id, community): the best of several seeded runs by CPM quality; of equal ones the earliest. Without vertices no rows.
 
     Graphs that fit a kernel: one run per task (local moves, refinement within communities, aggregation). Larger ones:
     local moves in tables, a random half of the vertices at a time, which is an approximation.
@@ -110,8 +110,34 @@ def leiden_cpm(graph: Graph, resolution: float = 0.01, seed: int = 42, runs: int
     ends = e.join(found.toDF("run", "src", "c1"), "src").join(found.toDF("run", "dst", "c2"), ["run", "dst"]).filter("c1 = c2").groupBy("run").agg(F.sum("weight").alias("inside"))
     cost = found.groupBy("run", "community").agg(F.count("*").alias("n")).groupBy("run").agg(F.sum(resolution * F.col("n") * (F.col("n") - 1)).alias("cost"))
     scored = cost.join(ends, "run", "left").select("run", (F.coalesce("inside", F.lit(0.0)) - F.col("cost")).alias("quality"))
-    best = scored.orderBy(F.desc("quality"), "run").first().run
-    return found.filter(F.col("run") == best).select("id", "community")
+    best = scored.orderBy(F.desc("quality"), "run").first()
+    return found.filter(F.col("run") == (best.run if best else 0)).select("id", "community")
+
+
+def nested(graph: Graph, most_size: int | None = None, resolution: float = 0.01, seed: int = 42, runs: int = 1, passes: int = 10, weighted: bool = False) -> DataFrame:
+    """(id, community, level): Leiden communities, those of more than most_size members (half of all by default) split again.
+
+    A level takes the communities that are too large, with the edges inside them, at twice the resolution of the one
+    before, until none is left: at a resolution above all weights every vertex is alone. A community's name
+    is its smallest member, and level says at which splitting (from 0) it came about; the last assignment counts.
+    """
+    if resolution <= 0:
+        raise ValueError("the resolution must be above 0")
+    most = max(1, graph.vertices.count() // 2 if most_size is None else most_size)
+    left, done, level = graph, None, 0
+    while True:
+        parts = leiden_cpm(left, resolution, seed, runs, passes, weighted)
+        parts = parts.groupBy("community").agg(F.min("id").alias("name"), F.count("*").alias("n")).join(parts, "community").select("id", F.col("name").alias("community"), F.lit(level).alias("level"), "n")
+        parts = written(parts, "nested")
+        kept = parts.filter(F.col("n") <= most).drop("n")
+        done = kept if done is None else done.union(kept)
+        large = parts.filter(F.col("n") > most)
+        if large.isEmpty():
+            return done
+        ends = large.select("id", "community")
+        inside = left.edges.join(ends.toDF("src", "c1"), "src").join(ends.toDF("dst", "c2"), "dst").filter("c1 = c2")
+        left = Graph(large.select("id"), written(inside.select("src", "dst", "weight"), "inside"))
+        level, resolution = level + 1, 2 * resolution
 
 
 def _moves(n: int, ends: np.ndarray, targets: np.ndarray, weights: np.ndarray, size: np.ndarray, community: np.ndarray, resolution: float, rng, within: np.ndarray | None = None) -> bool:

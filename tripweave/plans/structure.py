@@ -178,6 +178,11 @@ def leiden_cpm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return communities.leiden_cpm(_routes(spark, sf_dir), resolution=0.1, runs=4)
 
 
+@query()
+def nested_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return communities.nested(_routes(spark, sf_dir), resolution=0.1)
+
+
 # Robustness
 
 _ORDER = "ord AS (SELECT 'degree' AS strategy, 0::BIGINT AS trial, id, row_number() OVER (ORDER BY in_degree + out_degree DESC, id) AS step FROM deg)"
