@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -74,6 +75,19 @@ def test_negatives(spark):
         assert not set(found) & {(0, 1), (1, 2), (2, 3), (3, 4), (4, 5)} and all(u != v for u, v in found)
 
 
+def test_negatives_are_the_same_at_every_size(spark):
+    pairs = lambda p: spark.createDataFrame(p, "u long, v long")
+    nodes = spark.createDataFrame([(i,) for i in range(60)], "id long")
+    train, positives = [(i, (i + 1) % 60) for i in range(60)], [(i, (i + 7) % 60) for i in range(40)]
+    draw = lambda u, v: int(hashlib.md5(f"42|{u}|{v}".encode()).hexdigest()[:8], 16)
+    free = {(u, v) for u in range(60) for v in range(60) if u != v} - set(train) - set(positives)
+    for ratio in (1, 3, 500):
+        plain = sorted(free, key=lambda p: (draw(*p), *p))[: ratio * 40]
+        for most in (20_000, 5):
+            found = linkpred.negatives(nodes, pairs(train), pairs(positives), ratio, most_nodes=most).collect()
+            assert sorted(tuple(r) for r in found) == sorted(plain)
+
+
 def test_heuristics_on_a_triangle(spark):
     both = [(a, b) for x in [(0, 1), (1, 2), (2, 0), (3, 1)] for a, b in (x, x[::-1])]
     train = spark.createDataFrame(both, "u long, v long")
