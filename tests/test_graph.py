@@ -78,6 +78,19 @@ def test_quality_and_detection(spark):
     assert again == by_id(communities.leiden_cpm(g, 0.1, runs=3), "community")
 
 
+def test_detection_in_tables_takes_the_best_run_and_ends(spark, monkeypatch):
+    edges = sorted({(min(a, b), max(a, b)) for i in range(40) for a, b in [(i, (i * 7 + 3) % 40), (i, (i * 11 + 5) % 40), (i, (i * i + 1) % 40)] if a != b})
+    g = make(spark, 40, edges)
+    quality = lambda groups: sum(groups[a] == groups[b] for a, b in edges) - 0.1 * sum(groups[a] == groups[b] for a in range(40) for b in range(40) if a != b)
+    runs = [quality(by_id(communities.local_moving(g, 0.1, 42 + r), "community")) for r in range(3)]
+    monkeypatch.setattr(Graph, "small", lambda self: False)
+    groups = by_id(communities.leiden_cpm(g, 0.1, runs=3), "community")
+    assert quality(groups) == pytest.approx(max(runs)) and len({round(q, 9) for q in runs}) > 1
+    for i in range(40):
+        for c in {groups[b if a == i else a] for a, b in edges if i in (a, b)}:
+            assert quality(groups | {i: c}) <= quality(groups) + 1e-9
+
+
 def test_curves(spark):
     star = make(spark, 6, [(0, i) for i in range(1, 6)])
     order = robustness.removal_order(star, "degree")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 from tripweave.operators.graph import Graph
 from tripweave.sources.shared import written
 
+#: Passes of simultaneous moves without a better quality, after which moves are kept apart.
+PATIENCE = 3
 
 def cpm_quality(graph: Graph, membership: DataFrame, resolution: float = 0.01, weighted: bool = False) -> DataFrame:
     """One row `quality`: over communities, edges inside less resolution times ordered pairs of members (constant Potts model)."""
@@ -87,12 +90,24 @@ def geographic_composition(membership: DataFrame, nodes: DataFrame) -> DataFrame
 def leiden_cpm(graph: Graph, resolution: float = 0.01, seed: int = 42, runs: int = 10, passes: int = 10, weighted: bool = False) -> DataFrame:
     """(id, community): the best of several seeded runs by CPM quality; of equal ones the earliest. Without vertices no rows.
 
-    Graphs that fit a kernel: one run per task (local moves, refinement within communities, aggregation). Larger ones:
-    local moves in tables, a random half of the vertices at a time, which is an approximation.
+    Graphs that fit a kernel: one run per task (local moves, refinement within communities, aggregation; `passes` bounds the
+    aggregations). Larger ones: each run is local moves in tables until nothing moves, which is an approximation.
     """
     edges = graph.undirected().select("src", "dst", (F.col("weight") if weighted else F.lit(1.0)).alias("weight"))
-    if not Graph(graph.vertices, edges).small():
-        return local_moving(graph, resolution, seed, passes, weighted)
+    if Graph(graph.vertices, edges).small():
+        found = _kernel_runs(graph, edges, resolution, seed, runs, passes)
+    else:
+        found = reduce(DataFrame.union, [local_moving(Graph(graph.vertices, edges), resolution, seed + run, weighted=True).select(F.lit(run).cast("long").alias("run"), "id", "community") for run in range(runs)])
+    e = written(edges, "edges")
+    ends = e.join(found.toDF("run", "src", "c1"), "src").join(found.toDF("run", "dst", "c2"), ["run", "dst"]).filter("c1 = c2").groupBy("run").agg(F.sum("weight").alias("inside"))
+    cost = found.groupBy("run", "community").agg(F.count("*").alias("n")).groupBy("run").agg(F.sum(resolution * F.col("n") * (F.col("n") - 1)).alias("cost"))
+    scored = cost.join(ends, "run", "left").select("run", (F.coalesce("inside", F.lit(0.0)) - F.col("cost")).alias("quality"))
+    best = scored.orderBy(F.desc("quality"), "run").first()
+    return found.filter(F.col("run") == (best.run if best else 0)).select("id", "community")
+
+
+def _kernel_runs(graph: Graph, edges: DataFrame, resolution: float, seed: int, runs: int, passes: int) -> DataFrame:
+    """(run, id, community) of Leiden on edges that fit a task, one run per task."""
     arcs = edges.toPandas()
     names = np.array(sorted(r.id for r in graph.vertices.select("id").collect()), np.int64)
     shared = graph.edges.sparkSession.sparkContext.broadcast((names, np.searchsorted(names, arcs.src), np.searchsorted(names, arcs.dst), arcs.weight.to_numpy()))
@@ -105,13 +120,7 @@ def leiden_cpm(graph: Graph, resolution: float = 0.01, seed: int = 42, runs: int
                 yield pd.DataFrame({"run": int(run), "id": names, "community": community})
 
     spark = graph.edges.sparkSession
-    found = written(spark.range(runs).repartition(runs).mapInPandas(kernel, "run long, id long, community long"), "runs")
-    e = written(edges, "edges")
-    ends = e.join(found.toDF("run", "src", "c1"), "src").join(found.toDF("run", "dst", "c2"), ["run", "dst"]).filter("c1 = c2").groupBy("run").agg(F.sum("weight").alias("inside"))
-    cost = found.groupBy("run", "community").agg(F.count("*").alias("n")).groupBy("run").agg(F.sum(resolution * F.col("n") * (F.col("n") - 1)).alias("cost"))
-    scored = cost.join(ends, "run", "left").select("run", (F.coalesce("inside", F.lit(0.0)) - F.col("cost")).alias("quality"))
-    best = scored.orderBy(F.desc("quality"), "run").first()
-    return found.filter(F.col("run") == (best.run if best else 0)).select("id", "community")
+    return written(spark.range(runs).repartition(runs).mapInPandas(kernel, "run long, id long, community long"), "runs")
 
 
 def nested(graph: Graph, most_size: int | None = None, resolution: float = 0.01, seed: int = 42, runs: int = 1, passes: int = 10, weighted: bool = False) -> DataFrame:
@@ -200,17 +209,48 @@ def _leiden(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, resolution: flo
     return np.unique(final, return_inverse=True)[1]
 
 
-def local_moving(graph: Graph, resolution: float, seed: int, passes: int, weighted: bool = False) -> DataFrame:
-    """(id, community) by simultaneous local moves in tables; a hash decides which half may move in a pass, so neighbours don't swap for ever."""
+def local_moving(graph: Graph, resolution: float, seed: int, passes: int | None = None, weighted: bool = False) -> DataFrame:
+    """(id, community) by local moves in tables, until no vertex gains by one (or after so many passes, if they are given).
+
+    A hash decides which half may move in a pass, so neighbours don't swap for ever. Once PATIENCE passes of such simultaneous moves didn't raise
+    the CPM quality, the best membership is taken up again, and from then on no two moves of a pass touch the same community: then each raises the quality by what it gains, so the search ends.
+    """
     edges = written(graph.both_ways().filter("src <> dst").select("src", "dst", (F.col("weight") if weighted else F.lit(1.0)).alias("weight")), "arcs")
     now = written(graph.vertices.select("id", F.col("id").alias("community")), "membership")
-    for k in range(passes):
+    apart, best_now, quality, idle, k = False, now, 0.0, 0, 0
+    while passes is None or k < passes:
         sizes_ = now.groupBy("community").agg(F.count("*").alias("n"))
         toward = edges.join(now.toDF("dst", "c"), "dst").groupBy("src", "c").agg(F.sum("weight").alias("w"))
         options = toward.union(now.select("id", "community", F.lit(0.0))).groupBy("src", "c").agg(F.sum("w").alias("w"))
         gains = options.join(sizes_.toDF("c", "n"), "c").join(now.toDF("src", "mine"), "src")
         gains = gains.withColumn("gain", F.col("w") - 2 * resolution * (F.col("n") - (F.col("c") == F.col("mine")).cast("int")))
-        best = gains.groupBy("src").agg(F.max(F.struct("gain", (F.col("c") == F.col("mine")).cast("int").alias("stay"), (-F.col("c")).alias("c"))).alias("x"))
-        may = F.pmod(F.xxhash64(F.lit(seed + k), "id"), F.lit(2)) == 0
-        now = written(now.join(best, now.id == best.src, "left").select("id", F.when(may & F.col("x").isNotNull(), -F.col("x.c")).otherwise(F.col("community")).alias("community")), "membership")
+        best = gains.groupBy("src", "mine").agg(F.max(F.struct("gain", (F.col("c") == F.col("mine")).cast("int").alias("stay"), (-F.col("c")).alias("c"))).alias("x"), F.max(F.when(F.col("c") == F.col("mine"), F.col("gain"))).alias("own"))
+        wishes = best.filter(F.col("x.gain") > F.col("own") + 1e-9).select(F.col("src").alias("id"), "mine", (-F.col("x.c")).alias("to"), F.xxhash64(F.lit(seed), F.lit(k), "src").alias("draw"))
+        wishes = written(wishes, "wishes")
+        if wishes.isEmpty():
+            return now
+        moves = _apart(wishes) if apart else wishes.filter(F.pmod("draw", F.lit(2)) == 0)
+        then = written(now.join(moves.select("id", "to"), "id", "left").select("id", F.coalesce("to", "community").alias("community")), "membership")
+        now, k = then, k + 1
+        if apart:
+            continue
+        if (reached := _quality(edges, now, resolution)) > quality:
+            best_now, quality, idle = now, reached, 0
+        elif (idle := idle + 1) == PATIENCE:
+            now, apart = best_now, True
     return now
+
+
+def _apart(wishes: DataFrame) -> DataFrame:
+    """Those of the wished moves that draw lowest of all that touch the community they leave or the one they join."""
+    wishes = wishes.withColumn("turn", F.struct("draw", "id"))
+    first = wishes.select(F.explode(F.array("mine", "to")).alias("c"), "turn").groupBy("c").agg(F.min("turn").alias("first"))
+    leaving = wishes.join(first.toDF("mine", "first"), "mine").filter("turn = first").drop("first")
+    return leaving.join(first.toDF("to", "first"), "to").filter("turn = first").drop("first", "turn")
+
+
+def _quality(arcs: DataFrame, membership: DataFrame, resolution: float) -> float:
+    """CPM quality over arcs that hold each edge both ways."""
+    inside = arcs.join(membership.toDF("src", "c1"), "src").join(membership.toDF("dst", "c2"), "dst").filter("c1 = c2").agg(F.sum("weight")).first()[0]
+    cost = membership.groupBy("community").agg(F.count("*").alias("n")).agg(F.sum(resolution * F.col("n") * (F.col("n") - 1))).first()[0]
+    return (inside or 0.0) / 2 - (cost or 0.0)
