@@ -156,6 +156,24 @@ def test_secrets(spark):
     assert all(r.is_secret == (r.doc_id % 3 == 1) for r in turned)
 
 
+def test_secrets_after_names(spark):
+    hexed = "0a1b2c3d4e5f60718293a4b5c6d7e8f901234567"
+    cases = [
+        ('password: "Tr0ub4dor&3xyz!Qw"', ["Tr0ub4dor&3xyz!Qw"]),
+        ("{'api_key': 'short1', \"secret\" => \"only letters\"}", ["short1", "only letters"]),
+        (f"export MY_API_KEY_NUMBER_2={hexed} and", [hexed]),
+        ("DB_PASSWORD=hunter2;x", ["hunter2"]),
+        (f"commit={hexed}", [hexed]),
+        ("padded QUJDREVGR0hJSktMTU5P0w== here", ["QUJDREVGR0hJSktMTU5P0w=="]),
+        ('a "quoted text" and a token of it', []),
+    ]
+    docs = spark.createDataFrame([(k, text, "src") for k, (text, _) in enumerate(cases)], "doc_id long, text string, source string")
+    found = secret_scan.featured(secret_scan.candidates(docs), []).collect()
+    assert all(cases[r.id][0][r.start :].startswith(r.value) for r in found)
+    assert [[r.value for r in sorted(found, key=lambda r: r.start) if r.id == k] for k in range(len(cases))] == [values for _, values in cases]
+    assert all(r.assigned == r.secret_word == 1 for r in found if r.id < 4)
+
+
 def test_secrets_on_odd_rows(odd, none):
     found = secret_scan.scan(odd).collect()
     assert [(r.doc_id, r.value, r.score) for r in found] == [(8, "0123456789abcdef0123456789abcdef01234567", 1.0)]  # nothing to learn from

@@ -11,13 +11,22 @@ from pyspark.sql import functions as F
 
 from tripweave.sources.shared import written
 
-#: A run of so many characters of the usual encodings, with a digit and not within a longer run.
-CANDIDATE = r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])[A-Za-z0-9_+/=-]{16,}+"
 CONTEXT = 48
 # Words that name a secret, marks of examples, and path parts of tests.
 SECRET_WORDS = r"(?i)(token|secret|passw(or)?d|passwd|api[_-]?key|access[_-]?key|auth|bearer|credential|private)"
 EXAMPLE_WORDS = r"(?i)(example|sample|dummy|placeholder|changeme|xxxx|0000000|1234567|abcdef0)"
 TEST_PATHS = r"(?i)(test|example|docs|fixture|mock|sample)"
+# What stands before a value that is assigned under a secret's name; Java wants a longest length for it.
+_NAME = rf"(?i:{SECRET_WORDS.removeprefix('(?i)')})[A-Za-z0-9_.-]{{0,32}}"
+_TO_QUOTE = _NAME + r"[\"']?\s{0,4}[:=]{1,2}>?\s{0,4}"
+#: What is judged: quoted values after a secret's name, whatever their characters; values that follow such a name and `=` at once;
+#: else a run of so many characters of the usual encodings, with a digit, that isn't within a longer run nor a name before `=`.
+CANDIDATE = "|".join([
+    rf"(?<=\")(?<={_TO_QUOTE}\")[^\"\r\n]{{4,200}}+(?=\")",
+    rf"(?<=')(?<={_TO_QUOTE}')[^'\r\n]{{4,200}}+(?=')",
+    rf"(?<==)(?<={_NAME}=)[^\s\"'<>&;,=][^\s\"'<>&;,]{{3,}}+",
+    r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{16,}+(?!=+[\"'A-Za-z0-9_+/-])={0,2}+",
+])
 #: Bounds: labelled findings that are learned from, words of the dictionary.
 MOST_FINDINGS, MOST_WORDS = 20_000, 5_000
 TREES, DEPTH, SEED = 30, 6, 5
@@ -70,7 +79,7 @@ def featured(found: DataFrame, words: list[str]) -> DataFrame:
         "repeats": share(r"(.)(?=\1)"),
         "distinct": F.size(F.array_distinct(F.split("value", ""))) / n,
         "dictionary": covered / n,
-        "assigned": F.col("before").rlike(r"[=:]\s*[\"']?$"),
+        "assigned": F.col("before").rlike(r"[=:]>?\s*[\"']?$"),
         "quoted": F.col("before").rlike("[\"']$") & F.col("after").rlike("^[\"']"),
         "secret_word": F.col("before").rlike(SECRET_WORDS),
         "example_word": F.concat("value", "before", "after").rlike(EXAMPLE_WORDS),
@@ -82,9 +91,9 @@ def featured(found: DataFrame, words: list[str]) -> DataFrame:
 
 
 def weak_labels(found: DataFrame) -> Column:
-    """Labels for findings where none were given: 1 for random-looking values that are assigned under a secret's
+    """Labels for findings where none were given: 1 for random-looking values without white space that are assigned under a secret's
     name, 0 for pure numbers, examples, and values that mostly are dictionary words; else null."""
-    return F.when((F.col("example_word") > 0) | (F.col("digits_only") > 0) | (F.col("dictionary") > 0.5), 0.0).when((F.col("assigned") > 0) & (F.col("secret_word") > 0) & (F.col("distinct") > 0.2), 1.0)
+    return F.when((F.col("example_word") > 0) | (F.col("digits_only") > 0) | (F.col("dictionary") > 0.5), 0.0).when((F.col("assigned") > 0) & (F.col("secret_word") > 0) & (F.col("distinct") > 0.2) & ~F.col("value").rlike(r"\s"), 1.0)
 
 
 def train(labelled: DataFrame, most_findings: int = MOST_FINDINGS) -> PipelineModel | None:
