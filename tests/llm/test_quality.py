@@ -101,6 +101,14 @@ def test_language_backs_off():
     assert (model.word("ЖЖЖ") == 0).all()
 
 
+def test_rare_language_keeps_its_words(spark):
+    rows = [(k, f"the thing {chr(97 + k % 26)}{chr(97 + k // 26 % 26)}word is the thing", "en") for k in range(900)] + [(900 + k, "una cosa rara", "es") for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs, F.lit(True), most_rows=50, most_words=10)
+    assert model.languages == ["en", "es"] and len(model.words.places) <= 10 and {"una", "cosa", "rara", "the", "thing"} <= set(model.words.places)
+    assert language.shares({"a": 2, "b": 50, "c": 100}, 60) == {"a": 2, "b": 29, "c": 29}
+
+
 def test_language_on_odd_rows(odd, odd_rows, none):
     model = language.train(odd, F.lit(True))
     found = language.predict(odd, model).collect()

@@ -8,10 +8,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripweave.llm.chunks import Chunks, Memo, slices
+from tripweave.sources.shared import written
 
 #: Bounds of the model: labelled rows that are read, words that are learned, length of n-grams.
 MOST_ROWS, MOST_WORDS, LONGEST_GRAM = 20_000, 60_000, 5
@@ -71,17 +72,41 @@ def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str
     """A model of the words of labelled rows.
 
     Reads about most_rows rows (by a hash of the id, so any order gives the same ones) of those that are `usable`
-    and have a language and a text. Of the words' counts by language, which Spark adds up, the most_words
-    greatest come to the driver.
+    and have a language and a text. Of the words' counts by language, which Spark adds up, most_words come to
+    the driver. Both bounds are shared among the languages by shares(); of a language's words the most frequent stay.
     """
     rows = docs.filter(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    there = rows.count()
-    if there > most_rows:
-        rows = rows.filter(F.pmod(F.xxhash64(F.lit("language"), id_col), F.lit(1 << 40)) < int((1 << 40) * (most_rows / there)))
-    words = F.explode(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"\p{L}+"), F.lit(0)))
-    counts = rows.select(F.col(lang_col).alias("lang"), words.alias("word")).groupBy("lang", "word").count()
-    found = counts.orderBy(F.desc("count"), "lang", "word").limit(most_words).collect()
-    return Model([(r["lang"], r["word"], r["count"]) for r in found])
+    rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.lit("language"), id_col), F.lit(1 << 40)).alias("draw"))
+    there = _by_language(rows)
+    if sum(there.values()) > most_rows:
+        rows = _joined(rows, {lang: int((1 << 40) * (n / there[lang])) for lang, n in shares(there, most_rows).items()}).filter("draw < share")
+    words = F.explode(F.regexp_extract_all(F.lower(F.col("text")), F.lit(r"\p{L}+"), F.lit(0)))
+    counts = written(rows.select("lang", words.alias("word")).groupBy("lang", "word").count(), "words")
+    there = _by_language(counts)
+    if sum(there.values()) > most_words:
+        rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))
+        counts = _joined(counts.withColumn("rank", rank), shares(there, most_words)).filter("rank <= share")
+    found = counts.select("lang", "word", "count").collect()
+    return Model(sorted(((r["lang"], r["word"], r["count"]) for r in found), key=lambda c: (-c[2], c[0], c[1])))
+
+
+def shares(there: dict[str, int], most: int) -> dict[str, int]:
+    """How many of its own each language may have, so that together they have `most`: small ones keep all, the others as many as each other (1 at least)."""
+    found, left = {}, most
+    for k, lang in enumerate(sorted(there, key=lambda lang: (there[lang], lang))):
+        found[lang] = min(there[lang], max(1, left // (len(there) - k)))
+        left -= found[lang]
+    return found
+
+
+def _by_language(rows: DataFrame) -> dict[str, int]:
+    return {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+
+
+def _joined(rows: DataFrame, share: dict[str, int]) -> DataFrame:
+    """The rows with their language's `share`."""
+    kind = rows.schema["lang"].dataType.simpleString()
+    return rows.join(F.broadcast(rows.sparkSession.createDataFrame(list(share.items()), f"lang {kind}, share long")), "lang")
 
 
 class Scorer:
