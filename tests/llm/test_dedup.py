@@ -51,9 +51,46 @@ def test_spark_hash_agrees(spark):
     assert value % (1 << 64) == xxhash.xxh64_intdigest(b"some four word shingle", 42)
 
 
-@pytest.mark.parametrize("limit", [20_000, 3])
+def test_any_four_positions_hold_a_triple():
+    assert len(simhash.TRIPLES) == 20 and all(any(set(t) <= set(four) for t in simhash.TRIPLES) for four in simhash.FOURS)
+
+
+def test_the_tally_drops_pairs_below_the_minimum():
+    rng = random.Random(5)
+    byte = lambda f, p: f >> 8 * p & 255
+    fps = np.array([rng.getrandbits(40) << 24 | 0xABCDEF for _ in range(300)], np.uint64)  # one list by three bytes
+    fps = np.unique(np.concatenate([fps, fps[:50] ^ np.uint64(1 << 30), fps[50:90] ^ np.uint64(0xF << 40), fps[90:120] ^ np.uint64(0x0101010101 << 24)]))
+    pairs = [(a, b) for k, a in enumerate(fps) for b in fps[k + 1 :]]
+    a, b = (np.array(x, np.uint64) for x in zip(*pairs, strict=True))
+    shared = simhash.tally(a, b)
+    assert shared.tolist() == [sum(byte(int(x), p) == byte(int(y), p) for p in range(8)) for x, y in pairs]
+    assert (shared == 3).sum() > 40_000 > 90 < (shared >= simhash.LEAST_SHARED).sum()  # most are dropped by the tally
+    assert simhash.near(a, b).tolist() == [(int(x) ^ int(y)).bit_count() <= 4 for x, y in pairs]
+    found = simhash._linked(np.zeros(len(fps), np.int64), fps)
+    assert len(found[0]) >= 90 and all((int(x) ^ int(y)).bit_count() <= 4 for x, y in zip(*found[:2], strict=True))
+
+
+def test_lists_are_whole_or_cut_by_size(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(simhash, "LIST_LIMIT", 40)
+    names = np.sort(np.concatenate([np.arange(100), np.full(90, 7), np.full(39, 55), np.full(41, 56), np.full(30, 99)]))
+    fps = np.arange(len(names)).astype(np.int64)
+    for size in (1, 13, 64, 1000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(names[k : k + size]), pa.array(fps[k : k + size])], names=["name", "fp"]) for k in range(0, len(names), size)]
+        whole, long = {}, {}
+        for n, f, is_whole in simhash._lists(iter(batches)):
+            cut = simhash._linked(n, f)[2] if is_whole else np.ones(len(f), bool)
+            for x, y, z in zip(n.tolist(), f.tolist(), cut, strict=True):
+                (long if z else whole).setdefault(x, []).append(y)
+        assert set(long) == {7, 56} and not set(long) & set(whole)
+        assert sorted(sum([*whole.values(), *long.values()], [])) == fps.tolist()
+
+
+@pytest.mark.parametrize("limit", [4_096, 20, 3])
 def test_links_join_what_pairs_join(spark, monkeypatch, limit):
     monkeypatch.setattr(simhash, "LIST_LIMIT", limit)
+    monkeypatch.setattr(simhash, "SHORT", min(simhash.SHORT, limit))
     rng = random.Random(3)
     fps = {rng.getrandbits(64) for _ in range(40)}
     for f in list(fps)[:12]:
@@ -81,6 +118,21 @@ def test_links_join_what_pairs_join(spark, monkeypatch, limit):
     assert all(len(g) == 1 for g in groups.values()) and len(groups) == len(set(expected.values()))
 
 
+def test_hot_keys_are_joined_apart(spark, monkeypatch):
+    from tripweave.llm import hot
+
+    monkeypatch.setattr(hot, "HOT_SHARE", 4)
+    rows = spark.createDataFrame([(None if k % 2 else k % 30, k) for k in range(600)], "key int, v int")
+    table = rows.groupBy("key").agg({"v": "max", "*": "count"}).toDF("key", "top", "n")
+    best = {r.key: r.top for r in table.collect()}
+    found = hot.join_counted(rows, table, ["key"], "n").collect()
+    assert len(found) == 600 and all(r.top == best[r.key] for r in found)
+    some = table.filter("key is null or key > 20")
+    assert hot.join_counted(rows, some, ["key"], "n").count() == sum(1 for k in range(600) if k % 2 or k % 30 > 20)
+    kept = hot.join_counted(rows, some, ["key"], "n", outer=True).collect()
+    assert len(kept) == 600 and all((r.top is None) == (r.key is not None and r.key <= 20) for r in kept)
+
+
 def test_simhash_on_odd_rows(odd, odd_rows, none):
     found = simhash.near_duplicates(odd).collect()
     assert len(found) == len(odd_rows)

@@ -11,17 +11,30 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tripweave.llm.hot import join_counted
 from tripweave.operators.components import components
 from tripweave.sources.shared import written
 
 SHINGLE_WORDS, SEED, MOST_BITS = 4, 42, 4
 BYTES = 8
-#: Two fingerprints that differ in so many bits agree in so many of their bytes at least.
+#: Two fingerprints that differ in so many bits agree in so many of their bytes at least: the guaranteed minimum of the tally.
 LEAST_SHARED = BYTES - MOST_BITS
-#: The sets of byte positions by which postings are named: any pair with LEAST_SHARED common bytes meets in one.
-POSITIONS = list(itertools.combinations(range(BYTES), LEAST_SHARED))
-#: Longer posting lists are linked by common neighbours instead of within one task.
-LIST_LIMIT = 20_000
+
+
+def _triples() -> list[tuple[int, ...]]:
+    """Sets of three byte positions such that any LEAST_SHARED positions hold one of them (Turan's construction).
+
+    The positions are dealt into three groups in a ring; a set lies in one group, or has two in one and one in the next.
+    """
+    group = [p * 3 // BYTES for p in range(BYTES)]
+    kinds = lambda t: [sum(group[p] == g for p in t) for g in range(3)]
+    return [t for t in itertools.combinations(range(BYTES), 3) if any(k == 3 or (k == 2 and kinds(t)[(g + 1) % 3] == 1) for g, k in enumerate(kinds(t)))]
+
+
+#: The sets of byte positions by which postings are named, and those that lists of over LIST_LIMIT are dealt by again.
+TRIPLES, FOURS = _triples(), list(itertools.combinations(range(BYTES), LEAST_SHARED))
+#: Longer posting lists are dealt again by one more byte; lists of at most SHORT are compared without a loop over lists.
+LIST_LIMIT, SHORT = 4_096, 16
 _BLOCK = 1 << 16
 
 
@@ -53,25 +66,28 @@ def fingerprints(docs: DataFrame, id_col: str | Column = "doc_id", text_col: str
     return rows.mapInArrow(kernel, f"id {rows.schema['id'].dataType.simpleString()}, fp long")
 
 
-def _posting_keys(fp: str):
-    """The named byte values of a fingerprint, one 64-bit name for each set of positions."""
+def _names(fp: str, sets: list[tuple[int, ...]]) -> list[Column]:
+    """The byte values of a fingerprint at each set of positions, with the set's number, as one 64-bit name each."""
     byte = [F.shiftrightunsigned(F.col(fp), 8 * i).bitwiseAND(F.lit(255)) for i in range(BYTES)]
     names = []
-    for k, positions in enumerate(POSITIONS):
+    for k, positions in enumerate(sets):
         name = F.lit(k).cast("long")
         for p in positions:
             name = F.shiftleft(name, 8).bitwiseOR(byte[p])
         names.append(name)
-    return F.explode(F.array(*names))
+    return names
 
 
-def _near(one: np.uint64, others: np.ndarray, most_bits: int) -> np.ndarray:
-    """Which of the others share enough positional bytes with one fingerprint and then differ in few bits."""
-    differ = others ^ one
-    shared = (differ.view(np.uint8).reshape(-1, BYTES) == 0).sum(axis=1)
-    near = shared >= BYTES - most_bits
-    near[near] = np.bitwise_count(differ[near]) <= most_bits
-    return near
+def tally(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
+    """How many positional bytes each two fingerprints share."""
+    return ((a ^ b).view(np.uint8).reshape(-1, BYTES) == 0).sum(axis=1)
+
+
+def near(a: np.ndarray, b: np.ndarray | np.uint64, most_bits: int = MOST_BITS) -> np.ndarray:
+    """Which pairs of a posting list reach the guaranteed number of shared bytes and then, verified, differ in few bits."""
+    found = tally(a, b) >= BYTES - most_bits
+    found[found] = np.bitwise_count((a ^ b)[found]) <= most_bits
+    return found
 
 
 def _forest(fps: np.ndarray, most_bits: int) -> tuple[list, list]:
@@ -82,77 +98,101 @@ def _forest(fps: np.ndarray, most_bits: int) -> tuple[list, list]:
         reached, left = [left[0]], left[1:]
         while reached and len(left):
             one = reached.pop()
-            near = _near(one, left, most_bits)
-            if near.any():
-                found = left[near]
+            hit = near(left, one, most_bits)
+            if hit.any():
+                found = left[hit]
                 a += [one] * len(found)
                 b += found.tolist()
                 reached += list(found)
-                left = left[~near]
+                left = left[~hit]
     return a, b
 
 
-def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, bool]]:
-    """Posting lists of two or more, from rows ordered by name: (name, fingerprints, whether the list is whole).
-
-    A list beyond LIST_LIMIT comes in parts, none of them whole.
-    """
-    name, parts, size, cut = None, [], 0, False
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Rows ordered by name, as (names, fingerprints, True) of whole lists or (names, fingerprints, False) of a part of one beyond LIST_LIMIT."""
+    names, fps, cut = np.zeros(0, np.int64), np.zeros(0, np.uint64), None
     for batch in batches:
-        names = batch.column(0).to_numpy(zero_copy_only=False)
-        fps = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
-        edges = np.concatenate(([0], np.flatnonzero(np.diff(names)) + 1, [len(names)])) if len(names) else np.zeros(1, np.int64)
-        multiple = np.flatnonzero((np.diff(edges) > 1) | (np.arange(len(edges) - 1) == 0) | (np.arange(len(edges) - 1) == len(edges) - 2))
-        for e in multiple:
-            s, t = edges[e], edges[e + 1]
-            if names[s] != name:
-                if size > 1 or cut:
-                    yield name, np.concatenate(parts), not cut
-                name, parts, size, cut = names[s], [], 0, False
-            parts.append(fps[s:t])
-            size += t - s
-            if size > LIST_LIMIT:
-                yield name, np.concatenate(parts), False
-                parts, size, cut = [np.zeros(0, np.uint64)], 0, True
-    if size > 1 or cut:
-        yield name, np.concatenate(parts), not cut
+        more, values = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        names, fps = np.concatenate([names, more]), np.concatenate([fps, values.view(np.uint64)])
+        if cut is not None:  # goes on with a list that is too long
+            k = int(np.searchsorted(names, cut, side="right"))
+            if k:
+                yield names[:k], fps[:k], False
+            names, fps = names[k:], fps[k:]
+        if not len(names):
+            continue
+        cut = None
+        last = int(np.searchsorted(names, names[-1]))
+        yield names[:last], fps[:last], True
+        names, fps = names[last:], fps[last:]
+        if len(names) > LIST_LIMIT:
+            yield names, fps, False
+            names, fps, cut = names[:0], fps[:0], names[0]
+    yield names, fps, True
+
+
+def _linked(names: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links (a, b) of whole posting lists, and which rows are in lists that are too long for it."""
+    starts = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]])) if len(names) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(starts, len(names)))
+    size = np.repeat(sizes, sizes)
+    links = []
+    short = np.flatnonzero(size <= SHORT)
+    for off in range(1, SHORT):
+        first = short[(short + off < len(names))]
+        first = first[names[first] == names[np.minimum(first + off, len(names) - 1)]]
+        if not len(first):
+            break
+        hit = near(fps[first], fps[first + off])
+        links.append((fps[first][hit], fps[first + off][hit]))
+    for k in np.flatnonzero((sizes > SHORT) & (sizes <= LIST_LIMIT)):
+        a, b = _forest(np.unique(fps[starts[k] : starts[k] + sizes[k]]), MOST_BITS)
+        links.append((np.array(a, np.uint64), np.array(b, np.uint64)))
+    a, b = (np.concatenate([x[k] for x in links] or [np.zeros(0, np.uint64)]) for k in (0, 1))
+    return a, b, size > LIST_LIMIT
 
 
 def _free_masks(name: int, most_bits: int) -> np.ndarray:
     """Changes of at most half of most_bits bits outside the byte positions that a posting list has in common."""
-    free = [8 * p + k for p in range(BYTES) if p not in POSITIONS[int(name) >> (8 * LEAST_SHARED)] for k in range(8)]
+    free = [8 * p + k for p in range(BYTES) if p not in FOURS[int(name) >> (8 * LEAST_SHARED)] for k in range(8)]
     sets = itertools.chain.from_iterable(itertools.combinations(free, r) for r in range(most_bits // 2 + 1))
     return np.array([sum(1 << k for k in s) for s in sets], np.uint64)
 
 
+def _search(postings: DataFrame) -> DataFrame:
+    """(a, b, name) from postings (name, fp): links within lists, and (fp, null, name) of the members of lists beyond LIST_LIMIT."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        longs = lambda x: pa.array(np.ascontiguousarray(x).view(np.int64))
+        for names, fps, whole in _lists(batches):
+            a, b, long = _linked(names, fps) if whole else (fps[:0], fps[:0], np.ones(len(fps), bool))
+            if len(a):
+                yield pa.RecordBatch.from_arrays([longs(a), longs(b), pa.nulls(len(a), pa.int64())], names=["a", "b", "name"])
+            if long.any():
+                yield pa.RecordBatch.from_arrays([longs(fps[long]), pa.nulls(int(long.sum()), pa.int64()), pa.array(names[long])], names=["a", "b", "name"])
+
+    n = max(int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    return written(postings.repartition(n, "name").sortWithinPartitions("name").mapInArrow(kernel, "a long, b long, name long"), "links")
+
+
 def links(distinct: DataFrame) -> DataFrame:
     """Links (a, b) between distinct fingerprints `fp` at MOST_BITS or fewer differing bits.
 
     Not every pair is given, but those joined by pairs are joined by links.
 
-    The index has a posting list for the values of each LEAST_SHARED byte
-    positions, so a list's members have the least number of matches already;
-    within a list the shared bytes are tallied, pairs below the guaranteed
-    minimum go, and the rest are compared bit by bit. A list is worked off
-    as a search from member to member that drops each one reached, so
-    a dense list costs little more than its length, and gives
-    a link less than it has members.
-
-    A list of over LIST_LIMIT isn't gathered: there each member names all
-    fingerprints within half the distance that the list allows, and
-    members with a common neighbour are linked to the least of them. Two
+    A single byte's posting list would hold 1/256 of all fingerprints, so the index names postings by three
+    positional bytes: 20 such sets are enough that any pair with the guaranteed minimum of LEAST_SHARED common bytes
+    meets in a list. Members of a list may share no more than those three: the pairs' shared bytes are
+    tallied over all positions, those below the minimum go, and the rest are verified bit by bit. A list of more than SHORT is
+    worked off as a search from member to member that drops each one reached, so a dense list
+    costs little more than its length and gives a link less than it has members.
+
+    A list of over LIST_LIMIT (hot bytes) isn't gathered: a pair that reaches the minimum shares a fourth byte too, so its members are dealt by
+    each fourth byte. Where even four bytes are shared by more than LIST_LIMIT, each member names all fingerprints within half the
+    distance that the list allows, and members with a common neighbour are linked to the least of them: two
     fingerprints have one exactly if they are within the full distance.
     """
 
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, fps, whole in _listed(batches):
-            if whole:
-                a, b = _forest(np.unique(fps), MOST_BITS)
-                if a:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.uint64).view(np.int64)) for x in (a, b)] + [pa.nulls(len(a), pa.int64())], names=["a", "b", "name"])
-            elif len(fps):
-                yield pa.RecordBatch.from_arrays([pa.array(fps.view(np.int64)), pa.nulls(len(fps), pa.int64()), pa.array(np.full(len(fps), name, np.int64))], names=["a", "b", "name"])
-
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, fps = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
@@ -162,10 +202,16 @@ def links(distinct: DataFrame) -> DataFrame:
                     part = own[start : start + 1000]
                     yield pa.RecordBatch.from_arrays([pa.array((part[:, None] ^ masks).ravel().view(np.int64)), pa.array(np.repeat(part, len(masks)).view(np.int64))], names=["near", "fp"])
 
-    postings = distinct.select(_posting_keys("fp").alias("name"), "fp")
-    n = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    found = written(postings.repartition(n, "name").sortWithinPartitions("name").mapInArrow(kernel, "a long, b long, name long"), "links")
+    found = _search(distinct.select(F.explode(F.array(*_names("fp", TRIPLES))).alias("name"), "fp"))
     pairs, long = found.filter("b is not null").select("a", "b"), found.filter("b is null")
+    if long.isEmpty():
+        return pairs
+    # The fours that hold a list's triple; lists of different triples may lead to one four.
+    fours = _names("a", FOURS)
+    triple = F.shiftright("name", 24)
+    again = F.filter(F.array(*(F.when(triple.isin([k for k, t in enumerate(TRIPLES) if set(t) <= set(four)]), fours[j]) for j, four in enumerate(FOURS))), lambda x: x.isNotNull())
+    found = _search(long.select(F.explode(again).alias("name"), F.col("a").alias("fp")).distinct())
+    pairs, long = pairs.union(found.filter("b is not null").select("a", "b")), found.filter("b is null")
     if long.isEmpty():
         return pairs
     around = written(long.select("name", "a").mapInArrow(neighbours, "near long, fp long").distinct(), "neighbours")
@@ -174,14 +220,19 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def near_components(docs: DataFrame, id_col: str | Column = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """(id, fp, component_id, component_size) of each row; id_col may be a column of its own, such as a struct."""
+    """(id, fp, component_id, component_size) of each row; id_col may be a column of its own, such as a struct.
+
+    Fingerprints of many rows and components of many fingerprints are joined by join_counted(), so no task gathers them.
+    """
     rows = written(fingerprints(docs, id_col, text_col, shingle_words), "fingerprints")
     distinct = written(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "distinct")
     named = components(links(distinct.select("fp")))
-    parts = distinct.join(named, distinct.fp == named.node, "left").select("fp", "least", "n", F.coalesce("component", "fp").alias("component"))
-    whole = parts.groupBy("component").agg(F.min("least").alias("component_id"), F.sum("n").alias("component_size"))
-    ids = written(parts.select("fp", "component").join(whole, "component").select("fp", "component_id", "component_size"), "components")
-    return rows.join(ids, "fp").select("id", "fp", "component_id", "component_size")
+    parts = written(distinct.join(named, distinct.fp == named.node, "left").select("fp", "least", "n", "component"), "parts")
+    linked, alone = parts.filter("component is not null"), parts.filter("component is null")
+    whole = written(linked.groupBy("component").agg(F.min("least").alias("component_id"), F.sum("n").alias("component_size"), F.count("*").alias("members")), "whole")
+    ids = join_counted(linked.select("fp", "component", "n"), whole, ["component"], "members").select("fp", "component_id", "component_size", "n")
+    ids = written(ids.union(alone.select("fp", "least", "n", "n")), "components")
+    return join_counted(rows, ids, ["fp"], "n").select("id", "fp", "component_id", "component_size")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS) -> DataFrame:
