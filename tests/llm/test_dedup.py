@@ -152,10 +152,12 @@ def test_exact_groups(docs, texts):
         assert {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in found} == expected and len(found) == len(expected)
 
 
-def test_hot_blocks_keep_one_name(spark, monkeypatch):
-    monkeypatch.setattr(exact_dedup, "HOT_SHARE", 2)
+@pytest.mark.parametrize("share", [2_000, 8])
+def test_hot_blocks_keep_one_name(spark, monkeypatch, share):
+    from tripweave.llm import hot
+
+    monkeypatch.setattr(hot, "HOT_SHARE", share)
     rows = [(i, "same text" if i % 3 else f"text {i % 7}") for i in range(2_000)]
-    monkeypatch.setattr(exact_dedup, "named", lambda *a, f=exact_dedup.named: f(*a[:3], 200, a[4]))
     found = exact_dedup.exact_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block_bytes=4).collect()
     sizes = {}
     for i, t in rows:

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tripweave.llm import hot
 from tripweave.sources.shared import written
 
 BLOCK_BYTES = 8192
-#: A bucket with more than this share of all rows is dealt over SALTS groups; there can be at most 2,000 such buckets.
-HOT_SHARE, SALTS = 2000, 64
 
 
 def named(rows: DataFrame, values: list[str], spread: list[str], total: int, name: str) -> DataFrame:
@@ -19,16 +18,17 @@ def named(rows: DataFrame, values: list[str], spread: list[str], total: int, nam
     the value's rank among the bucket's different ones, so two values that fall in
     one bucket still differ in rank. Only values are compared, no hash is trusted.
 
-    Buckets that hold more than 1/HOT_SHARE of the rows are sorted in SALTS parts
-    (by a hash of the columns in `spread`), and then one row for each different value
-    of each part is ranked. The values themselves aren't kept in the result,
-    which is written to the shared folder.
+    A bucket that holds more than 1/HOT_SHARE of the rows (there are fewer than HOT_SHARE of them) is sorted in as many parts as it has
+    such shares (by a hash of the columns in `spread`), and then one row for each different value
+    of each part is ranked; so no task sorts much more than that share, whatever a bucket holds. The values themselves
+    aren't kept in the result, which is written to the shared folder.
     """
     rows = rows.withColumn("_bucket", F.xxhash64(*values).bitwiseAND(F.lit(0x7FFFFFFF)))
-    counts = rows.groupBy("_bucket").count().filter(F.col("count") * HOT_SHARE > max(total, 200 * HOT_SHARE))
-    hot = [r[0] for r in counts.select("_bucket").collect()]
-    is_hot = F.col("_bucket").isin(hot) if hot else F.lit(False)
-    rows = rows.withColumn("_salt", F.when(is_hot, F.pmod(F.hash(*spread), F.lit(SALTS))).otherwise(0))
+    parts = F.ceil(F.col("count") * hot.HOT_SHARE / F.lit(max(total, 1))).cast("int")
+    salts = written(rows.groupBy("_bucket").count().withColumn("_parts", parts).filter("_parts > 1").select("_bucket", "_parts"), "salts")
+    rows = rows.join(F.broadcast(salts), "_bucket", "left")  # fewer than HOT_SHARE rows
+    is_hot = F.col("_parts").isNotNull()
+    rows = rows.withColumn("_salt", F.coalesce(F.pmod(F.hash(*spread), F.col("_parts")), F.lit(0)))
     by = Window.partitionBy("_bucket", "_salt").orderBy(*values)
     rows = rows.select("*", F.dense_rank().over(by).alias("_rank"), F.rank().over(by).alias("_first"), F.row_number().over(by).alias("_row"))
     keep = [c for c in rows.columns if c not in (*values, "_first", "_row")]
@@ -36,12 +36,12 @@ def named(rows: DataFrame, values: list[str], spread: list[str], total: int, nam
     taken = [F.when(is_hot & (F.col("_first") == F.col("_row")), F.col(v)).alias(f"_v{k}") for k, v in enumerate(values)]
     rows = written(rows.select(*keep, *taken), "named")
     label = lambda rank: F.shiftleft(F.col("_bucket"), 32).bitwiseOR(rank.cast("long")).alias(name)
-    outer = [c for c in keep if c not in ("_bucket", "_salt", "_rank")]
+    outer = [c for c in keep if c not in ("_bucket", "_parts", "_salt", "_rank")]
     cold = rows.filter(~is_hot).select(*outer, label(F.col("_rank")))
-    if not hot:
+    if salts.isEmpty():
         return cold
-    parts = rows.filter(is_hot & F.col("_v0").isNotNull())
-    ranks = parts.select("_bucket", "_salt", "_rank", F.dense_rank().over(Window.partitionBy("_bucket").orderBy(*(f"_v{k}" for k in range(len(values))))).alias("_whole"))
+    firsts = rows.filter(is_hot & F.col("_v0").isNotNull())
+    ranks = firsts.select("_bucket", "_salt", "_rank", F.dense_rank().over(Window.partitionBy("_bucket").orderBy(*(f"_v{k}" for k in range(len(values))))).alias("_whole"))
     return cold.union(rows.filter(is_hot).join(ranks, ["_bucket", "_salt", "_rank"]).select(*outer, label(F.col("_whole"))))
 
 
@@ -75,11 +75,11 @@ def text_identities(docs: DataFrame, id_col: str | Column = "doc_id", text_col:
 def exact_groups(docs: DataFrame, id_col: str | Column = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(id, sha, rows, keep_id, group_size): one row for each different pair of id and text, `rows` of which docs has.
 
-    id_col may also be a column of its own, such as a struct.
+    id_col may also be a column of its own, such as a struct. Classes of many rows are joined by join_counted(), so no task gathers them.
     """
     found = written(text_identities(docs, id_col, text_col, block_bytes), "identities")
-    groups = found.groupBy("level", "name").agg(F.max("id").alias("keep_id"), F.sum("rows").alias("group_size"))
-    return found.join(groups, ["level", "name"]).select("id", "sha", "rows", "keep_id", "group_size")
+    groups = written(found.groupBy("level", "name").agg(F.max("id").alias("keep_id"), F.sum("rows").alias("group_size"), F.count("*").alias("members")), "classes")
+    return hot.join_counted(found, groups, ["level", "name"], "members").select("id", "sha", "rows", "keep_id", "group_size")
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -90,8 +90,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     repeat both id and text each count and are each returned, and one of them can be kept. Other columns aren't read.
 
     The texts move once, as blocks; all later steps move a few numbers and a
-    digest per document. Groups are counted with partial aggregates and joined
-    back by a plain join, whose hot keys adaptive execution splits.
+    digest per document. Groups are counted with partial aggregates; neither naming nor the join back
+    gathers a group of many rows in one task. An empty table gives no rows.
     """
     rows = exact_groups(docs, id_col, text_col, block_bytes).select("*", F.explode(F.sequence(F.lit(1).cast("long"), "rows")).alias("copy"))
     kept = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)
