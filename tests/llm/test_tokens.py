@@ -71,6 +71,13 @@ def test_an_id_may_go_on_over_shards(spark):
     assert [r.start for r in found] == (np.cumsum([r.n_tokens for r in found]) - [r.n_tokens for r in found]).tolist()
 
 
+def test_shards_by_bytes(docs):
+    total = sum(len((r.text or "").encode()) + 16 for r in docs.collect())
+    assert token_files.shards_of(docs, "text", total // 20) == 21 or total % 20 == 0
+    manifest = token_files.write_token_files(docs, BYTE, shard_bytes=total // 20)
+    assert manifest.count() > 8 and manifest.agg({"documents": "sum"}).first()[0] == docs.count()
+
+
 def test_shards(tmp_path):
     uri = f"file://{tmp_path}/x.tokens"
     out = token_files.ShardWriter(uri, wide=False)

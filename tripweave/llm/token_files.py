@@ -34,6 +34,8 @@ from tripweave.sources.shared import new_path, written
 
 MAGIC = b"TWTOKEN1"
 BUCKET_KEYS = 2
+#: A shard's share of all text, in bytes, is this at most (but for documents that are longer).
+SHARD_BYTES = 256 << 20
 
 
 def key_bytes(key) -> bytes:
@@ -191,7 +193,13 @@ class ShardReader:
         return [self.ids(p) for p in self.places([key])[0]]
 
 
-def write_token_files(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end: int = 0, folder: str | None = None) -> DataFrame:
+def shards_of(docs: DataFrame, text_col: str, shard_bytes: int) -> int:
+    """How many shards are written: one a task, and as many more as the bytes of all texts ask for (with 16 for each row)."""
+    total = docs.agg(F.sum(F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)) + F.lit(16).cast("long"))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // shard_bytes))
+
+
+def write_token_files(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end: int = 0, folder: str | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Encodes every whole text and writes shards in ascending id order; returns their manifest.
 
     Manifest: shard, path, first_id and last_id (both inclusive), documents, tokens, start (ids of all shards before).
@@ -199,13 +207,14 @@ def write_token_files(docs: DataFrame, vocabulary: str, id_col: str = "doc_id",
     A null text counts as empty (only the end id), a null id comes first, rows that repeat an id stand
     side by side ordered by a hash of the text, and other columns aren't read. An empty table gives no shard.
     Rows are dealt by ranges of id and that hash, so the texts move once and an id that many rows
-    share may go on over several shards. An attempt at a task writes a file
+    share may go on over several shards. There are as many shards as tasks, and more where one would hold over shard_bytes of text, so what
+    a task holds of a shard (its keys and their index) is bounded by that. An attempt at a task writes a file
     of its own name, and the manifest, which is written once, names those of the attempts that
     counted: a lost executor or a second attempt leaves no mixed shard.
     """
     spark = docs.sparkSession
     folder = folder or new_path(spark, "tokens")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = shards_of(docs, text_col, shard_bytes)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(text_col).alias("hash"))
     kind = rows.schema["id"].dataType.simpleString()
 
