@@ -41,7 +41,7 @@ FROM {table} WINDOW g AS (PARTITION BY coalesce(text, ''))"""
 
 def mix(table: str) -> str:
     return f"""
-WITH mx_d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size, ('0x' || substr(md5('7|' || doc_id::VARCHAR), 1, 8))::BIGINT AS draw FROM {table}),
+WITH mx_d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size, ('0x' || substr(md5('7|' || coalesce(doc_id::VARCHAR, 'null') || '|' || md5(coalesce(text, ''))), 1, 8))::BIGINT AS draw FROM {table}),
 mx_s AS (SELECT source AS s, sum(size)::BIGINT AS source_size, ([3, 1, 2])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight FROM mx_d GROUP BY source),
 mx_c AS (SELECT *, 2 * source_size AS cap, 1.5::DOUBLE * sum(source_size) OVER () AS budget FROM mx_s),
 mx_o AS (SELECT *, row_number() OVER o AS turn, (budget - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT) / (sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS lv FROM mx_c WINDOW o AS (ORDER BY cap / weight, s NULLS LAST)),
