@@ -38,10 +38,51 @@ def test_a_bad_host_takes_its_documents_along(spark):
     assert all(found[k].kept == (rows[k][1] == good) for k in range(200))
 
 
+def prior_of(hosts):
+    """beta_prior of hosts given as (documents, failures)."""
+    return quality_rules.beta_prior(len(hosts), sum(n for n, _ in hosts), sum(n * n for n, _ in hosts), sum(x for _, x in hosts), sum(x * x / n for n, x in hosts))
+
+
 def test_beta_prior():
-    a, b = quality_rules.beta_prior(0.1, 0.01)
-    assert a / (a + b) == pytest.approx(0.1) and a + b == pytest.approx(8)
-    assert quality_rules.beta_prior(0.0, 0.0) == (0.0, 1000.0) and quality_rules.beta_prior(None, None) == (0.0, 1000.0)
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for alpha, beta in ((2.0, 6.0), (0.5, 20.0)):
+        sizes = rng.integers(3, 60, 20_000)
+        hosts = list(zip(sizes.tolist(), rng.binomial(sizes, rng.beta(alpha, beta, len(sizes))).tolist(), strict=True))
+        a, b = prior_of(hosts)
+        assert a == pytest.approx(alpha, rel=0.1) and b == pytest.approx(beta, rel=0.1)  # small hosts' noise doesn't count as spread
+    alike = list(zip(sizes.tolist(), rng.binomial(sizes, 0.3).tolist(), strict=True))
+    assert sum(prior_of(alike)) > 500
+    assert prior_of([(10, 0), (20, 0)]) == (0.0, 1e6) and prior_of([(1, 1), (1, 0)]) == (0.5e6, 0.5e6) and prior_of([(9, 3)])[0] == pytest.approx(1e6 / 3)
+    assert quality_rules.beta_prior(0, None, None, None, None) == (0.0, 1e6)
+
+
+def hosts_near_the_cut():
+    """Documents of hosts whose shares of failing documents straddle one half, with sizes from 1 to 300, and one without a name."""
+    good = " ".join(f"w{k}" for k in range(30))
+    symbols, lines = good + " " + "#" * 60, "\n".join(["one line of it again"] * 2 + ["w x y z"] * 20 + [good])
+    rows = []
+    for h in range(60):
+        size, bad = (1, 2, 5, 12, 40, 300)[h % 6], ("too short", symbols, lines)[h % 3]
+        share = (0.0, 0.05, 0.3, 0.45, 0.49, 0.51, 0.55, 0.7, 0.9, 1.0)[h // 6]
+        rows += [(1000 * h + k, bad if k < share * size else good, f"h{h}" if h else None) for k in range(size)]
+    return rows
+
+
+def test_hosts_near_the_cut_by_sql(spark, tmp_path):
+    docs = spark.createDataFrame(hosts_near_the_cut(), "doc_id long, text string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    sql = con.execute(oracles.quality_rules("documents"))
+    expected = [dict(zip([c[0] for c in sql.description], r, strict=True)) for r in sql.fetchall()]
+    got = [r.asDict() for r in quality_rules.quality_rules(docs).collect()]
+    assert sorted(map(repr, (sorted(r.items()) for r in got))) == sorted(map(repr, (sorted(r.items()) for r in expected)))
+    verdict = {r["doc_id"] // 1000: r["host_rejected"] for r in got}
+    sizes = {h: (1, 2, 5, 12, 40, 300)[h % 6] for h in verdict}
+    assert 5 < sum(verdict.values()) < 40 and any(not r["kept"] and not r["base_failed"] for r in got)
+    assert not verdict[0] and verdict[59] and {v for h, v in verdict.items() if sizes[h] == 300} == {True, False}
 
 
 def test_rules_on_odd_rows(odd, odd_rows, none):
@@ -84,6 +125,17 @@ def test_mix_on_odd_rows(odd, odd_rows, none):
     assert mixing.mix(none).count() == 0
 
 
+def test_rows_that_share_an_id_are_spread(spark):
+    rows = spark.createDataFrame([(None if k % 3 else 7, f"word{k} " * (k % 5 + 1), "one" if k % 4 else None) for k in range(3_000)], "doc_id long, text string, source string")
+    found = mixing.mix(rows).collect()
+    for source in ("one", None):
+        own = [r for r in found if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 5
+        assert {r.copies for r in own} <= {1, 2} if source else {r.copies for r in own} <= {0, 1, 2}
+    folder = [r.draw for r in rows.select(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("7"), F.lit("null"), F.md5("text"))), 1, 8), 16, 10).alias("draw")).collect()]
+    assert len(set(folder)) > 2_900
+
+
 def test_mix_comes_near_its_targets(docs):
     found = mixing.mix(docs).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.max("size").alias("largest")).collect()
     assert all(abs(r.taken - r.target) <= r.largest / 2 + 1 for r in found)

@@ -5,14 +5,13 @@ from __future__ import annotations
 
 def quality_rules(table: str) -> str:
     """One row per document with the columns of its quality verdict."""
-    def beta(name: str) -> str:
-        return f"""avg({name} / documents::DOUBLE) AS m_{name}, var_pop({name} / documents::DOUBLE) AS v_{name}"""
-
-    def strength(name: str) -> str:
-        return f"CASE WHEN v_{name} IS NULL OR v_{name} = 0 THEN 1000.0 ELSE least(greatest(m_{name} * (1 - m_{name}) / v_{name} - 1, 1.0), 1000.0) END"
-
     names = ("fail_base", "fail_symbols", "fail_lines")
-    over = " OR ".join(f"({n} + m_{n} * ({strength(n)})) / (documents + ({strength(n)})) > 0.5" for n in names)
+    sums = ", ".join(f"sum({n})::DOUBLE AS x_{n}, sum({n} * {n} / documents::DOUBLE) AS q_{n}" for n in names)
+    moments = ", ".join(f"(q_{n} - x_{n} * x_{n} / n) / (k - 1) AS b_{n}, (x_{n} - q_{n}) / (n - k) AS w_{n}" for n in names)
+    strengths = ", ".join(
+        f"CASE WHEN k > 1 AND n > k AND b_{n} > w_{n} AND b_{n} + (usual - 1) * w_{n} > 0 THEN least((b_{n} + (usual - 1) * w_{n}) / (b_{n} - w_{n}) - 1, 1000000.0) ELSE 1000000.0 END AS s_{n}" for n in names
+    )
+    over = " OR ".join(f"({n} + x_{n} / n * s_{n}) / (documents + s_{n}) > 0.5" for n in names)
     return f"""
 WITH qr_t AS (SELECT doc_id, source, coalesce(text, '') AS t FROM {table}),
 qr_w AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM qr_t),
@@ -27,8 +26,10 @@ qr_m AS (
     len(ws) < 20 OR 100 * coalesce(n, 0) > 30 * len(ws) AS base_failed
   FROM qr_w w LEFT JOIN qr_n r ON w.doc_id = r.doc_id),
 qr_h AS (SELECT source, count(*) AS documents, count(*) FILTER (base_failed) AS fail_base, count(*) FILTER (5 * n_symbols > word_chars) AS fail_symbols, count(*) FILTER (2 * n_dup_lines > n_lines) AS fail_lines FROM qr_m GROUP BY source),
-qr_b AS (SELECT {', '.join(map(beta, names))} FROM qr_h),
-qr_v AS (SELECT source AS host, {over} AS host_rejected FROM qr_h, qr_b)
+qr_a AS (SELECT count(*) AS k, sum(documents)::DOUBLE AS n, sum(documents::DOUBLE * documents) AS n2, {sums} FROM qr_h),
+qr_b AS (SELECT *, (n - n2 / n) / nullif(k - 1, 0) AS usual, {moments.replace('(k - 1)', 'nullif(k - 1, 0)').replace('(n - k)', 'nullif(n - k, 0)')} FROM qr_a),
+qr_s AS (SELECT *, {strengths} FROM qr_b),
+qr_v AS (SELECT source AS host, {over} AS host_rejected FROM qr_h, qr_s)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT host_rejected AS kept, n_lines, host_rejected
 FROM qr_m JOIN qr_v ON source IS NOT DISTINCT FROM host"""
 

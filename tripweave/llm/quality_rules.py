@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tripweave.llm.hot import HOT_SHARE
 from tripweave.sources.shared import written
 
 SPACE, WORD_START = "[\\x20\\x09-\\x0D]+", "[^\\x20\\x09-\\x0D]"
@@ -13,6 +14,8 @@ WINDOW = 8
 LEAST_WORDS, MOST_REPEATED = 20, 30
 #: A host is rejected when the shrunk rate of one rule's failures is above this.
 MOST_FAILURES = 0.5
+#: Strength of a prior, in documents, at most: that of hosts whose rates differ no more than chance lets them.
+MOST_STRENGTH = 1_000_000.0
 #: Rules that a host's documents are counted by.
 RULES = {
     "fail_base": "base_failed",
@@ -66,45 +69,68 @@ def host_verdicts(rows: DataFrame) -> DataFrame:
     """(host, documents, host_rejected) from measured rows.
 
     The failures of each rule among a host's documents are shrunk to the rate of
-    all hosts by a beta prior fitted to the hosts' rates (moments): a host with few
+    all documents by a beta prior fitted to the hosts (beta_prior): a host with few
     documents is judged by what hosts are like, one with many by its own.
     """
     hosts = rows.groupBy("host").agg(F.count("*").alias("documents"), *(F.count_if(F.expr(rule)).alias(name) for name, rule in RULES.items()))
     hosts = written(hosts, "hosts")
-    moments = [f for name in RULES for f in (F.avg(F.col(name) / F.col("documents")), F.var_pop(F.col(name) / F.col("documents")))]
-    found = hosts.agg(*moments).first()
+    n = F.col("documents")
+    sums = [f for name in RULES for f in (F.sum(name), F.sum(F.col(name) * F.col(name) / n))]
+    found = hosts.agg(F.count("*"), F.sum(n), F.sum(n.cast("double") * n), *sums).first()
     rejected = F.lit(False)
     for k, name in enumerate(RULES):
-        alpha, beta = beta_prior(found[2 * k], found[2 * k + 1])
+        alpha, beta = beta_prior(*found[:3], found[3 + 2 * k], found[4 + 2 * k])
         rejected = rejected | ((F.col(name) + alpha) / (F.col("documents") + (alpha + beta)) > MOST_FAILURES)
     return hosts.select("host", "documents", rejected.alias("host_rejected"))
 
 
-def beta_prior(mean: float | None, variance: float | None) -> tuple[float, float]:
-    """Beta distribution of that mean and variance; one observation's worth at least, 1,000 at most."""
-    mean = mean or 0.0
-    spread = mean * (1 - mean)
-    strength = 1000.0 if not variance else min(max(spread / variance - 1, 1.0), 1000.0)
+def beta_prior(hosts: int, documents: int | None, squared: float | None, failures: int | None, ratios: float | None) -> tuple[float, float]:
+    """Beta distribution of the hosts' failure rates, by moments of the beta-binomial that weigh a host by its documents.
+
+    squared: sum of the squares of the hosts' documents; ratios: sum of failures squared over documents. The spread between hosts is what exceeds
+    the spread within them (the binomial noise of finite hosts isn't taken for a difference); their intraclass correlation r
+    gives the strength 1 / r - 1. Where no spread is left, or nothing tells spread from noise, the strength is MOST_STRENGTH.
+    """
+    if not documents:
+        return 0.0, MOST_STRENGTH
+    mean, strength = failures / documents, MOST_STRENGTH
+    if hosts > 1 and documents > hosts:
+        between = (ratios - failures * mean) / (hosts - 1)
+        within = (failures - ratios) / (documents - hosts)
+        usual = (documents - squared / documents) / (hosts - 1)
+        extra, whole = between - within, between + (usual - 1) * within
+        if extra > 0 and whole > 0:
+            strength = min(whole / extra - 1, MOST_STRENGTH)
     return mean * strength, (1 - mean) * strength
 
 
 def judged(docs: DataFrame, kept: Column, text_col: str = "text", host_col: str = "source") -> DataFrame:
     """The columns of measures() with host_rejected and passed: neither the document nor its host was rejected.
 
-    The measured rows are written once; rejected hosts are joined back by a plain join that
-    adaptive execution may broadcast when they turn out few, or split where one host is hot.
+    The measured rows are written once. Rejected hosts with more than 1/HOT_SHARE of all documents are fewer than HOT_SHARE and broadcast; the
+    others are joined by a plain join, in which no host has more than that share, if there are any.
     """
     rows = written(measures(docs, kept, text_col, host_col), "measures")
-    bad = host_verdicts(rows).filter("host_rejected").select(F.col("host").alias("bad_host"), F.lit(True).alias("bad"))
-    rows = rows.join(bad, F.col("host").eqNullSafe(F.col("bad_host")), "left").withColumn("host_rejected", F.coalesce("bad", F.lit(False)))
-    return rows.drop("bad_host", "bad").withColumn("passed", ~F.col("base_failed") & ~F.col("host_rejected"))
+    verdicts = host_verdicts(rows)
+    total = verdicts.agg(F.sum("documents")).first()[0] or 0
+    bad = verdicts.filter("host_rejected").withColumn("hot", F.col("documents") * HOT_SHARE > F.lit(total))
+    side = lambda test, mark: bad.filter(test).select(F.col("host").alias("bad_host"), F.lit(True).alias(mark))
+    same = F.col("host").eqNullSafe(F.col("bad_host"))
+    rows = rows.join(F.broadcast(side("hot", "bad")), same, "left").drop("bad_host")
+    if bad.filter("not hot").isEmpty():
+        rejected = F.col("bad").isNotNull()
+    else:
+        rows = rows.join(side("not hot", "worse"), same, "left").drop("bad_host")
+        rejected = F.col("bad").isNotNull() | F.col("worse").isNotNull()
+    rows = rows.withColumn("host_rejected", rejected).drop("bad", "worse")
+    return rows.withColumn("passed", ~F.col("base_failed") & ~F.col("host_rejected"))
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """Each row's measures and verdict: id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_lines, host_rejected.
 
     A null text counts as empty (no words: base_failed); rows without a host are
-    one host; repeated rows are judged alike; other columns aren't read. kept is false if the
+    one host; repeated rows are judged alike; an empty table gives no rows; other columns aren't read. kept is false if the
     document fails the base rules or its host is rejected.
     """
     rows = judged(docs, F.col(id_col), text_col, host_col)
