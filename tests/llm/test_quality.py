@@ -5,6 +5,7 @@ from collections import Counter
 
 import duckdb
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from tripweave.llm import language, mixing, oracles, quality_model, quality_rules, queries, secret_scan
@@ -146,18 +147,86 @@ def test_language_by_held_out_rows(spark, sf_dir, docs):
     assert len(found) > 20 and sum(r.lang_pred == r.lang for r in found) / len(found) > 0.95 and all(0 <= r.score <= 1 for r in found)
 
 
-def test_language_backs_off():
-    model = language.Model([("en", "thing", 5), ("en", "the", 9), ("fr", "chose", 5), ("fr", "le", 9)])
-    assert model.word("the")[0] > model.word("the")[1]
-    assert model.word("things").argmax() == 0 and model.word("choses").argmax() == 1  # by n-grams
-    assert (model.word("ЖЖЖ") == 0).all()
-
-
-def test_rare_language_keeps_its_words(spark):
+def plain_language(rows, texts, longest=5):
+    """(language, score) of texts by counting words and n-grams of (language, text) in dictionaries."""
+    import math
+
+    words = lambda t: regex.findall(r"\p{L}+", t.lower())
+    grams = lambda w, size: [g for g in (f" {w} "[k : k + size] for k in range(len(w) + 3 - size)) if g != " "]
+    languages = sorted({lang for lang, _ in rows})
+    counts = [Counter() for _ in range(longest + 1)]
+    for lang, text in rows:
+        for w in words(text or ""):
+            counts[0][w, lang] += 1
+            for size in range(1, longest + 1):
+                counts[size].update((g, lang) for g in grams(w, size))
+    names = [{n for n, _ in c} for c in counts]
+    totals = [{lang: sum(c[n, lang] for n in own) + 0.5 * len(own) for lang in languages} for c, own in zip(counts, names, strict=True)]
+    log = lambda level, name, lang: math.log((counts[level][name, lang] + 0.5) / totals[level][lang])
+
+    def score(w, lang):
+        if w in names[0]:
+            return log(0, w, lang)
+        for size in range(longest, 0, -1):
+            if known := [g for g in grams(w, size) if g in names[size]]:
+                return sum(log(size, g, lang) for g in known) / len(known)
+        return 0.0
+
+    found = []
+    for t in texts:
+        sums = {lang: sum(score(w, lang) for w in words(t or "")) for lang in languages}
+        if not words(t or ""):
+            found.append(("und", 0.0))
+            continue
+        best = max(languages, key=lambda lang: (sums[lang], [-ord(c) for c in lang]))
+        found.append((best, 1 / sum(math.exp(max(v - sums[best], -700)) for v in sums.values())))
+    return found
+
+
+def test_language_query_by_brute_force(spark, sf_dir, docs):
+    import zlib
+
+    rows = docs.collect()
+    usable = [(r.lang, r.text) for r in rows if r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
+    expected = plain_language(usable, [r.text for r in rows])
+    found = {r.doc_id: r for r in queries.op3_language(spark, sf_dir).collect()}
+    assert len(found) == len(rows)
+    for r, (lang, score) in zip(rows, expected, strict=True):
+        assert found[r.doc_id].lang_pred == lang and found[r.doc_id].score == pytest.approx(score, abs=1e-3)
+        assert found[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
+def test_language_backs_off(spark):
+    rows = [("en", "thing thing the the"), ("fr", "chose chose le le"), ("fr", None)]
+    model = language.train(spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id long, lang string, text string"), F.lit(True))
+    the, things, choses, other = model.words(["the", "things", "choses", "ЖЖЖ"])
+    assert the[0] > the[1] and things.argmax() == 0 and choses.argmax() == 1 and (other == 0).all()  # by n-grams
+    texts = ["the", "things", "choses le", "ЖЖЖ", "thexx lechose!", "", "12", "Le THING"]
+    names, scores = language.Scorer(model).predict(__import__("pyarrow").array([*texts, None]))
+    assert [(n, pytest.approx(s, abs=1e-5)) for n, s in zip(names, scores, strict=True)] == plain_language(rows, [*texts, None])
+
+
+def test_chunks_beyond_the_bound_score_alike(spark, monkeypatch):
+    import pyarrow as pa
+
+    rows = spark.createDataFrame([(0, "en", "the thing is here"), (1, "es", "la cosa esta ahi")], "doc_id long, lang string, text string")
+    model = language.train(rows, F.lit(True))
+    texts = pa.array([f"the cosa w{k} is thing{k % 3}" for k in range(50)])
+    free = language.Scorer(model).predict(texts)
+    monkeypatch.setattr(language, "MOST_CHUNKS", 5)
+    tight = language.Scorer(model)
+    for _ in range(2):
+        names, scores = tight.predict(texts)
+        assert names == free[0] and scores.tolist() == pytest.approx(free[1].tolist())
+    assert len(tight.places) == 5
+
+
+def test_rare_language_keeps_its_rows(spark):
     rows = [(k, f"the thing {chr(97 + k % 26)}{chr(97 + k // 26 % 26)}word is the thing", "en") for k in range(900)] + [(900 + k, "una cosa rara", "es") for k in range(3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    model = language.train(docs, F.lit(True), most_rows=50, most_words=10)
-    assert model.languages == ["en", "es"] and len(model.words.places) <= 10 and {"una", "cosa", "rara", "the", "thing"} <= set(model.words.places)
+    model = language.train(docs, F.lit(True), most_rows=50)
+    assert model.languages == ["en", "es"] and model._known(0, ["una", "cosa", "rara", "the", "thing", "zzz"])[0].tolist() == [True] * 5 + [False]
+    assert 20 < len(model.levels[0][0]) < 80  # about 47 rows of en, all of es, and all their words
     assert language.shares({"a": 2, "b": 50, "c": 100}, 60) == {"a": 2, "b": 29, "c": 29}
 
 
