@@ -257,6 +257,50 @@ def test_pairs_by_the_identity_are_all_pairs():
     assert machine.raw(np.zeros(4, np.int64), f, x, 1)[0][0] == pytest.approx(slow)
 
 
+def plain_score(model, text, stated):
+    """A text's score, features worked out one by one and every pair of them multiplied out."""
+    import math
+    import zlib
+
+    import numpy as np
+
+    text = text or ""
+    chunks, chars, lines = text.split(" "), max(len(text), 1), text.split("\n")
+    words = Counter(zlib.crc32(c.strip(".,;:!?\n").lower().encode()) % quality_model.BUCKETS for c in chunks)
+    norm = math.sqrt(sum(n * n for n in words.values()))
+    shares = [len(regex.findall(p, text)) / chars for p in quality_model.CLASSES]
+    log = lambda n: math.log(1 + n) / 12
+    told = [0, 0, 1] if stated is None else [log(max(stated, 0)), abs(log(max(stated, 0)) - log(len(text))), 0]
+    structure = [*shares, min(chars / len(chunks) / 20, 2), len(words) / len(chunks), 1 - len(set(lines)) / len(lines), log(chars), log(len(chunks)), log(len(lines)), *told]
+    scaled = [min(max((v - m) / s, -5), 5) / math.sqrt(len(structure)) for v, m, s in zip(structure, model.mean, model.scale, strict=True)]
+    f = np.array([*words, *range(quality_model.BUCKETS, quality_model.BUCKETS + len(scaled))])
+    x = np.array([*(n / norm for n in words.values()), *scaled])
+    together = model.factors[f] * x[:, None]
+    raw = model.bias + model.linear[f] @ x + np.triu(together @ together.T, 1).sum()
+    return 1 / (1 + math.exp(-min(max(raw, -30), 30)))
+
+
+def test_quality_query_by_brute_force(spark, sf_dir, docs):
+    import zlib
+
+    model = quality_model.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), queries.fold(3) != 1)
+    found = {r.doc_id: r for r in queries.op7_quality_model(spark, sf_dir).collect()}
+    rows = docs.collect()
+    assert len(found) == len(rows) and model.factors[quality_model.BUCKETS :].any()
+    for r in rows:
+        expected, got = plain_score(model, r.text, r.n_chars), found[r.doc_id]
+        assert got.score == pytest.approx(expected, abs=1e-6) and got.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+        assert got.predicted == (got.score >= 0.5)
+
+
+def test_metadata_counts(spark):
+    rows = [(k, "the same text for all of them", 29 if k % 2 else 400, k % 2) for k in range(200)]
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, n_chars long")
+    model = quality_model.train(docs, spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, quality int"), F.lit(True))
+    assert all((r.score > 0.5) == bool(r.doc_id % 2) for r in quality_model.score(docs, model).collect())
+    assert quality_model.score(docs.drop("n_chars"), model).count() == 200
+
+
 def test_quality_model_on_odd_rows(spark, odd, odd_rows, none):
     labels = spark.createDataFrame([(1, 1), (4, 0), (6, None), (None, 1)], "doc_id long, quality int")
     model = quality_model.train(odd, labels, F.lit(True))

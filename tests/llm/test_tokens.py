@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer, models, pre_tokenizers
 
-from tripweave.llm import encoders, packing, token_counts, token_files
+from tripweave.llm import encoders, packing, queries, token_counts, token_files
 
 BYTE, WORD, PIECE = "byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"
 ODD = ["", " ", "  ", "a  b", "a   b", " a", "a ", "\n a \nb", "x\n\ny", "x <|endoftext|> y", "<|startoftext|>a", "İé é ß ﬁ ΑΣ'S it's", "a b ́c", "1234 5٣", "\x1c x\x1dy", "a\x85b", "日本語 テキスト 🎉", "a b", "　x", "'s ' s 're"]
@@ -99,14 +99,17 @@ def test_repeated_keys_have_no_perfect_hash():
         token_files.PerfectHash.build([b"a", b"a"])
 
 
-def test_counts_are_the_tokenizer_s(docs, texts, odd, odd_rows, none):
+def test_counts_are_the_tokenizer_s(spark, sf_dir, texts, odd, odd_rows, none):
     tokenizer = Tokenizer(models.Unigram(token_counts.piece_scores(PIECE), unk_id=0, byte_fallback=True))
     tokenizer.pre_tokenizer = pre_tokenizers.Metaspace()
-    sample = [*ODD, "▁x y▁z", "<0x0A> <s> x</s>", "ꙮꙮ ꙮa", None, *list(texts.values())[:60]]
-    found = token_counts.counter(PIECE).count(pa.array(sample))
-    assert found[:, 0].tolist() == [len(tokenizer.encode(t or "").ids) for t in sample]
-    assert token_counts.token_counts(docs, PIECE).count() == len(texts)
-    assert Counter(r.doc_id for r in token_counts.token_counts(odd, PIECE).collect()) == Counter(r[0] for r in odd_rows)
+    count = lambda t: len(tokenizer.encode(t or "").ids)
+    of_bytes = lambda t: sum(x.startswith("<0x") for x in tokenizer.encode(t or "").tokens)
+    sample = [*ODD, "▁x y▁z", "<0x0A> <s> x</s>", "ꙮꙮ ꙮa", None]
+    assert token_counts.counter(PIECE).count(pa.array(sample))[:, 0].tolist() == [count(t) for t in sample]
+    found = {r.doc_id: (r.n_tokens, r.n_byte_tokens) for r in queries.op8_token_counts(spark, sf_dir).collect()}
+    assert found == {i: (count(t), of_bytes(t)) for i, t in texts.items()}
+    got = Counter((r.doc_id, r.n_tokens) for r in token_counts.token_counts(odd, PIECE).collect())
+    assert got == Counter((r[0], count(r[1])) for r in odd_rows)
     assert token_counts.token_counts(none, PIECE).count() == 0
 
 

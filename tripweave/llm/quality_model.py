@@ -18,7 +18,10 @@ MOST_ROWS, BUCKETS, FACTORS = 12_000, 1 << 14, 4
 STEPS, BATCH, RATE, DECAY, SEED = 1500, 64, 0.02, 1e-5, 11
 #: Character classes whose shares of a text are features.
 CLASSES = (r"\p{L}", r"\p{Lu}", r"\p{N}", r"[#*$%&|<>]", r"[.,;:!?]", r"\n")
-STRUCTURE = len(CLASSES) + 6
+#: Numbers of a text's structure, and of its metadata (three).
+STRUCTURE = len(CLASSES) + 6 + 3
+#: The table's own columns that a score may use.
+METADATA = "n_chars"
 
 
 class Features:
@@ -26,7 +29,8 @@ class Features:
 
     Word weights are counts over the root of the sum of their squares. Structure: shares of
     character classes, mean chunk length, share of distinct chunks, share of repeated
-    lines, lengths in characters, words and lines (logarithms).
+    lines, lengths in characters, words and lines (logarithms). Metadata: the stated number of characters (logarithm), by how much
+    it is off, and whether none is stated.
     """
 
     def __init__(self):
@@ -36,7 +40,7 @@ class Features:
     def _bucket(chunk: str) -> int:
         return zlib.crc32(chunk.strip(".,;:!?\n").lower().encode()) % BUCKETS
 
-    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def __call__(self, texts: pa.Array, stated: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(documents, buckets, weights) of the hashed words, ordered by document, and the structure (a row per text)."""
         texts = pc.fill_null(texts, "")
         cut = Chunks(texts)
@@ -55,7 +59,10 @@ class Features:
         line_doc = np.repeat(np.arange(n), per_doc)
         different = np.bincount(np.unique(line_doc * (coded.max(initial=0) + 1) + coded) // (coded.max(initial=0) + 1), minlength=n)
         distinct_words = np.bincount(docs, minlength=n)
-        structure = np.stack([*shares, np.minimum(chars / cut.counts / 20, 2), distinct_words / cut.counts, 1 - different / per_doc, np.log1p(chars) / 12, np.log1p(cut.counts) / 12, np.log1p(per_doc) / 12], axis=1)
+        none = np.asarray(pc.is_null(stated))
+        told = np.log1p(np.maximum(pc.fill_null(stated, 0).to_numpy(zero_copy_only=False).astype(np.float64), 0))
+        metadata = [np.where(none, 0, told) / 12, np.where(none, 0, np.abs(told - np.log1p(pc.utf8_length(texts).to_numpy(zero_copy_only=False)))) / 12, none.astype(float)]
+        structure = np.stack([*shares, np.minimum(chars / cut.counts / 20, 2), distinct_words / cut.counts, 1 - different / per_doc, np.log1p(chars) / 12, np.log1p(cut.counts) / 12, np.log1p(per_doc) / 12, *metadata], axis=1)
         return docs, words, weights, structure.astype(np.float64)
 
 
@@ -130,26 +137,27 @@ class FactorisationMachine:
         return self
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_rows: int = MOST_ROWS) -> FactorisationMachine:
+def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", meta_col: str = METADATA, most_rows: int = MOST_ROWS) -> FactorisationMachine:
     """A model fitted on about most_rows labelled rows (chosen by a hash of the id) of those that are `usable`.
 
     Features are worked out on the executors; the driver gets their numbers only, for that many rows at most.
-    Rows without a label are ignored, and an id that occurs more often counts each time.
+    Rows without a label are ignored, and an id that occurs more often counts each time. A null text counts as empty, and a null (or absent) meta_col as
+    not stated. With nothing to learn from all texts score alike.
     """
     marked = labels.filter(usable & F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("label"))
     there = marked.count()
     if there > most_rows:
         marked = marked.filter(F.pmod(F.xxhash64(F.lit("quality"), "id"), F.lit(1 << 40)) < int((1 << 40) * (most_rows / there)))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(marked), "id")  # at most about most_rows small rows
+    rows = _inputs(docs, id_col, text_col, meta_col).join(F.broadcast(marked), "id")  # at most about most_rows small rows
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
         for batch in batches:
             for part in slices(batch, "text"):
-                docs_, words, weights, structure = features(part.column(1))
+                docs_, words, weights, structure = features(part.column(1), part.column(2))
                 ends = np.searchsorted(docs_, np.arange(part.num_rows + 1)).astype(np.int32)
                 as_list = lambda x, kind: pa.ListArray.from_arrays(pa.array(ends), pa.array(x, kind))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), as_list(words, pa.int32()), as_list(weights, pa.float32()), pa.array(list(structure), pa.list_(pa.float64()))], names=["id", "label", "words", "weights", "structure"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(3), as_list(words, pa.int32()), as_list(weights, pa.float32()), pa.array(list(structure), pa.list_(pa.float64()))], names=["id", "label", "words", "weights", "structure"])
 
     kind = rows.schema["id"].dataType.simpleString()
     found = rows.mapInArrow(kernel, f"id {kind}, label double, words array<int>, weights array<float>, structure array<double>").toArrow().sort_by("id").combine_chunks()
@@ -161,16 +169,25 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
     return FactorisationMachine().fit(features, found.column("label").to_numpy())
 
 
-def score(docs: DataFrame, model: FactorisationMachine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row: id_col, score (0 to 1, higher: label 1 likelier). Null texts are scored as empty ones; no shuffle."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+def _inputs(docs: DataFrame, id_col: str, text_col: str, meta_col: str) -> DataFrame:
+    stated = F.col(meta_col) if meta_col in docs.columns else F.lit(None)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), stated.cast("long").alias("stated"))
+
+
+def score(docs: DataFrame, model: FactorisationMachine, id_col: str = "doc_id", text_col: str = "text", meta_col: str = METADATA) -> DataFrame:
+    """One row per row: id_col, score (0 to 1, higher: label 1 likelier).
+
+    Whole texts of any length are scored, null ones as empty; repeated rows score alike; an empty table gives no rows. Only the text and
+    meta_col are read. No shuffle.
+    """
+    rows = _inputs(docs, id_col, text_col, meta_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
         for batch in batches:
             for part in slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(shared.value.score(features(part.column(1))))], names=["id", "score"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(shared.value.score(features(part.column(1), part.column(2))))], names=["id", "score"])
 
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(kernel, f"id {kind}, score double").withColumnRenamed("id", id_col)
