@@ -1,10 +1,16 @@
 from __future__ import annotations
 
+import random
+
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from tripweave.functions.keys import numbered, ranked_within, running
 from tripweave.operators import communities, graph, robustness
 from tripweave.operators.components import components
 from tripweave.operators.graph import Graph
+from tripweave.sources.shared import written
 
 
 def make(spark, n, edges):
@@ -17,29 +23,85 @@ def by_id(df, column):
 
 
 @pytest.fixture
-def triangle(spark):
-    return make(spark, 3, [(0, 1, 1), (1, 2, 2), (2, 0, 3)])
+def kite(spark):
+    """Two loops that share an edge, and a tail."""
+    return make(spark, 6, [(0, 1, 2), (1, 2, 1), (2, 0, 4), (1, 3, 3), (3, 0, 1), (3, 4, 5)])
+
+
+@pytest.fixture
+def tables_only(monkeypatch):
+    """Graphs are never small, so that all goes the way of large ones."""
+
+    def on():
+        monkeypatch.setattr(Graph, "small", lambda self, most=0: False)
+
+    return on
 
 
-def test_degrees(triangle, spark):
-    found = graph.degrees(triangle)
-    assert by_id(found, "in_degree") == by_id(found, "out_degree") == {0: 1, 1: 1, 2: 1}
-    assert by_id(found, "in_strength") == {0: 3, 1: 1, 2: 2} and by_id(found, "out_strength") == {0: 1, 1: 2, 2: 3}
-    assert by_id(graph.degrees(make(spark, 5, [(0, 1), (0, 2), (1, 3), (2, 4)])), "in_degree") == {0: 0, 1: 1, 2: 1, 3: 1, 4: 1}
+def test_degrees(kite):
+    found = graph.degrees(kite)
+    assert by_id(found, "in_degree") == {0: 2, 1: 1, 2: 1, 3: 1, 4: 1, 5: 0} and by_id(found, "out_degree") == {0: 1, 1: 2, 2: 1, 3: 2, 4: 0, 5: 0}
+    assert by_id(found, "in_strength") == {0: 5, 1: 2, 2: 1, 3: 3, 4: 5, 5: 0} and by_id(found, "out_strength")[3] == 6
 
 
-def test_pagerank_sums_to_one_with_dangling_ends(triangle, spark):
-    assert by_id(graph.pagerank(triangle), "pagerank") == pytest.approx({0: 1 / 3, 1: 1 / 3, 2: 1 / 3})
-    found = by_id(graph.pagerank(make(spark, 3, [(0, 1), (0, 2)]), iterations=60), "pagerank")
-    # r1 = r2 = (1 - d)/3 + d (r0/2 + (r1 + r2)/3), r0 = (1 - d)/3 + d (r1 + r2)/3
-    assert sum(found.values()) == pytest.approx(1) and found[1] == pytest.approx(found[0] * 1.425)
+def plain_pagerank(n, edges, weighted, d=0.85):
+    ranks = [1 / n] * n
+    out = [sum(w if weighted else 1 for a, _, w in edges if a == v) for v in range(n)]
+    for _ in range(400):
+        spare = sum(r for r, o in zip(ranks, out, strict=True) if not o)
+        ranks = [(1 - d + d * spare) / n + d * sum(ranks[a] * (w if weighted else 1) / out[a] for a, b, w in edges if b == v) for v in range(n)]
+    return dict(enumerate(ranks))
 
 
-def test_components(spark):
-    g = make(spark, 6, [(0, 1), (1, 2), (3, 4)])
-    assert by_id(graph.weak_components(g), "component") == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 5}
+@pytest.mark.parametrize("weighted", [False, True])
+def test_pagerank_comes_to_rest(kite, tables_only, weighted):
+    edges = [(0, 1, 2), (1, 2, 1), (2, 0, 4), (1, 3, 3), (3, 0, 1), (3, 4, 5)]
+    expected = plain_pagerank(6, edges, weighted)
+    fast = by_id(graph.pagerank(kite, weighted=weighted), "pagerank")
+    assert fast == pytest.approx(expected, abs=1e-11) and sum(fast.values()) == pytest.approx(1)
+    tables_only()
+    assert by_id(graph.pagerank(kite, weighted=weighted, tolerance=1e-9), "pagerank") == pytest.approx(expected, abs=1e-8)
+
+
+def test_components(spark, kite):
+    g = make(spark, 7, [(0, 1), (1, 2), (5, 4)])
+    assert by_id(graph.weak_components(g), "component") == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 4, 6: 6}
     assert graph.component_sizes(graph.weak_components(g)).agg({"size": "max"}).first()[0] == 3
-    assert by_id(graph.strong_components(make(spark, 5, [(0, 1), (1, 2), (2, 0), (2, 3), (3, 4)])), "component") == {0: 2, 1: 2, 2: 2, 3: 3, 4: 4}
+    assert by_id(graph.strong_components(kite), "component") == {0: 3, 1: 3, 2: 3, 3: 3, 4: 4, 5: 5}
+    row = graph.graph_summary(kite).first()
+    assert (row.vertices, row.edges, row.weak_components, row.largest_weak, row.strong_components, row.largest_strong) == (6, 6, 2, 5, 3, 4)
+
+
+def plain_strong(n, edges):
+    """The greatest vertex that each one reaches and is reached by."""
+    reach = [{v} for v in range(n)]
+    for _ in range(n):
+        for a, b in edges:
+            reach[a] |= reach[b]
+    return {v: max(u for u in reach[v] if v in reach[u]) for v in range(n)}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_components_on_either_side_of_the_size(spark, tables_only, seed):
+    rng = random.Random(seed)
+    n = 40
+    # loops of several sizes, chains up and down between them, and some edges anywhere
+    edges = {(a, a + 1) for a in range(n - 1) if rng.random() < 0.7} | {(rng.randrange(n), rng.randrange(n)) for _ in range(6 + 8 * seed)}
+    g = make(spark, n, sorted(edges))
+    weak, strong = by_id(graph.weak_components(g), "component"), by_id(graph.strong_components(g), "component")
+    assert strong == plain_strong(n, edges) and len(set(strong.values())) > 1
+    tables_only()
+    assert by_id(graph.weak_components(g), "component") == weak
+    assert by_id(graph.strong_components(g), "component") == strong
+
+
+def test_long_chains_are_trimmed_at_once(spark, monkeypatch):
+    chain = make(spark, 300, [(i, i + 1) for i in range(299)] + [(3, 1), (200, 199)])
+    spread = []
+    monkeypatch.setattr(graph, "_spread", lambda *a, f=graph._spread: spread.append(a[0].count()) or f(*a))
+    found = by_id(graph.strong_components_in_tables(chain), "component")
+    assert found == {i: 3 if 1 <= i <= 3 else 200 if i in (199, 200) else i for i in range(300)}
+    assert spread == [5]  # only what lies between the ends of a fall is searched
 
 
 def test_long_path_is_one_component(spark):
@@ -57,12 +119,40 @@ def test_betweenness_both_ways(spark):
     assert path == {0: 0, 1: 2, 2: 2, 3: 0}
 
 
+def test_estimated_betweenness(spark):
+    g = make(spark, 30, [(i, (i * 5 + k) % 30) for i in range(30) for k in (1, 2, 7)])
+    whole = by_id(graph.betweenness(g), "betweenness")
+    assert by_id(graph.betweenness_estimate(g, 1.0), "betweenness") == pytest.approx(whole)
+    half = by_id(graph.betweenness_estimate(g, 0.5), "betweenness")
+    starts = {r.id for r in graph.sampled_sources(g, 0.5).collect()}
+    assert 5 < len(starts) < 25 and set(half) == set(whole)
+    sampled = by_id(graph.betweenness(g, spark.createDataFrame([(i,) for i in starts], "id long")), "betweenness")
+    assert half == pytest.approx({i: x * 30 / len(starts) for i, x in sampled.items()})
+    assert set(by_id(graph.betweenness_estimate(g, 0.0), "betweenness").values()) == {0.0}
+
+
 def test_ranks_share_ties(spark):
-    df = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", 2.0), ("d", 3.0)], "k string, x double")
-    found = {r.k: r.p for r in df.select("k", graph.percentile_rank(df.x).alias("p")).collect()}
-    assert found == {"a": 0.25, "b": 0.625, "c": 0.625, "d": 1.0}
+    df = spark.createDataFrame([("a", 1.0, 7), ("b", 2.0, 5), ("c", 2.0, 5), ("d", 3.0, 5)], "k string, x double, y int")
+    found = {r.k: (r.x, r.y) for r in graph.mean_ranks(df, "k", ["x", "y"]).collect()}
+    assert found == {"a": (1, 4), "b": (2.5, 2), "c": (2.5, 2), "d": (4, 2)}
     assert [r.composite for r in graph.composite_rank(df, "k", ["x"]).orderBy("k").collect()] == [4, 2.5, 2.5, 1]
+    assert [(r["rank"], r.k, r.x) for r in graph.composite_top(df, "k", ["x", "y"], 3).orderBy("rank").collect()] == [(1, "d", 3.0), (2, "a", 1.0), (3, "b", 2.0)]
     assert [r.k for r in graph.top_by_metric(df, "k", ["x"], 2).orderBy("rank").collect()] == ["d", "b"]
+    many = spark.createDataFrame([(i, float(i * 37 % 50), i % 7) for i in range(400)], "k int, x double, y int")
+    ranks = graph.mean_ranks(many, "k", ["x", "y"], descending=True).collect()
+    for m in ("x", "y"):
+        values = {r.k: r[m] for r in many.collect()}
+        assert all(r[m] == sum(v > values[r.k] for v in values.values()) + (sum(v == values[r.k] for v in values.values()) + 1) / 2 for r in ranks)
+
+
+def test_running_sums(spark):
+    rows = [(i * 31 % 100, i % 5) for i in range(100)]
+    df = written(spark.createDataFrame(rows, "at int, n int"), "rows")
+    found = {r["at"]: r.upto for r in running(df, [F.col("at").desc()], upto=F.col("n")).collect()}
+    assert found == {a: sum(n for b, n in rows if b >= a) for a, _ in rows}
+    assert [r["at"] for r in numbered(df, "at").orderBy("id").collect()] == list(range(100))
+    ranks = {r["at"]: r.r for r in ranked_within(df, ["n"], [F.col("at")], "r").collect()}
+    assert ranks == {a: sum(m == n and b <= a for b, m in rows) for a, n in rows}
 
 
 def test_quality_and_detection(spark):
@@ -71,38 +161,98 @@ def test_quality_and_detection(spark):
     halves = spark.createDataFrame([(i, i // 4) for i in range(8)], "id long, community long")
     assert communities.cpm_quality(g, halves, 0.1).first()[0] == pytest.approx(24 - 0.1 * 24)
     assert 0.4 < communities.modularity(g, halves).first()[0] < 0.5
-    for found in (communities.leiden_cpm(g, 0.1, runs=3), communities.local_moving(g, 0.1, 42, 12)):
-        groups = by_id(found, "community")
-        assert len({groups[i] for i in range(4)}) == 1 and len(set(groups.values())) == 2
+    found = communities.leiden_cpm(g, 0.1, runs=3)
+    groups = by_id(found, "community")
+    assert groups == {i: i // 4 * 4 for i in range(8)}  # named by the least of each
     again = by_id(communities.leiden_cpm(g, 0.1, runs=3), "community")
     assert again == by_id(communities.leiden_cpm(g, 0.1, runs=3), "community")
 
 
-def test_detection_in_tables_takes_the_best_run_and_ends(spark, monkeypatch):
-    edges = sorted({(min(a, b), max(a, b)) for i in range(40) for a, b in [(i, (i * 7 + 3) % 40), (i, (i * 11 + 5) % 40), (i, (i * i + 1) % 40)] if a != b})
-    g = make(spark, 40, edges)
-    quality = lambda groups: sum(groups[a] == groups[b] for a, b in edges) - 0.1 * sum(groups[a] == groups[b] for a in range(40) for b in range(40) if a != b)
-    runs = [quality(by_id(communities.local_moving(g, 0.1, 42 + r), "community")) for r in range(3)]
-    monkeypatch.setattr(Graph, "small", lambda self: False)
-    groups = by_id(communities.leiden_cpm(g, 0.1, runs=3), "community")
-    assert quality(groups) == pytest.approx(max(runs)) and len({round(q, 9) for q in runs}) > 1
-    for i in range(40):
-        for c in {groups[b if a == i else a] for a, b in edges if i in (a, b)}:
-            assert quality(groups | {i: c}) <= quality(groups) + 1e-9
-
-
-def test_curves(spark):
-    star = make(spark, 6, [(0, i) for i in range(1, 6)])
-    order = robustness.removal_order(star, "degree")
-    assert by_id(order, "step")[0] == 1
-    steps = [0, 1, 3, 6]
-    fast = {r.step: r.lcc for r in robustness.curves(star, order, steps).collect()}
-    assert fast == {0: 6, 1: 1, 3: 1, 6: 0}
-    slow = {r.step: r.lcc for r in robustness._curves_by_components(star.edges.select("src", "dst"), order, steps).collect()}
-    assert slow == fast
-    ring = make(spark, 4, [(0, 1), (1, 2), (2, 0), (2, 3)])
-    strong = {r.step: r.lcc for r in robustness.curves(ring, robustness.removal_order(ring, "none"), [0, 1], strong=True).collect()}
-    assert strong == {0: 3, 1: 1}
+def test_draws_are_spark_s(spark):
+    ids = [0, 1, -5, 1 << 40, 7]
+    df = spark.createDataFrame([(i,) for i in ids], "id long")
+    expected = {r.id: r.h for r in df.select("id", F.xxhash64(*communities._longs(42, 3, 9), "id").alias("h")).collect()}
+    assert dict(zip(ids, communities.draws(np.array(ids), 42, 3, 9).tolist(), strict=True)) == expected
+
+
+@pytest.mark.parametrize("case", [(40, 3, 0.1, 1), (20, 5, 0.3, 2)])
+def test_communities_are_the_same_at_every_size(spark, tables_only, case):
+    n, k, resolution, n_runs = case
+    edges = sorted({(min(a, b), max(a, b)) for i in range(n) for a, b in [(i, (i * (4 * j + 3) + j) % n) for j in range(1, k + 1)] if a != b})
+    g = make(spark, n, edges)
+    quality = lambda groups: sum(groups[a] == groups[b] for a, b in edges) - resolution * sum(groups[a] == groups[b] for a in range(n) for b in range(n) if a != b)
+    fast = by_id(communities.leiden_cpm(g, resolution, runs=n_runs), "community")
+    runs = [communities.run_in_memory(np.arange(n), *(np.array(x) for x in zip(*edges, strict=True)), np.ones(len(edges)), resolution, 42 + r) for r in range(n_runs)]
+    qualities = [quality(dict(enumerate(m.tolist()))) for m in runs]
+    assert quality(fast) == pytest.approx(max(qualities))
+    tables_only()
+    assert by_id(communities.leiden_cpm(g, resolution, runs=n_runs), "community") == fast
+    for c in set(fast.values()):  # every community is connected
+        own = [i for i in fast if fast[i] == c]
+        found, todo = {own[0]}, [own[0]]
+        while todo:
+            at = todo.pop()
+            near = {b if a == at else a for a, b in edges if at in (a, b)} & set(own) - found
+            found |= near
+            todo += near
+        assert c == min(own) and found == set(own)
+
+
+def test_curves(spark, tables_only):
+    wheel = make(spark, 7, [(0, i) for i in range(1, 6)] + [(5, 6)])
+    order = robustness.removal_order(wheel, "highest_degree")
+    assert by_id(order, "step")[0] == 1 and by_id(order, "step")[5] == 2
+    steps = [0, 1, 2, 7]
+    expected = {0: 7, 1: 2, 2: 1, 7: 0}
+    assert {r.step: r.lcc for r in robustness.curves(wheel, order, steps).collect()} == expected
+    tables_only()
+    assert {r.step: r.lcc for r in robustness.curves(wheel, order, steps).collect()} == expected
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_strong_curves_on_either_side_of_the_size(spark, tables_only, seed):
+    rng = random.Random(seed)
+    n = 16
+    edges = sorted({(rng.randrange(n), rng.randrange(n)) for _ in range(28)} | {(i, i + 1) for i in range(4)})
+    g = make(spark, n, edges)
+    orders = robustness.removal_order(g, "degree").union(robustness.random_orders(g, 2))
+    gone = {}
+    for r in orders.collect():
+        gone.setdefault((r.strategy, r.trial), {})[r.id] = r.step
+    steps = [0, 2, 5, 9, 16]
+
+    def largest(step, order):
+        alive = [v for v in range(n) if order[v] > step]
+        names = plain_strong(n, [(a, b) for a, b in edges if order[a] > step and order[b] > step])
+        return max((sum(names[u] == names[v] for u in alive) for v in alive), default=0)
+
+    expected = {(*k, s): largest(s, order) for k, order in gone.items() for s in steps}
+    take = lambda: {(r.strategy, r.trial, r.step): r.lcc for r in robustness.curves(g, orders, steps, strong=True).collect()}
+    assert take() == expected and max(expected.values()) > 2
+    tables_only()
+    assert take() == expected
+
+
+def test_strong_curve_of_a_path(spark, tables_only):
+    path = make(spark, 5, [(i, i + 1) for i in range(4)])
+    order = robustness.removal_order(path, "degree")
+    take = lambda: [r.lcc for r in robustness.curves(path, order, [0, 1], strong=True).orderBy("step").collect()]
+    assert take() == [1, 1]
+    tables_only()
+    assert take() == [1, 1]
+
+
+def test_analysis_by_an_effort(spark):
+    g = make(spark, 20, [(i, (i * 3 + k) % 20) for i in range(20) for k in (1, 4)])
+    rows = robustness.analysed(g, "ring", robustness.Effort(("degree", "weighted_degree", "betweenness", "unheard of"), 2, 5, 0.5)).collect()
+    assert {(r.graph, r.strategy, r.trial) for r in rows} == {("ring", "targeted_degree", 0), ("ring", "targeted_strength", 0), ("ring", "targeted_betweenness", 0), ("ring", "random", 0), ("ring", "random", 1)}
+    assert {r.step for r in rows} == {0, 2, 4, 6, 8, 10}
+    other = robustness.analysed(g, "other", robustness.LARGE, seed=1)
+    both = robustness.averaged(other.unionByName(robustness.analysed(g, "ring", robustness.LARGE)))
+    measures = robustness.curve_measures(both).collect()
+    assert {(r.graph, r.strategy) for r in measures} == {(a, b) for a in ("ring", "other") for b in ("random", "targeted_degree")}
+    assert {r.graph for r in robustness.vulnerability(robustness.curve_measures(both)).collect()} == {"ring", "other"}
+    assert robustness.SMALL.points == 50 and robustness.MIDDLE.strategies == ("degree",)
 
 
 def test_curve_measures(spark):

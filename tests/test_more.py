@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import pytest
+
 from tripweave.functions.keys import dense_ids, joined_key
 from tripweave.functions.nested import flatten
-from tripweave.operators import linkpred, robustness
+from tripweave.operators import linkpred
 from tripweave.operators.graph import Graph
 from tripweave.sources import graph_files
 
@@ -23,11 +25,6 @@ def test_dense_ids_over_buckets(spark):
     assert [(r.a, r.b, r.id) for r in found] == [(None, 1, 0), (3, 1, 1), (3, 2, 2), (4, 4, 3), (5, 9, 4)]
 
 
-def test_effort():
-    assert robustness.effort(349).strategies == ("degree", "strength", "betweenness")
-    assert robustness.effort(200_000, 200).trials == 50 and robustness.effort(5_000_000, 200).share == 0.10
-
-
 def test_training_sample_is_even(spark):
     pairs = spark.createDataFrame([(i, i + 1, int(i < 3)) for i in range(20)], "u long, v long, label int")
     counts = {r.label: r["count"] for r in linkpred.training_sample(pairs).groupBy("label").count().collect()}
@@ -46,3 +43,55 @@ def test_graph_files(spark, tmp_path):
     assert graph_files.to_pajek(g).splitlines() == ["*Vertices 2", '1 "0"', '2 "1"', "*Arcs", "1 2 2.0", "2 2 4.0"]
     graph_files.write_edge_list(g, str(tmp_path / "l"))
     assert sorted(r.value for r in spark.read.text(str(tmp_path / "l")).collect()) == ["0 1", "1 1"]
+    assert graph_files.to_gml(g).splitlines()[:3] == ["graph [", "  directed 1", '  node [ id 0 label "0" ]'] and "  edge [ source 1 target 1 weight 4.0 ]" in graph_files.to_gml(g)
+    for kind in ("graphml", "gml", "pajek", "edgelist"):
+        graph_files.save_graph(g, f"file://{tmp_path}/saved.{kind}", kind)
+    assert (tmp_path / "saved.gml").read_text() == graph_files.to_gml(g) and any((tmp_path / "saved.edgelist").iterdir())
+    for text in (graph_files.to_graphml, graph_files.to_gml, graph_files.to_pajek):
+        with pytest.raises(ValueError):
+            text(g, most=1)
+
+
+def test_remapped_ids(spark):
+    g = Graph(spark.createDataFrame([(70, "x"), (5, "y"), (30, "z")], "id long, code string"), spark.createDataFrame([(5, 70, 1.0), (30, 5, 2.0), (30, 99, 1.0)], "src long, dst long, weight double"))
+    small, names = graph_files.remapped(g)
+    assert {r.original: r.id for r in names.collect()} == {5: 0, 30: 1, 70: 2}
+    assert {(r.id, r.code) for r in small.vertices.collect()} == {(0, "y"), (1, "z"), (2, "x")}
+    assert {(r.src, r.dst, r.weight) for r in small.edges.collect()} == {(0, 2, 1.0), (1, 0, 2.0)}
+    codes = spark.createDataFrame([("b",), ("a",), (None,), ("b",)], "code string")
+    assert {(r.code, r.id) for r in graph_files.node_mapping(codes).collect()} == {("a", 0), ("b", 1)}
+
+
+def test_airlines_of_communities(spark):
+    from tripweave.operators import communities
+
+    members = spark.createDataFrame([(0, 1), (1, 1), (2, 2), (3, 3)], "id long, community long")
+    nodes = spark.createDataFrame([(0, "A"), (1, "B"), (2, "C")], "id long, code string")
+    departures = spark.createDataFrame([("A", "X", 3), ("B", "Y", 5), ("B", "X", 1), ("C", "Z", 1)], "code string, carrier string, count long")
+    found = {r.community: (r.carrier, r["count"], r.total) for r in communities.airline_by_community(members, nodes, departures).collect()}
+    assert found == {1: ("Y", 5, 9), 2: ("Z", 1, 1), 3: (None, None, None)}
+
+
+def test_tables_of_a_scope_go(spark):
+    import pathlib
+
+    from tripweave.sources import shared
+
+    kept = shared.written(spark.range(3), "kept")
+    with shared.scope(spark):
+        gone = shared.new_path(spark, "gone")
+        shared.written(spark.range(5), "inside").collect()
+        spark.range(1).write.parquet(gone)
+        assert pathlib.Path(gone.removeprefix("file://")).exists()
+    assert not pathlib.Path(gone.removeprefix("file://")).parent.exists() and kept.count() == 3
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from tripweave.sources import shared
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    session = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(applicationId="no such one", master="spark://host:7077", getCheckpointDir=lambda: None))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared.shared_folder(session)

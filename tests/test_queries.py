@@ -46,7 +46,7 @@ def test_query_agrees_with_its_sql(spark, sf_dir, con, name):
     assert sorted(tuple(plain(r[c]) for c in sorted(columns)) for r in df.collect()) == expected
 
 
-@pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.SQL) - {"linkpred_logreg"}))
+@pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.SQL)))
 def test_other_queries_give_rows(spark, sf_dir, name):
     assert plans.QUERIES[name](spark, sf_dir).count() > 0
 

@@ -26,12 +26,50 @@ def test_cascade_against_search(spark):
         assert {x.id for x in cascade.cascades(df, seeds).filter(F.col("run") == r).collect()} == reached
 
 
-def test_cascade_in_tables_is_the_same(spark, monkeypatch):
-    df = spark.createDataFrame([(i, (i * 3 + k) % 20, "route_knn", 0.4) for i in range(20) for k in (1, 2)], "src long, dst long, edge_type string, p double")
-    seeds = spark.createDataFrame([(r, r) for r in range(3)], "run long, id long")
-    fast = sorted(map(tuple, cascade.cascades(df, seeds).collect()))
-    monkeypatch.setattr(Graph, "small", lambda self, most=0: False)
-    assert sorted(map(tuple, cascade.cascades(df, seeds).collect())) == fast
+def plain_parents(live, seeds):
+    """{id: (level, parent)} by breadth, each reached first from the least of the level before."""
+    found, now, depth = {s: (0, None) for s in seeds}, sorted(seeds), 0
+    while now:
+        depth += 1
+        fresh = {}
+        for a in now:
+            for x, b in live:
+                if x == a and b not in found:
+                    fresh.setdefault(b, (depth, a))
+        found |= fresh
+        now = sorted(fresh)
+    return found
+
+
+def test_parents_on_either_side_of_the_size(spark, monkeypatch):
+    df = spark.createDataFrame([(i, (i * 3 + k) % 30, "route_knn" if k < 3 else "tail_next_leg", 0.5) for i in range(30) for k in (1, 2, 4)], "src long, dst long, edge_type string, p double")
+    runs = {"a:0": [3], "a:1": [3, 7], "b": [29]}
+    seeds = spark.createDataFrame([(r, i) for r, own in runs.items() for i in own], "run string, id long")
+    live = {r: [(x.src, x.dst) for x in df.filter(cascade.uniform(F.lit(42), F.lit(r), "src", "dst", "edge_type") < F.col("p")).collect()] for r in runs}
+    expected = {(r, i, *x) for r, own in runs.items() for i, x in plain_parents(live[r], own).items()}
+    take = lambda: {(x.run, x.id, x.level, x.parent) for x in cascade.cascades(df, seeds, parents=True).collect()}
+    assert take() == expected and max(x[2] for x in expected) > 1
+    monkeypatch.setattr(cascade, "_fits", lambda *a: False)
+    assert take() == expected
+    assert {(x.run, x.id) for x in cascade.cascades(df, seeds).collect()} == {x[:2] for x in expected}
+
+
+def test_seeds_are_the_lowest_draws(spark):
+    vertices = spark.createDataFrame([(i,) for i in range(500)], "id long")
+    found = {}
+    for r in cascade.random_seeds(vertices, 3, 0.02).collect():
+        found.setdefault(r.run, set()).add(r.id)
+    draw = lambda run, i: int(hashlib.md5(f"42|seed|{run}|{i}".encode()).hexdigest()[:8], 16)
+    assert found == {run: set(sorted(range(500), key=lambda i: (draw(run, i), i))[:10]) for run in range(3)}
+    assert cascade.random_seeds(vertices.limit(3), 2, 0.01).count() == 2 and cascade.random_seeds(vertices, 1, 1.0).count() == 500
+
+
+def test_spreaders_of_a_sample(spark):
+    edges = spark.createDataFrame([(i, i + 1, "tail_next_leg", 1.0) for i in range(9)], "src long, dst long, edge_type string, p double")
+    vertices = spark.createDataFrame([(i,) for i in range(10)], "id long")
+    found = {r.id: r.influence for r in cascade.flight_spreaders(edges, vertices, 2, 0.1, 4).collect()}
+    assert len(found) == 10 and sum(v > 0 for v in found.values()) == 4 and all(v in (0, 10 - i) for i, v in found.items())
+    assert {r.id: r.influence for r in cascade.flight_spreaders(edges, vertices, 2).collect()} == {i: 10 - i for i in range(10)}
 
 
 def test_transmission(spark):
@@ -50,51 +88,67 @@ def test_beta_skips_flights_before_pairing(spark):
 
 
 def test_statistics(spark):
-    row = cascade.cascade_statistics(spark.createDataFrame([(0, 1), (1, 2), (2, 3), (3, 10)], "run long, cascade_size long")).first()
+    row = cascade.cascade_statistics(spark.createDataFrame([(0, 1, 0.1), (1, 2, 0.2), (2, 3, 0.3), (3, 10, 1.0)], "run long, cascade_size long, fraction_delayed double")).first()
     assert (row.mean, row.p50, row.p90, row["min"], row["max"]) == (4.0, 2.5, pytest.approx(7.9), 1, 10)
-    assert cascade.cascade_statistics(spark.createDataFrame([(0, 5)], "run long, cascade_size long")).first()["std"] == 0
+    assert (row.mean_fraction, row.p99_fraction) == (pytest.approx(0.4), pytest.approx(0.979))
+    assert cascade.cascade_statistics(spark.createDataFrame([(0, 5, 0.5)], "run long, cascade_size long, fraction_delayed double")).first()["std"] == 0
 
 
 def test_month_split_has_no_leak(spark):
-    rows = [(2024, m, a, b, 0, c) for m, a, b, c in [(1, "A", "B", "AA"), (2, "B", "C", "AA"), (3, "C", "D", "DL"), (1, "A", "B", "AA"), (10, "A", "B", "AA"), (10, "A", "D", "AA"), (11, "D", "E", "UA"), (11, "B", "D", "DL")]]
-    trips = spark.createDataFrame(rows, "YEAR int, MONTH int, ORIGIN string, DEST string, CANCELLED int, OP_UNIQUE_CARRIER string")
-    nodes, train, new = linkpred.month_split(trips, (1, 2, 3), (10, 11))
+    rows = [(4, "KEF", "OSL", "X"), (5, "OSL", "HEL", "X"), (6, "HEL", "RIX", "Y"), (5, "KEF", "OSL", "Y"), (7, "KEF", "OSL", "X"), (7, "RIX", "KEF", "X"), (8, "HEL", "VNO", "Z"), (8, "OSL", "RIX", "Y"), (9, "AAA", "BBB", "X"), (7, None, "KEF", "X")]
+    trips = spark.createDataFrame(rows, "MONTH int, ORIGIN string, DEST string, OP_UNIQUE_CARRIER string")
+    nodes, train, new = linkpred.month_split(trips, (4, 5, 6), (7, 8))
     code = {r.id: r.code for r in nodes.collect()}
     named = lambda df: {code[r.u] + code[r.v] for r in df.collect()}
-    assert named(train) == {"AB", "BC", "CD"} and named(new) == {"AD", "DE", "BD"}
-    assert "E" not in {r.code for r in linkpred.month_split(trips, (1, 2, 3), (10, 11), ("AA", "DL"))[0].collect()}
-
+    assert code == dict(enumerate(["HEL", "KEF", "OSL", "RIX", "VNO"]))
+    assert named(train) == {"KEFOSL", "OSLHEL", "HELRIX"} and named(new) == {"RIXKEF", "HELVNO", "OSLRIX"}
+    assert "VNO" not in {r.code for r in linkpred.month_split(trips, (4, 5, 6), (7, 8), ("X", "Y"))[0].collect()}
+
+
+def test_no_new_routes_in_the_test_period(spark):
+    trips = spark.createDataFrame([(1, "A", "B"), (2, "B", "A"), (10, "A", "B")], "MONTH int, ORIGIN string, DEST string")
+    nodes, train, new = linkpred.month_split(trips, (1, 2), (10,))
+    assert train.count() == 2 and new.count() == 0 and linkpred.negatives(nodes, train, new).count() == 0
+    scored = linkpred.heuristics(new.withColumn("label", F.lit(1)), train)
+    assert scored.count() == 0 and linkpred.top_predictions(scored, 5, "jaccard").count() == 0
+    found = linkpred.auc_ap(scored, list(linkpred.HEURISTICS)).collect()
+    assert {(r.method, r.positives, r.auc, r.ap) for r in found} == {(m, 0, 0.0, 0.0) for m in linkpred.HEURISTICS}
+
+
+def plain_negatives(n, taken, wanted, seed=42):
+    """The first different free pairs that draws 0, 1, ... name."""
+    end = lambda name, k: int(int(hashlib.md5(f"{seed}|{name}|{k}".encode()).hexdigest()[:8], 16) / (1 << 32) * n)
+    found, k, wanted = [], 0, min(wanted, n * (n - 1) - len({p for p in taken if p[0] != p[1]}))
+    while len(found) < wanted:
+        pair = (end("u", k), end("v", k))
+        if pair[0] != pair[1] and pair not in taken and pair not in found:
+            found.append(pair)
+        k += 1
+    return set(found)
+
+
+@pytest.mark.parametrize("n", [5, 60, 400])
+@pytest.mark.parametrize("ratio", [1, 3, 500])
+def test_negatives_by_one_rule(spark, n, ratio):
+    pairs = lambda p: spark.createDataFrame(p, "u long, v long")
+    nodes = spark.createDataFrame([(i,) for i in range(n)], "id long")
+    train, positives = [(i, (i + 1) % n) for i in range(n)] + [(2, 2)], [(i, (i + 3) % n) for i in range(min(n, 20))]
+    found = [tuple(r) for r in linkpred.negatives(nodes, pairs(train), pairs(positives), ratio).collect()]
+    assert len(found) == len(set(found)) and set(found) == plain_negatives(n, {*train, *positives}, ratio * len(positives))
 
-def test_negatives(spark):
-    pairs = lambda *p: spark.createDataFrame(p, "u long, v long")
-    nodes = spark.createDataFrame([(i,) for i in range(10)], "id long")
-    train, positives = pairs((0, 1), (1, 2), (2, 3)), pairs((3, 4), (4, 5))
-    for most in (20_000, 5):
-        found = [tuple(r) for r in linkpred.negatives(nodes, train, positives, 3, most_nodes=most).collect()]
-        assert len(found) == len(set(found)) == 6
-        assert not set(found) & {(0, 1), (1, 2), (2, 3), (3, 4), (4, 5)} and all(u != v for u, v in found)
 
+def test_heuristics_by_sets(spark):
+    import math
 
-def test_negatives_are_the_same_at_every_size(spark):
-    pairs = lambda p: spark.createDataFrame(p, "u long, v long")
-    nodes = spark.createDataFrame([(i,) for i in range(60)], "id long")
-    train, positives = [(i, (i + 1) % 60) for i in range(60)], [(i, (i + 7) % 60) for i in range(40)]
-    draw = lambda u, v: int(hashlib.md5(f"42|{u}|{v}".encode()).hexdigest()[:8], 16)
-    free = {(u, v) for u in range(60) for v in range(60) if u != v} - set(train) - set(positives)
-    for ratio in (1, 3, 500):
-        plain = sorted(free, key=lambda p: (draw(*p), *p))[: ratio * 40]
-        for most in (20_000, 5):
-            found = linkpred.negatives(nodes, pairs(train), pairs(positives), ratio, most_nodes=most).collect()
-            assert sorted(tuple(r) for r in found) == sorted(plain)
-
-
-def test_heuristics_on_a_triangle(spark):
-    both = [(a, b) for x in [(0, 1), (1, 2), (2, 0), (3, 1)] for a, b in (x, x[::-1])]
-    train = spark.createDataFrame(both, "u long, v long")
-    found = {(r.u, r.v): r for r in linkpred.heuristics(spark.createDataFrame([(0, 2), (0, 3), (0, 9)], "u long, v long"), train).collect()}
-    assert found[0, 2].common_neighbors == 1 and found[0, 3].common_neighbors == 1 and found[0, 2].jaccard == pytest.approx(1 / 3)
-    assert found[0, 3].adamic_adar == pytest.approx(1 / 1.0986122886681098) and found[0, 2].preferential_attachment == 4
-    assert found[0, 9].jaccard == 0 and found[0, 9].preferential_attachment == 0
+    rng = __import__("random").Random(2)
+    train = {(0, i) for i in range(1, 40)} | {(rng.randrange(40), rng.randrange(40)) for _ in range(150)}
+    out = {v: {b for a, b in train if a == v} for v in range(41)}
+    pairs = sorted({(rng.randrange(41), rng.randrange(41)) for _ in range(120)} | {(0, 1), (1, 0)})
+    frame = lambda p: spark.createDataFrame(p, "u long, v long")
+    for r in linkpred.heuristics(frame(pairs), frame(sorted(train) * 2)).collect():
+        a, b = out[r.u], out[r.v]
+        assert r.common_neighbors == len(a & b) and r.jaccard == pytest.approx(len(a & b) / len(a | b) if a | b else 0) and r.preferential_attachment == len(a) * len(b)
+        assert r.adamic_adar == pytest.approx(sum(1 / math.log(len(out[w])) for w in a & b if len(out[w]) > 1))
 
 
 def test_auc_and_average_precision(spark):
@@ -121,8 +175,21 @@ def test_walks(spark):
     a, b = (sorted((r.walk, r.start, tuple(r.path)) for r in linkpred.walks(g, 6, 3, p=0.5, q=2.0).collect()) for _ in range(2))
     assert a == b and len(a) == 15
     assert all((x, y) in {(0, 1), (1, 2), (2, 3), (3, 4), (3, 0)} for _, _, path in a for x, y in zip(path, path[1:], strict=False))
-    vectors = linkpred.skip_gram(linkpred.walks(g, 6, 3), 8, 2, 1)
-    assert vectors.count() == 5 and len(vectors.first().embedding) == 8
+
+
+def test_vectors_tell_who_walks_together(spark):
+    import numpy as np
+
+    ring = lambda a: [(a + i, a + j, 1.0) for i in range(6) for j in range(6) if i != j]
+    g = Graph(spark.createDataFrame([(i,) for i in range(12)], "id long"), spark.createDataFrame(ring(0) + ring(6) + [(0, 6, 0.05)], "src long, dst long, weight double"))
+    walks = linkpred.walks(g, 12, 30)
+    for partitions in (1, 3):
+        learn = lambda p=partitions: {r.id: np.array(r.embedding) for r in linkpred.skip_gram(walks, 8, 3, 6, rate=0.1, partitions=p).collect()}
+        found, again = learn(), learn()
+        assert len(found) == 12 and all((found[i] == again[i]).all() and len(found[i]) == 8 for i in found)
+        like = lambda i, j: found[i] @ found[j] / np.linalg.norm(found[i]) / np.linalg.norm(found[j])
+        inside = np.mean([like(i, j) for i in range(12) for j in range(12) if i != j and i // 6 == j // 6])
+        assert inside > 0.2 + np.mean([like(i, j) for i in range(6) for j in range(6, 12)])
 
 
 @pytest.mark.parametrize("bias", [(1.0, 1.0), (0.5, 2.0)])

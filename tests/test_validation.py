@@ -63,8 +63,8 @@ def test_manifest(tmp_path, spark):
     from tripweave.sources import manifests
 
     (tmp_path / "x").write_text("abc")
-    made = manifests.run_manifest("build", [str(tmp_path / "x"), str(tmp_path / "none")], {"a": 1}, str(tmp_path / "m.json"))
+    made = manifests.run_manifest(spark, "build", [str(tmp_path / "x"), str(tmp_path / "none")], {"a": 1}, str(tmp_path / "m.json"))
     assert [o["bytes"] for o in made["outputs"]] == [3] and (tmp_path / "m.json").exists()
-    assert manifests.done_already([str(tmp_path / "x")], False) and not manifests.done_already([str(tmp_path / "none")], False)
+    assert manifests.done_already(spark, [str(tmp_path / "x")], False) and not manifests.done_already(spark, [str(tmp_path / "none")], False)
     a, b = spark.createDataFrame([], "a int, b int"), spark.createDataFrame([], "b int, a int")
     assert manifests.schema_hash(a) == manifests.schema_hash(b) and len(manifests.schema_hash(a)) == 16

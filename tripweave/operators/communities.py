@@ -10,11 +10,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripweave.operators.graph import Graph
+from tripweave.operators.components import components
+from tripweave.operators.graph import Graph, weak_labels
 from tripweave.sources.shared import written
 
-#: Passes of simultaneous moves without a better quality, after which moves are kept apart.
-PATIENCE = 3
+#: Passes of simultaneous moves without a better quality, after which moves are kept apart; what a move must gain.
+PATIENCE, LEAST_GAIN = 3, 1e-9
+
 
 def cpm_quality(graph: Graph, membership: DataFrame, resolution: float = 0.01, weighted: bool = False) -> DataFrame:
     """One row `quality`: over communities, edges inside less resolution times ordered pairs of members (constant Potts model)."""
@@ -67,6 +69,16 @@ def airport_summary(membership: DataFrame, nodes: DataFrame, ranks: DataFrame) -
     return out.join(top_members(states, "community", "state", F.desc("n"), 3).withColumnRenamed("top", "top_states"), "community", "left")
 
 
+def airline_by_community(membership: DataFrame, nodes: DataFrame, departures: DataFrame) -> DataFrame:
+    """(community, carrier, count, total, share) of the carrier with most departures from a community's airports (null without any).
+
+    nodes has id and code; departures has code, carrier and count, one row for each airport and carrier.
+    """
+    rows = membership.select("id", "community").join(nodes.select("id", "code"), "id", "left").join(departures, "code", "left")
+    best = dominant(rows, "community", "carrier", F.col("count"))
+    return membership.select("community").distinct().join(best, "community", "left")
+
+
 def flight_summary(membership: DataFrame, flights: DataFrame) -> DataFrame:
     """(community, size, and the dominant carrier, origin and dest): flights has id, carrier, origin, dest."""
     rows = membership.join(flights.select("id", "carrier", "origin", "dest"), "id")
@@ -87,43 +99,45 @@ def geographic_composition(membership: DataFrame, nodes: DataFrame) -> DataFrame
 # Detection
 
 
-def leiden_cpm(graph: Graph, resolution: float = 0.01, seed: int = 42, runs: int = 10, passes: int = 10, weighted: bool = False) -> DataFrame:
+def leiden_cpm(graph: Graph, resolution: float = 0.01, seed: int = 42, runs: int = 10, weighted: bool = False) -> DataFrame:
     """(id, community): the best of several seeded runs by CPM quality; of equal ones the earliest. Without vertices no rows.
 
-    Graphs that fit a kernel: one run per task (local moves, refinement within communities, aggregation; `passes` bounds the
-    aggregations). Larger ones: each run is local moves in tables until nothing moves, which is an approximation.
+    A run starts from vertices alone. Vertices move to the neighbouring community that gains most until none gains, all at the same time (see moving());
+    communities are split into their connected parts; the parts become the vertices of a smaller graph, and so on until nothing is joined any more. A community
+    is named after its least vertex, and is connected. The draws depend on seed, run, level, pass and vertex alone, so the result is the same at every
+    size and on any cluster: graphs that fit a kernel are worked through by one task a run, larger ones in tables by the same rule.
     """
-    edges = graph.undirected().select("src", "dst", (F.col("weight") if weighted else F.lit(1.0)).alias("weight"))
-    if Graph(graph.vertices, edges).small():
-        found = _kernel_runs(graph, edges, resolution, seed, runs, passes)
+    edges = graph.undirected().select("src", "dst", (F.col("weight") if weighted else F.lit(1.0)).alias("weight")).filter("src <> dst")
+    edges = written(edges, "edges")
+    vertices = graph.vertices.select("id")
+    if Graph(vertices, edges).small():
+        found = _kernel_runs(vertices, edges, resolution, seed, runs)
     else:
-        found = reduce(DataFrame.union, [local_moving(Graph(graph.vertices, edges), resolution, seed + run, weighted=True).select(F.lit(run).cast("long").alias("run"), "id", "community") for run in range(runs)])
-    e = written(edges, "edges")
-    ends = e.join(found.toDF("run", "src", "c1"), "src").join(found.toDF("run", "dst", "c2"), ["run", "dst"]).filter("c1 = c2").groupBy("run").agg(F.sum("weight").alias("inside"))
-    cost = found.groupBy("run", "community").agg(F.count("*").alias("n")).groupBy("run").agg(F.sum(resolution * F.col("n") * (F.col("n") - 1)).alias("cost"))
+        found = reduce(DataFrame.union, [_run_in_tables(vertices, edges, resolution, seed + run).select(F.lit(run).cast("long").alias("run"), "id", "community") for run in range(runs)])
+    ends = edges.join(found.toDF("run", "src", "c1"), "src").join(found.toDF("run", "dst", "c2"), ["run", "dst"]).filter("c1 = c2").groupBy("run").agg(F.sum("weight").alias("inside"))
+    cost = found.groupBy("run", "community").agg(F.count("*").alias("n")).groupBy("run").agg((resolution * F.sum(F.col("n") * (F.col("n") - 1))).alias("cost"))
     scored = cost.join(ends, "run", "left").select("run", (F.coalesce("inside", F.lit(0.0)) - F.col("cost")).alias("quality"))
     best = scored.orderBy(F.desc("quality"), "run").first()
     return found.filter(F.col("run") == (best.run if best else 0)).select("id", "community")
 
 
-def _kernel_runs(graph: Graph, edges: DataFrame, resolution: float, seed: int, runs: int, passes: int) -> DataFrame:
-    """(run, id, community) of Leiden on edges that fit a task, one run per task."""
+def _kernel_runs(vertices: DataFrame, edges: DataFrame, resolution: float, seed: int, runs: int) -> DataFrame:
+    """(run, id, community) of a graph that fits a task, one run per task."""
     arcs = edges.toPandas()
-    names = np.array(sorted(r.id for r in graph.vertices.select("id").collect()), np.int64)
-    shared = graph.edges.sparkSession.sparkContext.broadcast((names, np.searchsorted(names, arcs.src), np.searchsorted(names, arcs.dst), arcs.weight.to_numpy()))
+    names = np.array(sorted(r.id for r in vertices.collect()), np.int64)
+    shared = edges.sparkSession.sparkContext.broadcast((names, np.searchsorted(names, arcs.src), np.searchsorted(names, arcs.dst), arcs.weight.to_numpy()))
 
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for run in batch.id:
                 names, a, b, w = shared.value
-                community = _leiden(len(names), a, b, w, 2 * resolution, np.random.default_rng(seed + int(run)), passes)
+                community = run_in_memory(names, a, b, w, resolution, seed + int(run))
                 yield pd.DataFrame({"run": int(run), "id": names, "community": community})
 
-    spark = graph.edges.sparkSession
-    return written(spark.range(runs).repartition(runs).mapInPandas(kernel, "run long, id long, community long"), "runs")
+    return written(edges.sparkSession.range(runs).repartition(runs).mapInPandas(kernel, "run long, id long, community long"), "runs")
 
 
-def nested(graph: Graph, most_size: int | None = None, resolution: float = 0.01, seed: int = 42, runs: int = 1, passes: int = 10, weighted: bool = False) -> DataFrame:
+def nested(graph: Graph, most_size: int | None = None, resolution: float = 0.01, seed: int = 42, runs: int = 1, weighted: bool = False) -> DataFrame:
     """(id, community, level): Leiden communities, those of more than most_size members (half of all by default) split again.
 
     A level takes the communities that are too large, with the edges inside them, at twice the resolution of the one
@@ -135,7 +149,7 @@ def nested(graph: Graph, most_size: int | None = None, resolution: float = 0.01,
     most = max(1, graph.vertices.count() // 2 if most_size is None else most_size)
     left, done, level = graph, None, 0
     while True:
-        parts = leiden_cpm(left, resolution, seed, runs, passes, weighted)
+        parts = leiden_cpm(left, resolution, seed, runs, weighted)
         parts = parts.groupBy("community").agg(F.min("id").alias("name"), F.count("*").alias("n")).join(parts, "community").select("id", F.col("name").alias("community"), F.lit(level).alias("level"), "n")
         parts = written(parts, "nested")
         kept = parts.filter(F.col("n") <= most).drop("n")
@@ -149,96 +163,136 @@ def nested(graph: Graph, most_size: int | None = None, resolution: float = 0.01,
         level, resolution = level + 1, 2 * resolution
 
 
-def _moves(n: int, ends: np.ndarray, targets: np.ndarray, weights: np.ndarray, size: np.ndarray, community: np.ndarray, resolution: float, rng, within: np.ndarray | None = None) -> bool:
-    """Moves vertices to the neighbouring community that gains most (within a given one only, for refinement), until none gains."""
-    total = np.bincount(community, size, n)
-    moved, queue, waiting = False, list(rng.permutation(n)), np.ones(n, bool)
-    while queue:
-        v = queue.pop()
-        waiting[v] = False
-        own = slice(ends[v], ends[v + 1])
-        near, w = targets[own], weights[own]
-        ok = near != v
-        if within is not None:
-            ok &= within[near] == within[v]
-        near, w = near[ok], w[ok]
-        here = community[v]
-        total[here] -= size[v]
-        options, place = np.unique(np.append(community[near], here), return_inverse=True)
-        gains = np.bincount(place, np.append(w, 0.0), len(options)) - resolution * size[v] * total[options]
-        best = options[gains.argmax()]
-        if gains.max() <= gains[options == here][0] + 1e-12:
-            best = here
-        if 0 > gains[options == best][0] + 1e-12 and total[here] > 0:  # alone is better
-            free = np.flatnonzero(total == 0)
-            best = free[0] if len(free) else best
-        community[v] = best
-        total[best] += size[v]
-        if best != here:
-            moved = True
-            for u in near[(community[near] != best) & ~waiting[near]]:
-                waiting[u] = True
-                queue.insert(0, u)
-    return moved
-
-
-def _leiden(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, resolution: float, rng, passes: int) -> np.ndarray:
-    """Community numbers 0, 1, ... of n vertices with undirected edges (a, b, w)."""
-    node = np.arange(n)  # the vertex of the aggregated graph that each original one is in
-    size, m = np.ones(n), n
-    start = np.arange(n)
-    for _ in range(passes):
-        src, dst, weight = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([w, w])
-        order = np.argsort(src, kind="stable")
-        ends, targets, weight = np.searchsorted(src[order], np.arange(m + 1)), dst[order], weight[order]
-        community = start.copy()
-        moved = _moves(m, ends, targets, weight, size, community, resolution, rng)
-        refined = np.arange(m)
-        _moves(m, ends, targets, weight, size, refined, resolution, rng, within=community)
-        final = community[node]
-        parts, place = np.unique(refined, return_inverse=True)
-        if not moved or len(parts) == m:
-            return np.unique(final, return_inverse=True)[1]
-        start = np.unique(community[parts], return_inverse=True)[1]  # a part begins in its community
-        start = np.array([np.flatnonzero(start == s)[0] for s in start])
-        node, size = place[node], np.bincount(place, size)
-        a, b = place[a], place[b]
-        keys, back = np.unique(np.minimum(a, b) * len(parts) + np.maximum(a, b), return_inverse=True)
-        w = np.bincount(back, w)
-        a, b, m = keys // len(parts), keys % len(parts), len(parts)
-    return np.unique(final, return_inverse=True)[1]
-
-
-def local_moving(graph: Graph, resolution: float, seed: int, passes: int | None = None, weighted: bool = False) -> DataFrame:
-    """(id, community) by local moves in tables, until no vertex gains by one (or after so many passes, if they are given).
-
-    A hash decides which half may move in a pass, so neighbours don't swap for ever. Once PATIENCE passes of such simultaneous moves didn't raise
+def _longs(*values: int) -> list[Column]:
+    return [F.lit(v).cast("long") for v in values]
+
+
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def draws(ids: np.ndarray, *first: int) -> np.ndarray:
+    """What Spark's xxhash64 gives for numbers and then an id, each a long."""
+    left = lambda x, k: (x << np.uint64(k)) | (x >> np.uint64(64 - k))
+    h = np.full(len(ids), 42, np.uint64)
+    for value in (*first, ids):
+        value = value.astype(np.int64).view(np.uint64) if isinstance(value, np.ndarray) else np.full(len(ids), value, np.int64).view(np.uint64)
+        h = (h + _P5 + np.uint64(8)) ^ (left(value * _P2, 31) * _P1)
+        h = left(h, 27) * _P1 + _P4
+        h = (h ^ (h >> np.uint64(33))) * _P2
+        h = (h ^ (h >> np.uint64(29))) * _P3
+        h = h ^ (h >> np.uint64(32))
+    return h.view(np.int64)
+
+
+def run_in_memory(names: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray, resolution: float, seed: int) -> np.ndarray:
+    """Each name's community, for undirected edges (a, b, w) given by places among the sorted names."""
+    place, level, size, ids = np.arange(len(names)), 0, np.ones(len(names), np.int64), names
+    while len(ids):
+        community = _moved_in_memory(ids, a, b, w, size, resolution, (seed, level))
+        inside = community[a] == community[b]
+        part = weak_labels(a[inside], b[inside], len(ids))
+        kept, part = np.unique(part, return_inverse=True)  # the least vertex of each part
+        place = part[place]
+        if len(kept) == len(ids):
+            break
+        a, b = part[a], part[b]
+        other = a != b
+        keys, back = np.unique(np.minimum(a, b)[other] * len(kept) + np.maximum(a, b)[other], return_inverse=True)
+        w = np.bincount(back, w[other], len(keys))
+        a, b, size, ids, level = keys // len(kept), keys % len(kept), np.bincount(part, size, len(kept)).astype(np.int64), ids[kept], level + 1
+    return ids[place] if len(ids) else names
+
+
+def _moved_in_memory(ids: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray, size: np.ndarray, resolution: float, seeds: tuple[int, int]) -> np.ndarray:
+    """moving() with arrays."""
+    n = len(ids)
+    src, dst, weight = np.concatenate([a, b, np.arange(n)]), np.concatenate([b, a, np.arange(n)]), np.concatenate([w, w, np.zeros(n)])
+    now = np.arange(n)
+    apart, best_now, quality, idle, k = False, now, 0.0, 0, 0
+    while True:
+        total = np.bincount(now, size, n).astype(np.int64)
+        keys, back = np.unique(src * n + now[dst], return_inverse=True)
+        v, c = keys // n, keys % n
+        stays = c == now[v]
+        gain = np.bincount(back, weight, len(keys)) - (2 * resolution) * (size[v] * (total[c] - np.where(stays, size[v], 0))).astype(np.float64)
+        order = np.lexsort((-c, stays, gain, v))
+        last = np.flatnonzero(np.append(np.diff(v[order]) != 0, True))
+        best, own = order[last], gain[stays]  # both by vertex
+        wish = np.flatnonzero(gain[best] > own + LEAST_GAIN)
+        if not len(wish):
+            return now
+        to, draw = c[best][wish], draws(ids[wish], *seeds, k)
+        if apart:
+            turn = np.empty(len(wish), np.int64)
+            turn[np.lexsort((wish, draw))] = np.arange(len(wish))
+            first = np.full(n, len(wish))
+            np.minimum.at(first, now[wish], turn)
+            np.minimum.at(first, to, turn)
+            moves = (first[now[wish]] == turn) & (first[to] == turn)
+        else:
+            moves = draw % 2 == 0
+        now = now.copy()
+        now[wish[moves]] = to[moves]
+        k += 1
+        if apart:
+            continue
+        inside = float(w[now[a] == now[b]].sum())
+        sums = np.bincount(now, size, n).astype(np.int64)
+        if (reached := inside - resolution * float(int((sums * (sums - 1)).sum()))) > quality:
+            best_now, quality, idle = now, reached, 0
+        elif (idle := idle + 1) == PATIENCE:
+            now, apart = best_now, True
+
+
+def _run_in_tables(vertices: DataFrame, edges: DataFrame, resolution: float, seed: int) -> DataFrame:
+    """(id, community) by the same rule in tables."""
+    sized, level = written(vertices.select("id", F.lit(1).cast("long").alias("size")), "sizes"), 0
+    place = sized.select("id", F.col("id").alias("at"))
+    while True:
+        arcs = written(edges.union(edges.select("dst", "src", "weight")), "arcs")
+        community = moving(sized, arcs, resolution, (seed, level))
+        inside = arcs.filter("src < dst").join(community.toDF("src", "c1"), "src").join(community.toDF("dst", "c2"), "dst").filter("c1 = c2")
+        linked = components(inside, "src", "dst").toDF("node", "part")
+        parts = written(sized.join(linked, F.col("id") == F.col("node"), "left").select(F.col("id").alias("at"), "size", F.coalesce("part", "id").alias("part")), "parts")
+        place = written(place.join(parts.select("at", "part"), "at").select("id", F.col("part").alias("at")), "place")
+        before, sized = sized.count(), written(parts.groupBy(F.col("part").alias("id")).agg(F.sum("size").alias("size")), "sizes")
+        if sized.count() == before:
+            return place.select("id", F.col("at").alias("community"))
+        of = parts.select("at", "part")
+        ends = edges.join(of.toDF("src", "x"), "src").join(of.toDF("dst", "y"), "dst").filter("x <> y")
+        edges = written(ends.groupBy(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst")).agg(F.sum("weight").alias("weight")), "edges")
+        level += 1
+
+
+def moving(sized: DataFrame, arcs: DataFrame, resolution: float, seeds: tuple[int, int]) -> DataFrame:
+    """(id, community) by moves until no vertex gains by one; sized: id, size; arcs: each edge both ways.
+
+    In a pass every vertex looks for the community around it that gains most (of equal ones its own, else the least), and a hash decides which half of
+    those who would gain may move, so neighbours don't swap for ever. Once PATIENCE passes of such simultaneous moves didn't raise
     the CPM quality, the best membership is taken up again, and from then on no two moves of a pass touch the same community: then each raises the quality by what it gains, so the search ends.
     """
-    edges = written(graph.both_ways().filter("src <> dst").select("src", "dst", (F.col("weight") if weighted else F.lit(1.0)).alias("weight")), "arcs")
-    now = written(graph.vertices.select("id", F.col("id").alias("community")), "membership")
+    now = written(sized.select("id", "size", F.col("id").alias("community")), "membership")
     apart, best_now, quality, idle, k = False, now, 0.0, 0, 0
-    while passes is None or k < passes:
-        sizes_ = now.groupBy("community").agg(F.count("*").alias("n"))
-        toward = edges.join(now.toDF("dst", "c"), "dst").groupBy("src", "c").agg(F.sum("weight").alias("w"))
+    while True:
+        totals = now.groupBy("community").agg(F.sum("size").alias("n"))
+        toward = arcs.join(now.select(F.col("id").alias("dst"), F.col("community").alias("c")), "dst").groupBy("src", "c").agg(F.sum("weight").alias("w"))
         options = toward.union(now.select("id", "community", F.lit(0.0))).groupBy("src", "c").agg(F.sum("w").alias("w"))
-        gains = options.join(sizes_.toDF("c", "n"), "c").join(now.toDF("src", "mine"), "src")
-        gains = gains.withColumn("gain", F.col("w") - 2 * resolution * (F.col("n") - (F.col("c") == F.col("mine")).cast("int")))
-        best = gains.groupBy("src", "mine").agg(F.max(F.struct("gain", (F.col("c") == F.col("mine")).cast("int").alias("stay"), (-F.col("c")).alias("c"))).alias("x"), F.max(F.when(F.col("c") == F.col("mine"), F.col("gain"))).alias("own"))
-        wishes = best.filter(F.col("x.gain") > F.col("own") + 1e-9).select(F.col("src").alias("id"), "mine", (-F.col("x.c")).alias("to"), F.xxhash64(F.lit(seed), F.lit(k), "src").alias("draw"))
+        gains = options.join(totals.toDF("c", "n"), "c").join(now.toDF("src", "size", "mine"), "src").withColumn("stays", F.col("c") == F.col("mine"))
+        others = F.col("n") - F.when(F.col("stays"), F.col("size")).otherwise(0)
+        gains = gains.withColumn("gain", F.col("w") - F.lit(2 * resolution) * (F.col("size") * others).cast("double"))
+        best = gains.groupBy("src", "mine").agg(F.max(F.struct("gain", F.col("stays").cast("int").alias("stay"), (-F.col("c")).alias("c"))).alias("x"), F.max(F.when(F.col("stays"), F.col("gain"))).alias("own"))
+        wishes = best.filter(F.col("x.gain") > F.col("own") + LEAST_GAIN).select(F.col("src").alias("id"), "mine", (-F.col("x.c")).alias("to"), F.xxhash64(*_longs(*seeds, k), F.col("src").cast("long")).alias("draw"))
         wishes = written(wishes, "wishes")
         if wishes.isEmpty():
-            return now
-        moves = _apart(wishes) if apart else wishes.filter(F.pmod("draw", F.lit(2)) == 0)
-        then = written(now.join(moves.select("id", "to"), "id", "left").select("id", F.coalesce("to", "community").alias("community")), "membership")
-        now, k = then, k + 1
+            return now.select("id", "community")
+        moves = _apart(wishes) if apart else wishes.filter("draw % 2 = 0")
+        now, k = written(now.join(moves.select("id", "to"), "id", "left").select("id", "size", F.coalesce("to", "community").alias("community")), "membership"), k + 1
         if apart:
             continue
-        if (reached := _quality(edges, now, resolution)) > quality:
+        if (reached := _quality(arcs, now, resolution)) > quality:
             best_now, quality, idle = now, reached, 0
         elif (idle := idle + 1) == PATIENCE:
             now, apart = best_now, True
-    return now
 
 
 def _apart(wishes: DataFrame) -> DataFrame:
@@ -250,7 +304,8 @@ def _apart(wishes: DataFrame) -> DataFrame:
 
 
 def _quality(arcs: DataFrame, membership: DataFrame, resolution: float) -> float:
-    """CPM quality over arcs that hold each edge both ways."""
-    inside = arcs.join(membership.toDF("src", "c1"), "src").join(membership.toDF("dst", "c2"), "dst").filter("c1 = c2").agg(F.sum("weight")).first()[0]
-    cost = membership.groupBy("community").agg(F.count("*").alias("n")).agg(F.sum(resolution * F.col("n") * (F.col("n") - 1))).first()[0]
-    return (inside or 0.0) / 2 - (cost or 0.0)
+    """CPM quality over arcs that hold each edge both ways; pairs are whole numbers, so they add up alike in any order."""
+    ids = membership.select("id", "community")
+    inside = arcs.filter("src < dst").join(ids.toDF("src", "c1"), "src").join(ids.toDF("dst", "c2"), "dst").filter("c1 = c2").agg(F.sum("weight")).first()[0]
+    pairs = membership.groupBy("community").agg(F.sum("size").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1))).first()[0]
+    return (inside or 0.0) - resolution * float(pairs or 0)

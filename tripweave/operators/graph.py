@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripweave.functions.keys import uniform
+from tripweave.functions.keys import running, uniform
 from tripweave.operators.components import components
+from tripweave.operators.joins import join_counted
 from tripweave.sources.shared import written
 
 #: Kernels hold the edges of graphs of so many edges at most; larger ones go another way.
@@ -56,54 +58,199 @@ def degree_distribution(values: DataFrame, column: str) -> DataFrame:
 
 
 def graph_summary(graph: Graph) -> DataFrame:
-    """One row: vertices, edges, density, mean and greatest degrees."""
+    """One row: vertices, edges, density, mean and greatest degrees, how many weak and strong components there are and the size of the largest."""
     n, e = F.col("vertices"), F.col("edges")
     sums = degrees(graph).agg(F.count("*").alias("vertices"), F.sum("out_degree").alias("edges"), F.avg("in_degree").alias("mean_in_degree"), F.max("in_degree").alias("max_in_degree"), F.avg("out_degree").alias("mean_out_degree"), F.max("out_degree").alias("max_out_degree"))
-    return sums.withColumn("density", F.when(n > 1, e / (n * (n - 1))).otherwise(0.0))
+    sums = sums.withColumn("density", F.when(n > 1, e / (n * (n - 1))).otherwise(0.0))
+    for kind, membership in (("weak", weak_components(graph)), ("strong", strong_components(graph))):
+        sizes = component_sizes(membership).agg(F.count("*").alias(f"{kind}_components"), F.coalesce(F.max("size"), F.lit(0)).alias(f"largest_{kind}"))
+        sums = sums.join(F.broadcast(sizes))  # a row each
+    return sums
 
 
-def pagerank(graph: Graph, damping: float = 0.85, iterations: int = 30, weighted: bool = False, cut_every: int = 10) -> DataFrame:
+def _in_one_task(vertices: DataFrame, edges: DataFrame, work: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray], kind: str) -> DataFrame:
+    """(id, value) of each vertex by one task that holds the graph (see Graph.small()).
+
+    work gets the sorted ids of all vertices and ends, the places of each edge's ends among them, the weights, and which ids are vertices.
+    """
+    rows = edges.select("src", "dst", F.col("weight").cast("double").alias("weight")).union(vertices.select("id", F.lit(None).cast("long"), F.lit(0.0)))
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not (found := list(batches)):
+            return
+        table = pa.Table.from_batches(found)
+        alone = np.asarray(table.column("dst").is_null())
+        src, weight = (table.column(c).to_numpy() for c in ("src", "weight"))
+        dst = table.column("dst").fill_null(0).to_numpy()
+        names = np.unique(np.concatenate([src, dst[~alone]]))
+        own = np.zeros(len(names), bool)
+        own[np.searchsorted(names, src[alone])] = True
+        found = work(names, np.searchsorted(names, src[~alone]), np.searchsorted(names, dst[~alone]), weight[~alone], own)
+        yield pa.RecordBatch.from_arrays([pa.array(names[own]), pa.array(found[own])], names=["id", "value"])
+
+    return rows.repartition(1).mapInArrow(kernel, f"id long, value {kind}")
+
+
+def pagerank(graph: Graph, damping: float = 0.85, tolerance: float = 1e-12, weighted: bool = False, most_steps: int = 1_000, cut_every: int = 5) -> DataFrame:
     """(id, pagerank), summing to 1; vertices without an edge out spread theirs evenly.
 
     Spreading evenly adds to all ranks alike, so it only scales the result: the iteration leaves it out, which spares
-    a global sum each time, and the last step divides by the total. The lineage is cut every few iterations.
+    a global sum each time, and the last step divides by the total. It starts from the total that it comes to rest at. Steps go on until the ranks change by at most tolerance of their sum (each
+    brings them nearer by the factor damping at least; most_steps is where that is given up). Graphs that fit a kernel go on in one task; in tables, ranks
+    are written and compared every few steps.
     """
     value = F.col("weight") if weighted else F.lit(1.0)
-    edges = graph.edges.select("src", "dst", value.alias("value")).groupBy("src", "dst").agg(F.sum("value").alias("value"))
+    edges = graph.edges.select("src", "dst", value.alias("weight"))
+    if Graph(graph.vertices, edges).small():
+
+        def work(names: np.ndarray, src: np.ndarray, dst: np.ndarray, weight: np.ndarray, own: np.ndarray) -> np.ndarray:
+            share = damping * weight / np.bincount(src, weight, len(names))[src]
+            ranks = own / (1 - damping)
+            for _ in range(most_steps):
+                before, ranks = ranks, np.where(own, 1 + np.bincount(dst, share * ranks[src], len(names)), 0.0)
+                if np.abs(ranks - before).sum() <= tolerance * ranks.sum():
+                    break
+            return ranks / ranks.sum()
+
+        return _in_one_task(graph.vertices, edges, work, "double").withColumnRenamed("value", "pagerank")
+    edges = edges.groupBy("src", "dst").agg(F.sum("weight").alias("value"))
     out = edges.groupBy("src").agg(F.sum("value").alias("total"))
     edges = written(edges.join(out, "src").select("src", "dst", (F.col("value") / F.col("total")).alias("share")), "transitions")
     vertices = graph.vertices.select("id")
-    ranks = vertices.withColumn("rank", F.lit(1.0))
-    for k in range(iterations):
+    ranks = vertices.withColumn("rank", F.lit(1 / (1 - damping)))
+    for k in range(most_steps):
         inflow = edges.join(ranks, F.col("src") == F.col("id")).groupBy("dst").agg(F.sum(F.col("share") * F.col("rank")).alias("inflow"))
-        ranks = vertices.join(inflow, F.col("id") == F.col("dst"), "left").select("id", (1.0 + damping * F.coalesce("inflow", F.lit(0.0))).alias("rank"))
-        if (k + 1) % cut_every == 0:
+        ranks = ranks.join(inflow, F.col("id") == F.col("dst"), "left").select("id", (1.0 + damping * F.coalesce("inflow", F.lit(0.0))).alias("rank"), F.col("rank").alias("before"))
+        if (k + 1) % cut_every == 0 or k + 1 == most_steps:
             ranks = written(ranks, "ranks")
-    ranks = written(ranks, "ranks")
-    total = ranks.agg(F.sum("rank")).first()[0]
+            total, change = ranks.agg(F.sum("rank"), F.sum(F.abs(F.col("rank") - F.col("before")))).first()
+            if (change or 0.0) <= tolerance * (total or 0.0):
+                break
+        ranks = ranks.drop("before")
     return ranks.select("id", (F.col("rank") / F.lit(total)).alias("pagerank"))
 
 
 def weak_components(graph: Graph) -> DataFrame:
-    """(id, component): the smallest vertex that can be reached, edges taken both ways."""
+    """(id, component): the smallest vertex that can be reached, edges taken both ways; in one task where a kernel may hold the graph."""
+    if graph.small():
+        return _in_one_task(graph.vertices, graph.edges.select("src", "dst", F.lit(1.0).alias("weight")), lambda names, src, dst, weight, own: names[weak_labels(src, dst, len(names))], "long").withColumnRenamed("value", "component")
     linked = components(graph.edges, "src", "dst").toDF("node", "component")
     return graph.vertices.select("id").join(linked, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
+def weak_labels(src: np.ndarray, dst: np.ndarray, n: int) -> np.ndarray:
+    """The least vertex of each one's component: roots are hung below lesser ones until no edge joins two, paths cut short each time."""
+    parent = np.arange(n)
+    while True:
+        a, b = parent[src], parent[dst]
+        if (a == b).all():
+            return parent
+        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+        while not (parent[parent] == parent).all():
+            parent = parent[parent]
+
+
 def strong_components(graph: Graph) -> DataFrame:
-    """(id, component): the greatest vertex of those that reach each other.
+    """(id, component): the greatest vertex of those that reach each other; in one task where a kernel may hold the graph."""
+    if graph.small():
+
+        def work(names: np.ndarray, src: np.ndarray, dst: np.ndarray, weight: np.ndarray, own: np.ndarray) -> np.ndarray:
+            labels = strong_labels(src, dst, len(names))
+            most = np.zeros(len(names), np.int64)
+            np.maximum.at(most, labels, np.arange(len(names)))
+            return names[most[labels]]
+
+        return _in_one_task(graph.vertices, graph.edges.select("src", "dst", F.lit(1.0).alias("weight")), work, "long").withColumnRenamed("value", "component")
+    return strong_components_in_tables(graph)
+
 
-    Every vertex learns the greatest one that reaches it; what the greatest one can be reached from within
-    its colour is its component. Those vertices go, and the rest is coloured again.
+def strong_labels(src: np.ndarray, dst: np.ndarray, n: int) -> np.ndarray:
+    """A number for each vertex, equal for those that reach each other.
+
+    Vertices that no edge enters, or none leaves, are alone and go, again and again; the greatest component is mostly what one vertex of many edges
+    reaches and is reached by; the rest is searched forwards, and backwards in the order in which that search left it.
     """
-    edges = written(graph.edges.select("src", "dst").filter("src <> dst").distinct(), "arcs")
-    left = written(graph.vertices.select("id"), "left")
+    labels, left = np.arange(n), np.ones(n, bool)
+
+    def inside() -> tuple[np.ndarray, np.ndarray]:
+        kept = left[src] & left[dst] & (src != dst)
+        return src[kept], dst[kept]
+
+    def trim() -> tuple[np.ndarray, np.ndarray]:
+        a, b = inside()
+        while True:
+            ends = (np.bincount(a, minlength=n) > 0) & (np.bincount(b, minlength=n) > 0) & left
+            if (ends == left).all():
+                return a, b
+            left[:] = ends
+            a, b = inside()
+
+    a, b = trim()
+    if not len(a):
+        return labels
+    pivot = int(np.argmax(np.minimum(np.bincount(a, minlength=n), np.bincount(b, minlength=n))))
+    both = _reached(a, b, n, pivot) & _reached(b, a, n, pivot)
+    labels[both], left[both] = pivot, False
+    a, b = trim()
+    out, back = ({int(v): [] for v in np.flatnonzero(left)} for _ in range(2))
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        out[x].append(y)
+        back[y].append(x)
+    done, seen = [], set()
+    for v in out:
+        stack = [(v, iter(out[v]))] if v not in seen else []
+        seen.add(v)
+        while stack:
+            at, rest = stack[-1]
+            nxt = next((u for u in rest if u not in seen), None)
+            if nxt is None:
+                done.append(at)
+                stack.pop()
+            else:
+                seen.add(nxt)
+                stack.append((nxt, iter(out[nxt])))
+    taken: set[int] = set()
+    for v in reversed(done):
+        todo = [] if v in taken else [v]
+        taken.update(todo)
+        while todo:
+            at = todo.pop()
+            labels[at] = v
+            fresh = {u for u in back[at] if u not in taken}
+            taken |= fresh
+            todo += fresh
+    return labels
+
+
+def _reached(src: np.ndarray, dst: np.ndarray, n: int, start: int) -> np.ndarray:
+    """Which vertices edges lead to from a start, itself included, a level at a time."""
+    ends, targets = _adjacency(src, dst, n)
+    seen, frontier = np.zeros(n, bool), np.array([start])
+    seen[start] = True
+    while len(frontier):
+        near = np.unique(_neighbours(frontier, ends, targets)[1])
+        frontier = near[~seen[near]]
+        seen[frontier] = True
+    return seen
+
+
+def strong_components_in_tables(graph: Graph) -> DataFrame:
+    """(id, component) of a graph of any size, with ids of any type that has an order.
+
+    First what can't be on a cycle goes. Every cycle that rises along edges must fall along some edge from a greater to a lesser id, so its
+    vertices lie between the ends of such edges: where ids follow time (a network of trips) this leaves next to nothing, however long its chains are. Then go
+    vertices that no edge enters or none leaves, as long as these are many. In what is left, every vertex learns the greatest one that reaches
+    it; what the greatest one can be reached from within its colour is its component. Those vertices go, and the rest is coloured again.
+    """
+    arcs = written(graph.edges.select("src", "dst").filter("src <> dst").distinct(), "arcs")
+    everything = written(graph.vertices.select("id"), "left")
+    left, edges = _between_falls(everything, arcs)
     found = None
     while not left.isEmpty():
         colours = _spread(left.withColumn("colour", F.col("id")), edges)
         inside = edges.join(colours.toDF("src", "c1"), "src").join(colours.toDF("dst", "c2"), "dst").filter("c1 = c2").select("src", "dst")
         inside = written(inside, "inside")
-        reached, edge = colours.filter("id = colour"), None
+        reached = colours.filter("id = colour")
         edge = reached
         while True:  # backwards from each colour's own vertex
             step = inside.join(edge.select(F.col("id").alias("dst"), "colour"), "dst").select(F.col("src").alias("id"), "colour").distinct()
@@ -113,9 +260,39 @@ def strong_components(graph: Graph) -> DataFrame:
             reached = written(reached.union(edge), "reached")
         part = reached.select("id", F.col("colour").alias("component"))
         found = found.union(part) if found else part
-        left = written(left.join(reached, "id", "left_anti"), "left")
-        edges = written(edges.join(left.toDF("src"), "src").join(left.toDF("dst"), "dst").select("src", "dst"), "arcs")
-    return found if found else graph.vertices.select("id", F.col("id").alias("component"))
+        left, edges = _within(left.join(reached, "id", "left_anti"), edges)
+        left, edges = _trimmed(left, edges)
+    if found is None:
+        return everything.select("id", F.col("id").alias("component"))
+    return everything.join(found.toDF("found", "component"), F.col("id") == F.col("found"), "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
+def _within(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The vertices and the edges between them, written."""
+    left = written(vertices, "left")
+    return left, written(edges.join(left.toDF("src"), "src").join(left.toDF("dst"), "dst").select("src", "dst"), "arcs")
+
+
+def _between_falls(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The vertices that lie between the ends of an edge to a lesser id, and the edges between them: all cycles are there."""
+    falls = edges.filter("src > dst")
+    events = vertices.select("id", F.lit(1).alias("turn"), F.lit(0).alias("open"))
+    events = events.union(falls.select("dst", F.lit(0), F.lit(1))).union(falls.select("src", F.lit(2), F.lit(-1)))
+    events = written(events.groupBy("id", "turn").agg(F.sum("open").alias("open")), "falls")
+    covered = running(events, [F.col("id"), F.col("turn")], covered=F.col("open")).filter("turn = 1 and covered > 0").select("id")
+    return _trimmed(*_within(covered, edges))
+
+
+def _trimmed(vertices: DataFrame, edges: DataFrame, least: float = 0.05) -> tuple[DataFrame, DataFrame]:
+    """Without vertices that no edge enters or none leaves, again as long as that takes `least` of them at a time."""
+    n = vertices.count()
+    while n:
+        cyclic = edges.select(F.col("src").alias("id")).distinct().join(edges.select(F.col("dst").alias("id")).distinct(), "id", "left_semi")
+        vertices, edges = _within(cyclic, edges)
+        before, n = n, vertices.count()
+        if before - n < least * before:
+            break
+    return vertices, edges
 
 
 def _spread(colours: DataFrame, edges: DataFrame) -> DataFrame:
@@ -131,10 +308,17 @@ def _spread(colours: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def sampled_sources(graph: Graph, share: float, seed: int = 42) -> DataFrame:
-    """(id) of the vertices that draw below `share`: the starts of a betweenness estimate, whose values then scale by 1 / share."""
+    """(id) of the vertices that draw below `share`: the starts of a betweenness estimate."""
     return graph.vertices.select("id").filter(uniform(F.lit(seed), F.lit("source"), "id") < share)
 
 
+def betweenness_estimate(graph: Graph, share: float, seed: int = 42) -> DataFrame:
+    """(id, betweenness) of all vertices from the shortest paths of a sample of starts, scaled by vertices per start; zeros without a start."""
+    sources = written(sampled_sources(graph, share, seed), "sources")
+    n, k = graph.vertices.count(), sources.count()
+    return betweenness(graph, sources).withColumn("betweenness", F.col("betweenness") * (n / k if k else 0.0))
+
+
 def component_sizes(membership: DataFrame) -> DataFrame:
     return membership.groupBy("component").agg(F.count("*").alias("size"))
 
@@ -236,13 +420,19 @@ def _betweenness_by_levels(vertices: DataFrame, edges: DataFrame, starts: DataFr
 # Rankings over metrics
 
 
-def percentile_rank(column: Column) -> Column:
-    """Rank over the number of rows; equal values share the mean of their ranks."""
-    return _mean_rank(column.asc(), column) / F.count(F.lit(1)).over(Window.partitionBy())
-
+def mean_ranks(values: DataFrame, key: str, metrics: list[str], descending: bool = False) -> DataFrame:
+    """(key, one column for each metric): the rank of its value, from 1; equal values share the mean of their ranks.
 
-def _mean_rank(order: Column, column: Column) -> Column:
-    return F.rank().over(Window.orderBy(order)) + (F.count(F.lit(1)).over(Window.partitionBy(column)) - 1) / 2
+    Different values are counted first and ranked by running(), so no task orders all vertices; all metrics go together.
+    """
+    long = written(values.select(key, *(F.col(m).cast("double").alias(m) for m in metrics)).unpivot(key, metrics, "metric", "value"), "metrics")
+    groups = written(long.groupBy("metric", "value").agg(F.count("*").alias("n")), "groups")
+    value = F.col("value").desc() if descending else F.col("value").asc()
+    upto = written(running(groups, [F.col("metric"), value], upto=F.col("n")), "upto")
+    first = upto.groupBy("metric").agg(F.min(F.col("upto") - F.col("n")).alias("before"))
+    ranks = upto.join(F.broadcast(first), "metric").select("metric", "value", (F.col("upto") - F.col("before") - (F.col("n") - 1) / 2).alias("rank"), "n")  # a row per metric
+    found = join_counted(long, written(ranks, "ranks"), ["metric", "value"], "n")
+    return found.groupBy(key).agg(*(F.max(F.when(F.col("metric") == m, F.col("rank"))).alias(m) for m in metrics))
 
 
 def top_by_metric(values: DataFrame, key: str, metrics: list[str], n: int = 20) -> DataFrame:
@@ -253,20 +443,30 @@ def top_by_metric(values: DataFrame, key: str, metrics: list[str], n: int = 20)
 
 
 def connectors(values: DataFrame, key: str, degree: str = "in_degree", between: str = "betweenness") -> DataFrame:
-    """(key, kind): connector (high betweenness, moderate degree) or mega_hub (both very high)."""
-    ranked = values.select(key, percentile_rank(F.col(degree)).alias("d"), percentile_rank(F.col(between)).alias("b"))
+    """(key, kind): connector (high betweenness, moderate degree) or mega_hub (both very high), by mean rank over the number of rows."""
+    n = values.count()
+    ranked = mean_ranks(values, key, [degree, between]).select(key, (F.col(degree) / n).alias("d"), (F.col(between) / n).alias("b"))
     kind = F.when((F.col("b") > 0.95) & (F.col("d") > 0.95), "mega_hub").when((F.col("b") > 0.90) & (F.col("d") < 0.75), "connector")
     return ranked.select(key, kind.alias("kind"), F.col("d").alias("degree_pct"), F.col("b").alias("betweenness_pct")).filter("kind is not null")
 
 
 def composite_rank(values: DataFrame, key: str, metrics: list[str]) -> DataFrame:
     """(key, composite): the mean over metrics of the rank from the greatest, equal values sharing the mean rank."""
-    ranks = [_mean_rank(F.col(m).desc(), F.col(m)) for m in metrics]
-    return values.select(key, (sum(ranks[1:], ranks[0]) / len(ranks)).alias("composite"))
+    ranks = mean_ranks(values, key, metrics, descending=True)
+    return ranks.select(key, (sum((F.col(m) for m in metrics[1:]), F.col(metrics[0])) / len(metrics)).alias("composite"))
+
+
+def composite_top(values: DataFrame, key: str, metrics: list[str], n: int = 15) -> DataFrame:
+    """(rank, key, composite, and the metrics) of the n best by composite rank; of equal ones the first by key."""
+    best = composite_rank(values, key, metrics).orderBy("composite", key).limit(n)
+    rank = F.row_number().over(Window.orderBy("composite", key))  # n rows
+    return best.select(rank.alias("rank"), key, "composite").join(values.select(key, *metrics), key)
 
 
 def correlations(values: DataFrame, metrics: list[str]) -> DataFrame:
     """(a, b, r): Pearson correlation of every two metrics, in one pass."""
     pairs = [(a, b) for i, a in enumerate(metrics) for b in metrics[i + 1 :]]
-    row = values.agg(*(F.corr(a, b).alias(f"r{k}") for k, (a, b) in enumerate(pairs)))
+    # Null where a metric has one value only.
+    corr = lambda a, b: F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+    row = values.agg(*(corr(a, b).alias(f"r{k}") for k, (a, b) in enumerate(pairs)))
     return row.select(F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{k}").alias("r")) for k, (a, b) in enumerate(pairs)))).alias("x")).select("x.*")

@@ -62,17 +62,21 @@ conn AS (SELECT a.flight_id AS arrival, d.flight_id AS departure, {minutes('a.ar
   AND d.dep_ts >= a.arr_ts + to_minutes({least}) AND d.dep_ts <= a.arr_ts + to_minutes({most}) AND a.flight_id <> d.flight_id)"""
 
 
-STEPS = """
-step0 AS (SELECT l_suppkey AS src, lead(l_suppkey) OVER (PARTITION BY o_custkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus) AS dst, month(l_shipdate) AS month
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'),
+
+
+def steps(key: str) -> str:
+    return f"""
+step0 AS (SELECT {key} AS src, lead({key}) OVER (PARTITION BY o_custkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus) AS dst, month(l_shipdate) AS month
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 steps AS (SELECT * FROM step0 WHERE dst IS NOT NULL AND src <> dst)"""
 
-ROUTES = f"""{STEPS},
+
+ROUTES = f"""{steps('l_suppkey')},
 v AS (SELECT s_suppkey AS id FROM supplier),
-e AS (SELECT src, dst, count(*)::DOUBLE AS weight FROM steps GROUP BY src, dst)"""
+e AS MATERIALIZED (SELECT src, dst, count(*)::DOUBLE AS weight FROM steps GROUP BY src, dst)"""
 
 NATION_GRAPH = f"""{TRIPS},
-v AS (SELECT n_nationkey::BIGINT AS id, n_name AS code, n_regionkey::BIGINT AS community FROM nation),
+v AS (SELECT n_nationkey::BIGINT AS id, n_name AS code, CASE WHEN n_regionkey = 0 THEN 0 ELSE n_nationkey % 3 + 1 END::BIGINT AS community FROM nation),
 e AS (SELECT ORIGIN_AIRPORT_ID::BIGINT AS src, n_nationkey::BIGINT AS dst, sum(FLIGHTS) AS weight FROM trips JOIN nation ON DEST = n_name GROUP BY 1, 2)"""
 
 DEGREES = """
@@ -88,17 +92,28 @@ def uniform(*parts: str) -> str:
 def pagerank(iterations: int, weighted: bool) -> str:
     """Over v and e; the table pr has id and pagerank."""
     value = "weight" if weighted else "1.0::DOUBLE"
-    text = f"tr AS MATERIALIZED (SELECT src, dst, x / sum(x) OVER (PARTITION BY src) AS share FROM (SELECT src, dst, sum({value}) AS x FROM e GROUP BY src, dst)), p0 AS (SELECT id, 1.0::DOUBLE AS r FROM v)"
+    text = f"tr AS MATERIALIZED (SELECT src, dst, x / sum(x) OVER (PARTITION BY src) AS share FROM (SELECT src, dst, sum({value}) AS x FROM e GROUP BY src, dst)), p0 AS (SELECT id, 1 / (1 - 0.85::DOUBLE) AS r FROM v)"
     for k in range(iterations):
         text += f", p{k + 1} AS MATERIALIZED (SELECT v.id, 1 + 0.85::DOUBLE * coalesce(i, 0) AS r FROM v LEFT JOIN (SELECT dst, sum(share * r) AS i FROM tr JOIN p{k} ON src = id GROUP BY dst) ON dst = v.id)"
     return text + f", pr AS (SELECT id, r / (SELECT sum(r) FROM p{iterations}) AS pagerank FROM p{iterations})"
 
 
-def betweenness(levels: int) -> str:
-    """Over v and e (all distances at most `levels`); the table bt has id and betweenness."""
+def betweenness(levels: int, starts: str = "true", scale: str = "1") -> str:
+    """Over v and e (all distances at most `levels`); the table bt has id and betweenness, from the starts m.s that pass a test."""
     text = "arcs AS MATERIALIZED (SELECT DISTINCT src, dst FROM e WHERE src <> dst), d0 AS MATERIALIZED (SELECT id AS s, id AS t, 0 AS d, 1.0::DOUBLE AS n FROM v)"
     for k in range(levels):
         text += f", f{k} AS MATERIALIZED (SELECT s, dst AS t, {k + 1} AS d, sum(n) AS n FROM d{k} JOIN arcs ON t = src WHERE d = {k} AND NOT EXISTS (SELECT 1 FROM d{k} o WHERE o.s = d{k}.s AND o.t = dst) GROUP BY s, dst), d{k + 1} AS MATERIALIZED (SELECT * FROM d{k} UNION ALL SELECT * FROM f{k})"
     last = f"d{levels}"
-    return text + f""", bt AS (SELECT v.id, coalesce(b, 0.0) AS betweenness FROM v LEFT JOIN (SELECT m.t AS id, sum(m.n * r.n / w.n) AS b FROM {last} m JOIN {last} r ON m.t = r.s JOIN {last} w ON w.s = m.s AND w.t = r.t
-  WHERE m.d + r.d = w.d AND m.s <> m.t AND r.s <> r.t GROUP BY m.t) x ON x.id = v.id)"""
+    return text + f""", bt AS MATERIALIZED (SELECT v.id, coalesce(b, 0.0) * {scale} AS betweenness FROM v LEFT JOIN (SELECT m.t AS id, sum(m.n * r.n / w.n) AS b FROM {last} m JOIN {last} r ON m.t = r.s JOIN {last} w ON w.s = m.s AND w.t = r.t
+  WHERE m.d + r.d = w.d AND m.s <> m.t AND r.s <> r.t AND {starts} GROUP BY m.t) x ON x.id = v.id)"""
+
+
+#: Over legs: the edges along which delays spread (fe: src, dst, edge_type, p).
+FLIGHT_EDGES = f"""{tail_edges('legs')}, {route_edges('legs', 3)},
+fe AS MATERIALIZED (SELECT src_id AS src, dst_id AS dst, arg_min(edge_type, k) AS edge_type, CASE WHEN min(k) = 1 THEN 0.60 ELSE 0.25 END AS p FROM (SELECT 1 AS k, * FROM tail_e UNION ALL SELECT 2, * FROM route_e) GROUP BY 1, 2)"""
+
+
+def spread(runs: str, edges: str = "fe") -> str:
+    """Over seeded (run, id) and a table of runs: the live edges, and rc (run, id) of all that they reach from the seeds."""
+    return f"""live AS MATERIALIZED (SELECT run, src, dst FROM {edges}, {runs} WHERE {uniform('42', 'run', 'src', 'dst', 'edge_type')} < p),
+rc AS (SELECT run, id FROM seeded UNION SELECT rc.run, dst FROM rc JOIN live ON rc.run = live.run AND rc.id = src)"""

@@ -3,24 +3,30 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _folders: dict[str, str] = {}
+_scopes: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A folder of this application below spark.checkpoint.dir.
+    """A folder of this application below spark.checkpoint.dir, deleted when the driver's Python ends.
 
-    Only where no such folder is set (tests, one machine) a temporary one is
-    made. It is deleted when the driver's Python ends.
+    Where no such folder is set, a local session (tests, one machine) makes a temporary one; on a cluster, whose
+    machines don't share their own folders, that is an error.
     """
     app = spark.sparkContext.applicationId
     if app not in _folders:
         root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
         if not root:
+            if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
             root = "file://" + tempfile.mkdtemp(prefix="shared-")
             spark.sparkContext.setCheckpointDir(root)
         folder = f"{root.rstrip('/')}/tables-{uuid.uuid4().hex}"
@@ -29,6 +35,21 @@ def shared_folder(spark: SparkSession) -> str:
     return _folders[app]
 
 
+@contextlib.contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are deleted at the end, when what was made of them must have been collected or saved elsewhere.
+
+    A long session should run each query in one, so that its intermediate tables don't fill the shared folder.
+    """
+    folder = f"{shared_folder(spark)}/scope-{uuid.uuid4().hex}"
+    _scopes.append(folder)
+    try:
+        yield
+    finally:
+        _scopes.remove(folder)
+        _drop(spark, folder)
+
+
 def _drop(spark: SparkSession, folder: str) -> None:
     try:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
@@ -38,7 +59,8 @@ def _drop(spark: SparkSession, folder: str) -> None:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    folder = shared_folder(spark)
+    return f"{_scopes[-1] if _scopes else folder}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -15,9 +15,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(n_nationkey, n_name, r_name)."""
+    return table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
+
+
 def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each line of an order as a trip from the supplier's nation to the customer's, with all columns of trip records."""
-    nation = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
+    nation = nations(spark, sf_dir)
     lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority"), F.col("l_orderkey") == F.col("o_orderkey"))
     lines = lines.join(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
     lines = lines.join(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
@@ -52,30 +57,29 @@ def legs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def route_graph(spark: SparkSession, sf_dir: str) -> Graph:
-    """Suppliers, linked when a customer's urgent, finished lines went from one to the next; the weight counts how often."""
-    return Graph(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id")), route_steps(spark, sf_dir).groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight")))
+    """Suppliers, linked when a customer's lines went from one to the next; the weight counts how often."""
+    return Graph(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id")), steps(spark, sf_dir, "l_suppkey").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight")))
 
 
-def route_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src, dst, month) of each step in the route graph."""
-    orders = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT' and o_orderstatus = 'F'").select("o_orderkey", "o_custkey")
-    lines = table(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+def steps(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
+    """(src, dst, month) of each step from one line of a customer to the next, between different suppliers or parts (the lines' key)."""
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     order = ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
     by = Window.partitionBy("o_custkey").orderBy(*order)
-    steps = lines.select(F.col("l_suppkey").alias("src"), F.lead("l_suppkey").over(by).alias("dst"), F.month("l_shipdate").alias("month"))
-    return steps.filter("dst is not null and src <> dst")
+    found = lines.select(F.col(key).alias("src"), F.lead(key).over(by).alias("dst"), F.month("l_shipdate").alias("month"))
+    return found.filter("dst is not null and src <> dst")
 
 
-def route_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The steps as trips with MONTH, ORIGIN and DEST."""
-    name = lambda c: F.lpad(F.col(c).cast("string"), 6, "0")
-    return route_steps(spark, sf_dir).select(F.col("month").alias("MONTH"), name("src").alias("ORIGIN"), name("dst").alias("DEST"))
+def part_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The steps between parts as trips with MONTH, ORIGIN and DEST: many vertices for their edges, so that later months have new routes."""
+    name = lambda c: F.lpad(F.col(c).cast("string"), 9, "0")
+    return steps(spark, sf_dir, "l_partkey").select(F.col("month").alias("MONTH"), name("src").alias("ORIGIN"), name("dst").alias("DEST"))
 
 
 def nation_graph(spark: SparkSession, sf_dir: str) -> Graph:
-    """Nations with the number of trips between them."""
+    """Nations with the number of trips between them; the first region is a community, and the others' nations are dealt over three."""
     edges = trips(spark, sf_dir).join(table(spark, sf_dir, "nation").select(F.col("n_name").alias("DEST"), F.col("n_nationkey").cast("long").alias("dst")), "DEST")
-    return Graph(table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("code"), F.col("n_regionkey").cast("long").alias("community")), edges.groupBy(F.col("ORIGIN_AIRPORT_ID").cast("long").alias("src"), "dst").agg(F.sum("FLIGHTS").alias("weight")))
+    return Graph(table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("code"), F.when(F.col("n_regionkey") == 0, 0).otherwise(F.col("n_nationkey") % 3 + 1).cast("long").alias("community")), edges.groupBy(F.col("ORIGIN_AIRPORT_ID").cast("long").alias("src"), "dst").agg(F.sum("FLIGHTS").alias("weight")))
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
