@@ -110,11 +110,16 @@ def test_long_path_is_one_component(spark):
     assert components(links.limit(0)).count() == 0
 
 
-def test_betweenness_both_ways(spark):
+def test_betweenness_all_ways(spark, monkeypatch):
     g = make(spark, 6, [(0, 1), (1, 2), (2, 3), (0, 4), (4, 3), (3, 5), (5, 0), (1, 1)])
     fast = by_id(graph.betweenness(g), "betweenness")
     slow = by_id(graph._betweenness_by_levels(g.vertices, g.edges.filter("src <> dst").select("src", "dst"), g.vertices), "betweenness")
     assert fast == pytest.approx(slow) and max(fast.values()) > 0
+    rng = random.Random(1)
+    crowd = make(spark, 25, sorted({(rng.randrange(24), rng.randrange(24)) for _ in range(90)}))  # dense enough for a matrix, one vertex alone
+    by_matrix = by_id(graph.betweenness(crowd), "betweenness")
+    monkeypatch.setattr(graph, "DENSE_VERTICES", 0)
+    assert by_matrix == pytest.approx(by_id(graph.betweenness(crowd), "betweenness")) and max(by_matrix.values()) > 5
     path = by_id(graph.betweenness(make(spark, 4, [(0, 1), (1, 2), (2, 3)])), "betweenness")
     assert path == {0: 0, 1: 2, 2: 2, 3: 0}
 

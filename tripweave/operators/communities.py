@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripweave.operators.components import components
-from tripweave.operators.graph import Graph, weak_labels
+from tripweave.operators.graph import Graph, arrays, weak_labels
 from tripweave.sources.shared import written
 
 #: Passes of simultaneous moves without a better quality, after which moves are kept apart; what a move must gain.
@@ -111,30 +110,34 @@ def leiden_cpm(graph: Graph, resolution: float = 0.01, seed: int = 42, runs: int
     edges = written(edges, "edges")
     vertices = graph.vertices.select("id")
     if Graph(vertices, edges).small():
-        found = _kernel_runs(vertices, edges, resolution, seed, runs)
-    else:
-        found = reduce(DataFrame.union, [_run_in_tables(vertices, edges, resolution, seed + run).select(F.lit(run).cast("long").alias("run"), "id", "community") for run in range(runs)])
-    ends = edges.join(found.toDF("run", "src", "c1"), "src").join(found.toDF("run", "dst", "c2"), ["run", "dst"]).filter("c1 = c2").groupBy("run").agg(F.sum("weight").alias("inside"))
-    cost = found.groupBy("run", "community").agg(F.count("*").alias("n")).groupBy("run").agg((resolution * F.sum(F.col("n") * (F.col("n") - 1))).alias("cost"))
-    scored = cost.join(ends, "run", "left").select("run", (F.coalesce("inside", F.lit(0.0)) - F.col("cost")).alias("quality"))
-    best = scored.orderBy(F.desc("quality"), "run").first()
-    return found.filter(F.col("run") == (best.run if best else 0)).select("id", "community")
-
-
-def _kernel_runs(vertices: DataFrame, edges: DataFrame, resolution: float, seed: int, runs: int) -> DataFrame:
-    """(run, id, community) of a graph that fits a task, one run per task."""
-    arcs = edges.toPandas()
-    names = np.array(sorted(r.id for r in vertices.collect()), np.int64)
-    shared = edges.sparkSession.sparkContext.broadcast((names, np.searchsorted(names, arcs.src), np.searchsorted(names, arcs.dst), arcs.weight.to_numpy()))
+        return _best_in_memory(vertices, edges, resolution, seed, runs)
+    best, quality = None, 0.0
+    for run in range(runs):
+        found = _run_in_tables(vertices, edges, resolution, seed + run)
+        reached = _quality(edges, found.withColumn("size", F.lit(1).cast("long")), resolution)
+        if best is None or reached > quality:
+            best, quality = found, reached
+    return best
+
+
+def _best_in_memory(vertices: DataFrame, edges: DataFrame, resolution: float, seed: int, runs: int) -> DataFrame:
+    """The best run on a graph that fits a task, one run per task."""
+    src, dst, weight = arrays(edges)
+    names = np.sort(arrays(vertices)[0].astype(np.int64))
+    shared = edges.sparkSession.sparkContext.broadcast((names, np.searchsorted(names, src), np.searchsorted(names, dst), weight))
 
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for run in batch.id:
                 names, a, b, w = shared.value
                 community = run_in_memory(names, a, b, w, resolution, seed + int(run))
-                yield pd.DataFrame({"run": int(run), "id": names, "community": community})
+                size = np.unique(community, return_counts=True)[1]
+                quality = float(w[community[a] == community[b]].sum()) - resolution * float(int((size * (size - 1)).sum()))
+                yield pd.DataFrame({"run": int(run), "quality": quality, "id": names, "community": community})
 
-    return written(edges.sparkSession.range(runs).repartition(runs).mapInPandas(kernel, "run long, id long, community long"), "runs")
+    found = written(edges.sparkSession.range(runs).repartition(runs).mapInPandas(kernel, "run long, quality double, id long, community long"), "runs")
+    best = found.groupBy("run").agg(F.max("quality").alias("quality")).orderBy(F.desc("quality"), "run").first()
+    return found.filter(F.col("run") == (best.run if best else 0)).select("id", "community")
 
 
 def nested(graph: Graph, most_size: int | None = None, resolution: float = 0.01, seed: int = 42, runs: int = 1, weighted: bool = False) -> DataFrame:
@@ -304,7 +307,7 @@ def _apart(wishes: DataFrame) -> DataFrame:
 
 
 def _quality(arcs: DataFrame, membership: DataFrame, resolution: float) -> float:
-    """CPM quality over arcs that hold each edge both ways; pairs are whole numbers, so they add up alike in any order."""
+    """CPM quality over edges, of which those that rise count, so they may stand both ways; pairs are whole numbers, so they add up alike in any order."""
     ids = membership.select("id", "community")
     inside = arcs.filter("src < dst").join(ids.toDF("src", "c1"), "src").join(ids.toDF("dst", "c2"), "dst").filter("c1 = c2").agg(F.sum("weight")).first()[0]
     pairs = membership.groupBy("community").agg(F.sum("size").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1))).first()[0]

@@ -18,6 +18,8 @@ from tripweave.sources.shared import written
 
 #: Kernels hold the edges of graphs of so many edges at most; larger ones go another way.
 KERNEL_EDGES = 2_000_000
+#: Graphs of so many vertices at most, with many edges, are held as a matrix where that is faster.
+DENSE_VERTICES = 3_000
 
 
 @dataclass(frozen=True)
@@ -28,8 +30,8 @@ class Graph:
     edges: DataFrame
 
     def small(self, most: int = KERNEL_EDGES) -> bool:
-        """Whether a kernel may hold it: neither edges nor vertices are more than `most`."""
-        return all(df.limit(most + 1).count() <= most for df in (self.edges, self.vertices))
+        """Whether a kernel may hold it: neither edges nor vertices are more than `most`. Written tables are counted from their footers."""
+        return all(df.count() <= most for df in (self.edges, self.vertices))
 
     def undirected(self) -> DataFrame:
         """(src, dst, weight) with src <= dst, weights added up."""
@@ -43,6 +45,12 @@ class Graph:
         return self.edges.unionByName(self.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
 
 
+def arrays(df: DataFrame) -> list[np.ndarray]:
+    """The columns of a bounded table as arrays on the driver."""
+    table = df.toArrow()
+    return [table.column(c).to_numpy() for c in df.columns]
+
+
 def degrees(graph: Graph) -> DataFrame:
     """(id, in_degree, out_degree, in_strength, out_strength) of every vertex, zeros included.
 
@@ -138,9 +146,12 @@ def weak_components(graph: Graph) -> DataFrame:
     return graph.vertices.select("id").join(linked, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-def weak_labels(src: np.ndarray, dst: np.ndarray, n: int) -> np.ndarray:
-    """The least vertex of each one's component: roots are hung below lesser ones until no edge joins two, paths cut short each time."""
-    parent = np.arange(n)
+def weak_labels(src: np.ndarray, dst: np.ndarray, n: int, parent: np.ndarray | None = None) -> np.ndarray:
+    """The least vertex of each one's component: roots are hung below lesser ones until no edge joins two, paths cut short each time.
+
+    parent: the labels of earlier edges, which these are added to.
+    """
+    parent = np.arange(n) if parent is None else parent.copy()
     while True:
         a, b = parent[src], parent[dst]
         if (a == b).all():
@@ -333,18 +344,24 @@ def betweenness(graph: Graph, sources: DataFrame | None = None) -> DataFrame:
     edges = graph.edges.select("src", "dst").filter("src <> dst").distinct()
     if not Graph(graph.vertices, edges).small():
         return _betweenness_by_levels(graph.vertices, edges, starts)
-    arcs = edges.toPandas()
-    names = np.unique(np.concatenate([arcs.src.to_numpy(np.int64), arcs.dst.to_numpy(np.int64)]))
-    shared = graph.edges.sparkSession.sparkContext.broadcast((names, *_adjacency(np.searchsorted(names, arcs.src), np.searchsorted(names, arcs.dst), len(names))))
+    src, dst = arrays(edges)
+    names = np.unique(np.concatenate([src, dst]))
+    places = np.searchsorted(names, src), np.searchsorted(names, dst)
+    dense = len(names) <= DENSE_VERTICES and len(src) * 50 > len(names) ** 2
+    shared = graph.edges.sparkSession.sparkContext.broadcast((names, _matrix(*places, len(names)) if dense else _adjacency(*places, len(names))))
 
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, ends, targets = shared.value
+        names, near = shared.value
         total = np.zeros(len(names))
         for batch in batches:
-            place = np.searchsorted(names, batch.id.to_numpy())
-            for p, i in zip(place, batch.id, strict=True):
-                if p < len(names) and names[p] == i:
-                    total += _dependencies(int(p), ends, targets)
+            place = np.minimum(np.searchsorted(names, batch.id.to_numpy()), len(names) - 1) if len(names) else np.zeros(0, np.int64)
+            place = place[names[place] == batch.id.to_numpy()] if len(names) else place
+            if dense:
+                for k in range(0, len(place), 256):
+                    total += _dependencies_by_matrix(place[k : k + 256], near)
+            else:
+                for p in place:
+                    total += _dependencies(int(p), *near)
         kept = np.flatnonzero(total)
         yield pd.DataFrame({"id": names[kept], "value": total[kept]})
 
@@ -362,6 +379,32 @@ def _adjacency(src: np.ndarray, dst: np.ndarray, n: int) -> tuple[np.ndarray, np
     return np.searchsorted(src[order], np.arange(n + 1)), dst[order]
 
 
+def _matrix(src: np.ndarray, dst: np.ndarray, n: int) -> np.ndarray:
+    near = np.zeros((n, n))
+    near[src, dst] = 1
+    return near
+
+
+def _dependencies_by_matrix(sources: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """The sum of _dependencies() of some sources in a dense graph: all their searches go on a level at a time as products of matrices."""
+    rows = np.arange(len(sources))
+    paths = np.zeros((len(sources), len(near)))
+    paths[rows, sources] = 1
+    seen, levels = paths > 0, [paths]
+    while True:
+        paths = np.where(seen, 0, levels[-1] @ near)
+        if not paths.any():
+            break
+        seen |= paths > 0
+        levels.append(paths)
+    share = np.zeros_like(paths)
+    total = np.zeros(len(near))
+    for above, here in zip(reversed(levels[:-1]), reversed(levels[1:]), strict=True):
+        total += share.sum(axis=0)
+        share = above * (np.divide(1 + share, here, out=np.zeros_like(share), where=here > 0) @ near.T)
+    return total
+
+
 def _neighbours(nodes: np.ndarray, ends: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     sizes = ends[nodes + 1] - ends[nodes]
     at = np.repeat(ends[nodes] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
@@ -381,12 +424,12 @@ def _dependencies(source: int, ends: np.ndarray, targets: np.ndarray) -> np.ndar
         level[b[fresh]] = depth
         on = level[b] == depth
         a, b = a[on], b[on]
-        np.add.at(paths, b, paths[a])
+        paths += np.bincount(b, paths[a], n)
         steps.append((a, b))
         frontier = np.unique(b)
     share = np.zeros(n)
     for a, b in reversed(steps):
-        np.add.at(share, a, paths[a] / paths[b] * (1 + share[b]))
+        share += np.bincount(a, paths[a] / paths[b] * (1 + share[b]), n)
     share[source] = 0
     return share
 

@@ -16,7 +16,7 @@ from tripweave.sources import tables
 def _routes(spark: SparkSession, sf_dir: str) -> Graph:
     """The route graph, written once: what follows reads it several times."""
     g = tables.route_graph(spark, sf_dir)
-    return Graph(tables.kept(g.vertices, "vertices"), tables.kept(g.edges, "edges"))
+    return Graph(g.vertices, tables.kept(g.edges, "edges"))
 
 
 def _nations(spark: SparkSession, sf_dir: str) -> Graph:
@@ -112,10 +112,10 @@ def _mean_rank(c: str, order: str = "") -> str:
     return f"(rank() OVER (ORDER BY {c} {order}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2)"
 
 
-@query(f"""WITH {_METRICS}, r AS (SELECT id, {_mean_rank('in_degree')} / count(*) OVER () AS d, {_mean_rank('betweenness')} / count(*) OVER () AS b FROM met),
+@query(f"""WITH {_METRICS}, r AS (SELECT id, {_mean_rank('in_strength')} / count(*) OVER () AS d, {_mean_rank('betweenness')} / count(*) OVER () AS b FROM met),
 k AS (SELECT id, CASE WHEN b > 0.95 AND d > 0.95 THEN 'mega_hub' WHEN b > 0.90 AND d < 0.75 THEN 'connector' END AS kind, round(d, 6) AS degree_pct, round(b, 6) AS betweenness_pct FROM r) SELECT * FROM k WHERE kind IS NOT NULL""")
 def connectors_hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(graph.connectors(_metrics(spark, sf_dir), "id"), "degree_pct", "betweenness_pct")
+    return rounded(graph.connectors(_metrics(spark, sf_dir), "id", "in_strength"), "degree_pct", "betweenness_pct")
 
 
 @query(f"WITH {_METRICS} SELECT id, round(({' + '.join(_mean_rank(m, 'DESC') for m in _NAMES)}) / {len(_NAMES)}, 6) AS composite FROM met")
