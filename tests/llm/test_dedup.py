@@ -119,17 +119,17 @@ def test_links_join_what_pairs_join(spark, monkeypatch, limit):
 
 
 def test_hot_keys_are_joined_apart(spark, monkeypatch):
-    from tripweave.llm import hot
+    from tripweave.operators import joins
 
-    monkeypatch.setattr(hot, "HOT_SHARE", 4)
+    monkeypatch.setattr(joins, "HOT_SHARE", 4)
     rows = spark.createDataFrame([(None if k % 2 else k % 30, k) for k in range(600)], "key int, v int")
     table = rows.groupBy("key").agg({"v": "max", "*": "count"}).toDF("key", "top", "n")
     best = {r.key: r.top for r in table.collect()}
-    found = hot.join_counted(rows, table, ["key"], "n").collect()
+    found = joins.join_counted(rows, table, ["key"], "n").collect()
     assert len(found) == 600 and all(r.top == best[r.key] for r in found)
     some = table.filter("key is null or key > 20")
-    assert hot.join_counted(rows, some, ["key"], "n").count() == sum(1 for k in range(600) if k % 2 or k % 30 > 20)
-    kept = hot.join_counted(rows, some, ["key"], "n", outer=True).collect()
+    assert joins.join_counted(rows, some, ["key"], "n").count() == sum(1 for k in range(600) if k % 2 or k % 30 > 20)
+    kept = joins.join_counted(rows, some, ["key"], "n", outer=True).collect()
     assert len(kept) == 600 and all((r.top is None) == (r.key is not None and r.key <= 20) for r in kept)
 
 
@@ -154,9 +154,9 @@ def test_exact_groups(docs, texts):
 
 @pytest.mark.parametrize("share", [2_000, 8])
 def test_hot_blocks_keep_one_name(spark, monkeypatch, share):
-    from tripweave.llm import hot
+    from tripweave.operators import joins
 
-    monkeypatch.setattr(hot, "HOT_SHARE", share)
+    monkeypatch.setattr(joins, "HOT_SHARE", share)
     rows = [(i, "same text" if i % 3 else f"text {i % 7}") for i in range(2_000)]
     found = exact_dedup.exact_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block_bytes=4).collect()
     sizes = {}

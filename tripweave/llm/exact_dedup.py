@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripweave.llm import hot
+from tripweave.operators import joins
 from tripweave.sources.shared import written
 
 BLOCK_BYTES = 8192
@@ -24,7 +24,7 @@ def named(rows: DataFrame, values: list[str], spread: list[str], total: int, nam
     aren't kept in the result, which is written to the shared folder.
     """
     rows = rows.withColumn("_bucket", F.xxhash64(*values).bitwiseAND(F.lit(0x7FFFFFFF)))
-    parts = F.ceil(F.col("count") * hot.HOT_SHARE / F.lit(max(total, 1))).cast("int")
+    parts = F.ceil(F.col("count") * joins.HOT_SHARE / F.lit(max(total, 1))).cast("int")
     salts = written(rows.groupBy("_bucket").count().withColumn("_parts", parts).filter("_parts > 1").select("_bucket", "_parts"), "salts")
     rows = rows.join(F.broadcast(salts), "_bucket", "left")  # fewer than HOT_SHARE rows
     is_hot = F.col("_parts").isNotNull()
@@ -79,7 +79,7 @@ def exact_groups(docs: DataFrame, id_col: str | Column = "doc_id", text_col: str
     """
     found = written(text_identities(docs, id_col, text_col, block_bytes), "identities")
     groups = written(found.groupBy("level", "name").agg(F.max("id").alias("keep_id"), F.sum("rows").alias("group_size"), F.count("*").alias("members")), "classes")
-    return hot.join_counted(found, groups, ["level", "name"], "members").select("id", "sha", "rows", "keep_id", "group_size")
+    return joins.join_counted(found, groups, ["level", "name"], "members").select("id", "sha", "rows", "keep_id", "group_size")
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripweave.llm.hot import HOT_SHARE
+from tripweave.operators.joins import HOT_SHARE
 from tripweave.sources.shared import written
 
 SPACE, WORD_START = "[\\x20\\x09-\\x0D]+", "[^\\x20\\x09-\\x0D]"
