@@ -150,6 +150,16 @@ def test_ranks_share_ties(spark):
         assert all(r[m] == sum(v > values[r.k] for v in values.values()) + (sum(v == values[r.k] for v in values.values()) + 1) / 2 for r in ranks)
 
 
+def test_connectors_and_hubs(spark):
+    rows = [(i, float(i), float((i * 3) % 40)) for i in range(37)] + [(37, 3.0, 50.0), (38, 40.0, 60.0), (39, 41.0, 1.0)]
+    df = spark.createDataFrame(rows, "id long, in_degree double, betweenness double")
+    pct = lambda values, v: (sum(x < v for x in values) + (sum(x == v for x in values) + 1) / 2) / len(values)
+    d, b = [r[1] for r in rows], [r[2] for r in rows]
+    kinds = {i: "mega_hub" if pct(b, y) > 0.95 and pct(d, x) > 0.95 else "connector" if pct(b, y) > 0.9 and pct(d, x) < 0.75 else None for i, x, y in rows}
+    assert {r.id: r.kind for r in graph.connectors(df, "id").collect()} == {i: k for i, k in kinds.items() if k} and set(kinds.values()) == {"mega_hub", "connector", None}
+    assert {r.id: r.kind for r in graph.connectors(df, "id", others=True).collect()} == kinds
+
+
 def test_running_sums(spark):
     rows = [(i * 31 % 100, i % 5) for i in range(100)]
     df = written(spark.createDataFrame(rows, "at int, n int"), "rows")

@@ -485,12 +485,15 @@ def top_by_metric(values: DataFrame, key: str, metrics: list[str], n: int = 20)
     return long.withColumn("rank", rank).filter(F.col("rank") <= n).select("metric", "rank", key, "value")
 
 
-def connectors(values: DataFrame, key: str, degree: str = "in_degree", between: str = "betweenness") -> DataFrame:
-    """(key, kind): connector (high betweenness, moderate degree) or mega_hub (both very high), by mean rank over the number of rows."""
+def connectors(values: DataFrame, key: str, degree: str = "in_degree", between: str = "betweenness", others: bool = False) -> DataFrame:
+    """(key, kind, degree_pct, betweenness_pct): connector (high betweenness, moderate degree) or mega_hub (both very high), by mean rank over the number of rows.
+
+    The others are left out, or have no kind."""
     n = values.count()
     ranked = mean_ranks(values, key, [degree, between]).select(key, (F.col(degree) / n).alias("d"), (F.col(between) / n).alias("b"))
     kind = F.when((F.col("b") > 0.95) & (F.col("d") > 0.95), "mega_hub").when((F.col("b") > 0.90) & (F.col("d") < 0.75), "connector")
-    return ranked.select(key, kind.alias("kind"), F.col("d").alias("degree_pct"), F.col("b").alias("betweenness_pct")).filter("kind is not null")
+    found = ranked.select(key, kind.alias("kind"), F.col("d").alias("degree_pct"), F.col("b").alias("betweenness_pct"))
+    return found if others else found.filter("kind is not null")
 
 
 def composite_rank(values: DataFrame, key: str, metrics: list[str]) -> DataFrame:

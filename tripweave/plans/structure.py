@@ -113,9 +113,9 @@ def _mean_rank(c: str, order: str = "") -> str:
 
 
 @query(f"""WITH {_METRICS}, r AS (SELECT id, {_mean_rank('in_strength')} / count(*) OVER () AS d, {_mean_rank('betweenness')} / count(*) OVER () AS b FROM met),
-k AS (SELECT id, CASE WHEN b > 0.95 AND d > 0.95 THEN 'mega_hub' WHEN b > 0.90 AND d < 0.75 THEN 'connector' END AS kind, round(d, 6) AS degree_pct, round(b, 6) AS betweenness_pct FROM r) SELECT * FROM k WHERE kind IS NOT NULL""")
+k AS (SELECT id, CASE WHEN b > 0.95 AND d > 0.95 THEN 'mega_hub' WHEN b > 0.90 AND d < 0.75 THEN 'connector' END AS kind, round(d, 6) AS degree_pct, round(b, 6) AS betweenness_pct FROM r) SELECT * FROM k""")
 def connectors_hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(graph.connectors(_metrics(spark, sf_dir), "id", "in_strength"), "degree_pct", "betweenness_pct")
+    return rounded(graph.connectors(_metrics(spark, sf_dir), "id", "in_strength", others=True), "degree_pct", "betweenness_pct")
 
 
 @query(f"WITH {_METRICS} SELECT id, round(({' + '.join(_mean_rank(m, 'DESC') for m in _NAMES)}) / {len(_NAMES)}, 6) AS composite FROM met")
