@@ -59,6 +59,30 @@ def test_beta_prior():
     assert quality_rules.beta_prior(0, None, None, None, None) == (0.0, 1e6)
 
 
+def plain_rejected(rows):
+    """Hosts of (id, text, host) that are rejected, by the moments of the beta-binomial worked out host by host."""
+    hosts = {}
+    for _, text, host in rows:
+        n_words, word_chars, n_symbols, n_dup, _, failed = plain_measures(text)
+        lines = sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in (text or "").split("\n"))
+        hosts.setdefault(host, []).append((failed, 5 * n_symbols > word_chars, 2 * n_dup > lines))
+    out, k = set(), len(hosts)
+    total = sum(map(len, hosts.values()))
+    for rule in range(3):
+        n = {h: len(own) for h, own in hosts.items()}
+        p = {h: sum(x[rule] for x in own) / n[h] for h, own in hosts.items()}
+        mean = sum(n[h] * p[h] for h in hosts) / total
+        strength = 1e6
+        if 1 < k < total:
+            between = sum(n[h] * (p[h] - mean) ** 2 for h in hosts) / (k - 1)
+            within = sum(n[h] * p[h] * (1 - p[h]) for h in hosts) / (total - k)
+            usual = (total - sum(v * v for v in n.values()) / total) / (k - 1)
+            if between > within and between + (usual - 1) * within > 0:
+                strength = min(1 / ((between - within) / (between + (usual - 1) * within)) - 1, 1e6)
+        out |= {h for h in hosts if (n[h] * p[h] + mean * strength) / (n[h] + strength) > 0.5}
+    return out
+
+
 def hosts_near_the_cut():
     """Documents of hosts whose shares of failing documents straddle one half, with sizes from 1 to 300, and one without a name."""
     good = " ".join(f"w{k}" for k in range(30))
@@ -83,6 +107,7 @@ def test_hosts_near_the_cut_by_sql(spark, tmp_path):
     verdict = {r["doc_id"] // 1000: r["host_rejected"] for r in got}
     sizes = {h: (1, 2, 5, 12, 40, 300)[h % 6] for h in verdict}
     assert 5 < sum(verdict.values()) < 40 and any(not r["kept"] and not r["base_failed"] for r in got)
+    assert {f"h{h}" if h else None for h, bad in verdict.items() if bad} == plain_rejected(hosts_near_the_cut())
     assert not verdict[0] and verdict[59] and {v for h, v in verdict.items() if sizes[h] == 300} == {True, False}
 
 
