@@ -133,6 +133,98 @@ def test_hot_keys_are_joined_apart(spark, monkeypatch):
     assert len(kept) == 600 and all((r.top is None) == (r.key is not None and r.key <= 20) for r in kept)
 
 
+def plain_sets(texts, words=5):
+    out = {}
+    for i, t in texts.items():
+        own = [w for w in __import__("re").split(r"[\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")) if w]
+        out[i] = {tuple(own[k : k + words]) for k in range(len(own) - words + 1)} or ({tuple(own)} if own else set())
+    return out
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def plain_similar(texts, similarity=0.8):
+    """Smallest id reachable over texts of that similarity, by comparing all."""
+    sets, ids = plain_sets(texts), sorted(texts)
+    parent = {i: i for i in ids}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for k, i in enumerate(ids):
+        for j in ids[k + 1 :]:
+            if min(len(sets[i]), len(sets[j])) >= similarity * max(len(sets[i]), len(sets[j])) and jaccard(sets[i], sets[j]) >= similarity:
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    return {i: root(i) for i in ids}
+
+
+def changed(rng, words, times):
+    """The words with some of them, apart from each other, replaced."""
+    words = list(words)
+    for k in rng.sample(range(0, len(words) - 6, 6), times):
+        words[k] = f"new{rng.getrandbits(30)}"
+    return words
+
+
+def test_wide_fingerprints():
+    text = "The quick brown fox jumps over the lazy dog and runs far away from here to there"
+    words = text.lower().split()
+    hashes = [xxhash.xxh64_intdigest(" ".join(words[k : k + 5]).encode(), 42) for k in range(len(words) - 4)]
+    first = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    wide = simhash.wide_fingerprint(text.encode())
+    assert len(wide) == 64 and int.from_bytes(wide[:8], "little") == first == simhash.fingerprint(text.encode(), 5)
+    assert len({wide[k : k + 8] for k in range(0, 64, 8)}) == 8 and simhash.wide_fingerprint(b" ") == bytes(64) == simhash.wide_fingerprint(None)
+    assert simhash.most_bits(1.0) == 0 and simhash.most_bits(0.8) == 77
+    rng = random.Random(1)
+    base = [f"w{rng.getrandbits(40)}" for _ in range(600)]
+    differ = lambda a, b: int(np.bitwise_count(np.frombuffer(a, np.uint64) ^ np.frombuffer(b, np.uint64)).sum())
+    for times in (2, 6, 12):
+        other = changed(rng, base, times)
+        own = plain_sets({0: " ".join(base), 1: " ".join(other)})
+        bits = differ(*(simhash.wide_fingerprint(" ".join(x).encode()) for x in (base, other)))
+        assert abs(bits - simhash.most_bits(jaccard(own[0], own[1]))) < simhash.SPREAD
+
+
+@pytest.mark.parametrize("limit", [4_096, 8])
+def test_similar_texts_are_found(spark, monkeypatch, limit):
+    monkeypatch.setattr(simhash, "LIST_LIMIT", limit)
+    monkeypatch.setattr(simhash, "SHORT", min(limit, simhash.SHORT))
+    rng, texts, expected = random.Random(8), {}, []
+    for g in range(60):
+        base = [f"w{rng.getrandbits(40)}" for _ in range(rng.choice((60, 200, 500)))]
+        texts[len(texts)] = " ".join(base)
+        for _ in range(3):
+            other = changed(rng, base, rng.randint(1, max(1, len(base) // 45)))
+            texts[len(texts)] = " ".join(other)
+    for _ in range(40):  # one large group of like texts, and exact copies
+        texts[len(texts)] = " ".join(changed(rng, base, 1))
+        texts[len(texts)] = " ".join(base)
+    sets, ids = plain_sets(texts), sorted(texts)
+    pairs = [(i, j) for i in ids for j in range(i + 1, len(ids)) if len(sets[i] & sets[j]) and jaccard(sets[i], sets[j]) >= 0.8]
+    found = {r.id: r for r in simhash.similar_components(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    caught = sum(found[i].component_id == found[j].component_id for i, j in pairs)
+    assert len(pairs) > 3_000 and caught >= 0.98 * len(pairs)
+    truth = plain_similar(texts)
+    assert all(truth[i] == truth[r.component_id] for i, r in found.items())  # nothing is joined that isn't similar
+    sizes = {}
+    for r in found.values():
+        sizes[r.component_id] = sizes.get(r.component_id, 0) + 1
+    assert all(r.component_size == sizes[r.component_id] and r.component_id <= i for i, r in found.items())
+
+
+def test_similar_on_odd_rows(odd, odd_rows, none):
+    found = simhash.similar_components(odd).collect()
+    assert len(found) == len(odd_rows)
+    assert {r.component_id for r in found if r.id in (3, 4, 5)} == {3} and {r.component_id for r in found if r.id in (1, 2)} == {1} == {r.component_id for r in found if r.id == 1}
+    assert {r.component_id for r in found if r.id in (6, 7)} == {6}
+    assert simhash.similar_components(none).count() == 0
+
+
 def test_simhash_on_odd_rows(odd, odd_rows, none):
     found = simhash.near_duplicates(odd).collect()
     assert len(found) == len(odd_rows)

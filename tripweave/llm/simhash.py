@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,35 +36,71 @@ def _triples() -> list[tuple[int, ...]]:
 TRIPLES, FOURS = _triples(), list(itertools.combinations(range(BYTES), LEAST_SHARED))
 #: Longer posting lists are dealt again by one more byte; lists of at most SHORT are compared without a loop over lists.
 LIST_LIMIT, SHORT = 4_096, 16
+#: Wide fingerprints have so many words of 64 bits; in a posting list by three bytes of a word, pairs whose words differ in more bits than WORD_BITS are chance.
+WIDE, WORD_BITS = 8, 13
+#: So many bits more or fewer than expected are three deviations of a wide fingerprint's distance.
+SPREAD = 24
+SIMILAR_WORDS, SIMILARITY = 5, 0.8
 _BLOCK = 1 << 16
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
+_STEP, _MIX1, _MIX2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
-def fingerprint(text: bytes | None, shingle_words: int = SHINGLE_WORDS) -> int:
-    """SimHash of UTF-8 text; A-Z count as a-z, words are runs of anything but ASCII white space."""
+def _shingle_hashes(text: bytes | None, shingle_words: int) -> Iterator[np.ndarray]:
+    """XXH64 of the shingles of UTF-8 text, some at a time; A-Z count as a-z, words are runs of anything but ASCII white space."""
     words = (text or b"").lower().split()
-    if not words:
-        return 0
-    n = max(1, len(words) - shingle_words + 1)
-    ones = np.zeros(64, np.int64)
+    n = max(1, len(words) - shingle_words + 1) if words else 0
     for start in range(0, n, _BLOCK):
         part = words[start : min(start + _BLOCK, n) + shingle_words - 1]
         shingles = zip(*(part[i:] for i in range(shingle_words)), strict=False) if len(words) >= shingle_words else [words]
-        hashes = np.array([xxhash.xxh64_intdigest(s, SEED) for s in map(b" ".join, shingles)], "<u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > n, bitorder="little").tobytes(), "little")
+        yield np.array([xxhash.xxh64_intdigest(s, SEED) for s in map(b" ".join, shingles)], "<u8")
 
 
-def fingerprints(docs: DataFrame, id_col: str | Column = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """(id, fp): each row's fingerprint as a signed 64-bit integer. Null texts count as empty (0)."""
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes (a row of words each) set each bit, from counts of the values of each byte."""
+    byte = hashes.view(np.uint8).reshape(len(hashes), -1)
+    counts = np.bincount((byte + 256 * np.arange(byte.shape[1])).ravel(), minlength=256 * byte.shape[1])
+    return (counts.reshape(-1, 256) @ _BITS).ravel()
+
+
+def _fingerprint(text: bytes | None, shingle_words: int, words: int) -> bytes:
+    ones, n = np.zeros(64 * words, np.int64), 0
+    for hashes in _shingle_hashes(text, shingle_words):
+        wide = hashes[:, None] + np.arange(words, dtype=np.uint64) * _STEP
+        if words > 1:  # further words are what a mixer makes of the hash
+            z = (wide ^ (wide >> np.uint64(30))) * _MIX1
+            z = (z ^ (z >> np.uint64(27))) * _MIX2
+            wide = np.where(np.arange(words) > 0, z ^ (z >> np.uint64(31)), wide)
+        ones += _ones(np.ascontiguousarray(wide))
+        n += len(hashes)
+    return np.packbits(ones * 2 > n, bitorder="little").tobytes()
+
+
+def fingerprint(text: bytes | None, shingle_words: int = SHINGLE_WORDS) -> int:
+    """SimHash of UTF-8 text: a bit is 1 if over half of the shingles' hashes set it; without a word all are 0."""
+    return int.from_bytes(_fingerprint(text, shingle_words, 1), "little")
+
+
+def wide_fingerprint(text: bytes | None, shingle_words: int = SIMILAR_WORDS) -> bytes:
+    """The same of WIDE words: the first from the shingles' hashes, each other from another mix of them."""
+    return _fingerprint(text, shingle_words, WIDE)
+
+
+def _of_texts(docs: DataFrame, id_col: str | Column, text_col: str, work: Callable[[pa.Array], pa.Array], kind: str) -> DataFrame:
+    """(id, fp): what work makes of each batch of UTF-8 texts."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.large_binary() if pa.types.is_large_string(batch.column(1).type) else pa.binary())
-            found = np.array([fingerprint(t.as_py(), shingle_words) for t in texts], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), work(texts)], names=["id", "fp"])
 
     rows = docs.select((F.col(id_col) if isinstance(id_col, str) else id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(kernel, f"id {rows.schema['id'].dataType.simpleString()}, fp long")
+    return rows.mapInArrow(kernel, f"id {rows.schema['id'].dataType.simpleString()}, fp {kind}")
+
+
+def fingerprints(docs: DataFrame, id_col: str | Column = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS) -> DataFrame:
+    """(id, fp): each row's fingerprint as a signed 64-bit integer. Null texts count as empty (0)."""
+    return _of_texts(docs, id_col, text_col, lambda texts: pa.array(np.array([fingerprint(t.as_py(), shingle_words) for t in texts], np.uint64).view(np.int64)), "long")
 
 
 def _names(fp: str, sets: list[tuple[int, ...]]) -> list[Column]:
@@ -220,14 +257,19 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def near_components(docs: DataFrame, id_col: str | Column = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """(id, fp, component_id, component_size) of each row; id_col may be a column of its own, such as a struct.
+    """(id, fp, component_id, component_size) of each row; id_col may be a column of its own, such as a struct."""
+    rows = written(fingerprints(docs, id_col, text_col, shingle_words), "fingerprints")
+    distinct = written(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")).withColumn("node", F.col("fp")), "distinct")
+    return _grouped(rows, distinct, links(distinct.select("fp")))
+
+
+def _grouped(rows: DataFrame, distinct: DataFrame, found: DataFrame) -> DataFrame:
+    """(id, fp, component_id, component_size) of rows (id, fp) from their distinct fingerprints (fp, least, n, node) and the links (a, b) between nodes.
 
     Fingerprints of many rows and components of many fingerprints are joined by join_counted(), so no task gathers them.
     """
-    rows = written(fingerprints(docs, id_col, text_col, shingle_words), "fingerprints")
-    distinct = written(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "distinct")
-    named = components(links(distinct.select("fp")))
-    parts = written(distinct.join(named, distinct.fp == named.node, "left").select("fp", "least", "n", "component"), "parts")
+    named = components(found).withColumnRenamed("node", "named")
+    parts = written(distinct.join(named, F.col("node") == F.col("named"), "left").select("fp", "least", "n", "component"), "parts")
     linked, alone = parts.filter("component is not null"), parts.filter("component is null")
     whole = written(linked.groupBy("component").agg(F.min("least").alias("component_id"), F.sum("n").alias("component_size"), F.count("*").alias("members")), "whole")
     ids = join_counted(linked.select("fp", "component", "n"), whole, ["component"], "members").select("fp", "component_id", "component_size", "n")
@@ -235,6 +277,141 @@ def near_components(docs: DataFrame, id_col: str | Column = "doc_id", text_col:
     return join_counted(rows, ids, ["fp"], "n").select("id", "fp", "component_id", "component_size")
 
 
+def most_bits(similarity: float) -> int:
+    """In how many bits wide fingerprints of texts may differ whose sets of shingles have that similarity (Jaccard): the angle of such sets, of equal size, over pi."""
+    return math.floor(64 * WIDE * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
+def _collapsed(names: np.ndarray, words: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidates (a, b) between rows of one name and word, each with the first of them, and which rows are first; rows are ordered by name and word."""
+    first = np.concatenate([[True], (names[1:] != names[:-1]) | (words[1:] != words[:-1])]) if len(names) else np.zeros(0, bool)
+    head = np.maximum.accumulate(np.where(first, np.arange(len(names)), 0))
+    return nodes[head[~first]], nodes[~first], first
+
+
+def _alike(names: np.ndarray, words: np.ndarray, nodes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidates (a, b) of whole posting lists by three bytes of a word: pairs whose words are nearer than chance, or links that join what these join."""
+    a, b, first = _collapsed(names, words, nodes)
+    yield a, b
+    names, words, nodes = names[first], words[first], nodes[first]
+    starts = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]])) if len(names) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(starts, len(names)))
+    short = np.flatnonzero(np.repeat(sizes, sizes) <= SHORT)
+    for off in range(1, SHORT):
+        x = short[short + off < len(names)]
+        x = x[names[x] == names[x + off]]
+        if not len(x):
+            break
+        x = x[np.bitwise_count(words[x] ^ words[x + off]) <= WORD_BITS]
+        yield nodes[x], nodes[x + off]
+    for k in np.flatnonzero(sizes > SHORT):
+        for at in range(starts[k], starts[k] + sizes[k], LIST_LIMIT):  # longer ones go in runs of like words
+            own, of = words[at : min(at + LIST_LIMIT, starts[k] + sizes[k])], nodes[at : min(at + LIST_LIMIT, starts[k] + sizes[k])]
+            left = np.arange(len(own))
+            while len(left) > 1:
+                one, left = left[0], left[1:]
+                hit = np.bitwise_count(own[left] ^ own[one]) <= WORD_BITS
+                yield np.repeat(of[one], hit.sum()), of[left[hit]]
+                left = left[~hit]
+
+
+def similar_links(distinct: DataFrame, texts: DataFrame, shingle_words: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """Links (a, b) between nodes whose texts have that similarity: the Jaccard similarity of their sets of shingles. distinct has node, fp (wide) and least; texts id and text.
+
+    The byte-position index of links(), for each of the WIDE words: a pair of similar texts shares three positional bytes that name a list in one word
+    or another, and such lists are long only where texts are alike. In a list the words are compared (equal ones are linked to the first, others within WORD_BITS), and
+    every candidate is verified over all bits. Those that differ in SPREAD bits fewer than the similarity lets expect are similar beyond doubt, those with SPREAD
+    more aren't; in between the sets of shingles are compared, for which the texts of these candidates alone are read again. A pair at
+    the limit is missed by all words in about one case of seven, a more similar one far more rarely; both are mostly joined by a third.
+    """
+    expected = most_bits(similarity)
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            byte = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, 8 * WIDE).astype(np.int64)
+            for j in range(WIDE):
+                word = pa.array(np.ascontiguousarray(byte[:, 8 * j : 8 * j + 8].astype(np.uint8)).view(np.int64).ravel())
+                for k, (p, q, r) in enumerate(TRIPLES):
+                    name = (j * len(TRIPLES) + k) << 24 | byte[:, 8 * j + p] << 16 | byte[:, 8 * j + q] << 8 | byte[:, 8 * j + r]
+                    yield pa.RecordBatch.from_arrays([pa.array(name), word, batch.column(0)], names=["name", "word", "node"])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 3
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                held = [np.concatenate([h, batch.column(k).to_numpy(zero_copy_only=False)]) for k, h in enumerate(held)]
+            last = len(held[0]) if batch is None else int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+            if not last and batch is not None and len(held[0]) > 8 * LIST_LIMIT:  # a list that goes on: its equal words give way to the first of them
+                a, b, first = _collapsed(held[0], held[1], held[2])
+                held = [h[first] for h in held]
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                if len(held[0]) <= 8 * LIST_LIMIT:
+                    continue
+                last = len(held[0]) - LIST_LIMIT
+            whole, held = [h[:last] for h in held], [h[last:] for h in held]
+            for a, b in _alike(whole[0], whole[1].view(np.uint64), whole[2]):
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(-1, WIDE) for k in (2, 3))
+            differ = np.bitwise_count(one ^ two).sum(axis=1, dtype=np.int64)
+            near = pa.array(differ <= expected + SPREAD)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).filter(near) for k in (0, 1)), pa.array(differ <= expected - SPREAD).filter(near)], names=["a", "b", "sure"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(np.concatenate([np.zeros(0, "<u8"), *_shingle_hashes((t.as_py() or "").encode(), shingle_words)])).view(np.int64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "hashes"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = batch.column(2), batch.column(3)
+            alike = []
+            for x, y in zip(one, two, strict=True):
+                x, y = x.values.to_numpy(zero_copy_only=False), y.values.to_numpy(zero_copy_only=False)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                alike.append(shared >= similarity * (len(x) + len(y) - shared))
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(alike, pa.bool_())) for k in (0, 1)], names=["a", "b"])
+
+    n = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    postings = distinct.select("node", "fp").mapInArrow(post, "name long, word long, node long")
+    found = postings.repartition(n, "name").sortWithinPartitions("name", "word", "node").mapInArrow(search, "a long, b long")
+    found = written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+    found = written(_at_ends(found, distinct.select("node", "fp")).mapInArrow(verify, "a long, b long, sure boolean"), "verified")
+    sure, open_ = found.filter("sure").select("a", "b"), found.filter("not sure").select("a", "b")
+    if open_.isEmpty():
+        return sure
+    wanted = open_.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(distinct.select("node", "least"), "node")
+    read = texts.join(written(wanted, "wanted"), F.col("id").eqNullSafe(F.col("least"))).select("node", "text").dropDuplicates(["node"])
+    hashed = written(read.mapInArrow(sets, "node long, hashes array<bigint>"), "shingles")
+    return sure.union(_at_ends(open_, hashed).mapInArrow(compare, "a long, b long"))
+
+
+def _at_ends(pairs: DataFrame, values: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the values (node, value) of both ends; a text that is alike to many is an end of many pairs."""
+    value = values.columns[1]
+    for end in ("a", "b"):
+        ends = pairs.groupBy(end).agg(F.count("*").alias("_n")).join(values.select(F.col("node").alias(end), F.col(value).alias(f"{value}_{end}")), end)
+        pairs = join_counted(pairs, written(ends, "ends"), [end], "_n")
+    return pairs.select("a", "b", f"{value}_a", f"{value}_b")
+
+
+def similar_components(docs: DataFrame, id_col: str | Column = "doc_id", text_col: str = "text", shingle_words: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """(id, component_id, component_size) of each row: components of texts whose sets of shingles are similar, found by wide SimHash fingerprints.
+
+    As in near_duplicates(): null and empty texts have fingerprint zero, repeated rows give repeated results, a null id is
+    the smallest of a component only without another, an empty table gives no rows, other columns aren't read. id_col may be a column of its own, such as a struct.
+    """
+    wide = lambda texts: pa.array([wide_fingerprint(t.as_py(), shingle_words) for t in texts], pa.binary())
+    rows = written(_of_texts(docs, id_col, text_col, wide, "binary"), "fingerprints")
+    distinct = rows.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id())
+    distinct = written(distinct, "distinct")  # the number is fixed from here on
+    texts = docs.select((F.col(id_col) if isinstance(id_col, str) else id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return _grouped(rows, distinct, similar_links(distinct, texts, shingle_words, similarity)).select("id", "component_id", "component_size")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """Each document's fingerprint and the component of linked documents it belongs to.
 
