@@ -20,11 +20,12 @@ def join_counted(rows: DataFrame, table: DataFrame, keys: list[str], counted: st
     total = table.agg(F.sum(counted)).first()[0] or 0
     is_hot = F.col(counted) * HOT_SHARE > F.lit(total)
     rest = [c for c in table.columns if c not in (*keys, counted)]
-    side = lambda t, mark: t.select(*(F.col(k).alias(f"_{k}") for k in keys), *rest, F.lit(True).alias(mark))
+    side = lambda t: t.select(*(F.col(k).alias(f"_{k}") for k in keys), *rest)
     same = F.lit(True)
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
     drop = [f"_{k}" for k in keys]
-    hot = rows.join(F.broadcast(side(table.filter(is_hot), "_hot")), same, "left").drop(*drop)
-    cold = hot.filter("_hot is null").drop("_hot", *rest).join(side(table.filter(~is_hot), "_cold"), same, "left" if outer else "inner").drop("_cold", *drop)
-    return hot.filter("_hot is not null").drop("_hot").unionByName(cold)
+    few = side(table.filter(is_hot))
+    hot = rows.join(F.broadcast(few), same)
+    cold = rows.join(F.broadcast(few.select(*drop)), same, "left_anti").join(side(table.filter(~is_hot)), same, "left" if outer else "inner")
+    return hot.unionByName(cold).drop(*drop)
