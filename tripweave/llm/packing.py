@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripweave.llm import encoders
-from tripweave.llm.chunks import slices
+from tripweave.llm.chunks import release, slices
 from tripweave.sources.shared import written
 
 CAPACITY = 2048
@@ -115,6 +115,7 @@ def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
                 kept = pa.array([x.astype(np.int32) if with_ids else [] for x in found], pa.list_(pa.int32()))
                 crc = pa.array([encoders.crc32(x) for x in found], pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), crc, kept], names=["id", "piece", "start", "length", "ids_crc32", "ids"])
+        release()
 
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(kernel, f"id {kind}, piece int, start long, length long, ids_crc32 long, ids array<int>")

@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tripweave.llm.chunks import release
 from tripweave.operators.components import components
 from tripweave.operators.joins import join_counted
 from tripweave.sources.shared import written
@@ -41,7 +42,7 @@ WIDE, WORD_BITS = 8, 13
 #: So many bits more or fewer than expected are three deviations of a wide fingerprint's distance.
 SPREAD = 24
 SIMILAR_WORDS, SIMILARITY = 5, 0.8
-_BLOCK = 1 << 16
+_BLOCK = 1 << 12
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _STEP, _MIX1, _MIX2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -93,6 +94,7 @@ def _of_texts(docs: DataFrame, id_col: str | Column, text_col: str, work: Callab
         for batch in batches:
             texts = batch.column(1).cast(pa.large_binary() if pa.types.is_large_string(batch.column(1).type) else pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), work(texts)], names=["id", "fp"])
+        release()
 
     rows = docs.select((F.col(id_col) if isinstance(id_col, str) else id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(kernel, f"id {rows.schema['id'].dataType.simpleString()}, fp {kind}")
@@ -290,29 +292,37 @@ def _collapsed(names: np.ndarray, words: np.ndarray, nodes: np.ndarray) -> tuple
 
 
 def _alike(names: np.ndarray, words: np.ndarray, nodes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidates (a, b) of whole posting lists by three bytes of a word: pairs whose words are nearer than chance, or links that join what these join."""
+    """Candidates (a, b) of whole posting lists by three bytes of a word: links that join what pairs join whose words are nearer than chance.
+
+    A list gives less candidates than it has members, and each list starts from its least nodes, so the lists that a large group of like texts fills name mostly the same ones.
+    """
     a, b, first = _collapsed(names, words, nodes)
     yield a, b
     names, words, nodes = names[first], words[first], nodes[first]
     starts = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]])) if len(names) else np.zeros(0, np.int64)
     sizes = np.diff(np.append(starts, len(names)))
-    short = np.flatnonzero(np.repeat(sizes, sizes) <= SHORT)
-    for off in range(1, SHORT):
-        x = short[short + off < len(names)]
-        x = x[names[x] == names[x + off]]
-        if not len(x):
-            break
-        x = x[np.bitwise_count(words[x] ^ words[x + off]) <= WORD_BITS]
-        yield nodes[x], nodes[x + off]
-    for k in np.flatnonzero(sizes > SHORT):
+    two = starts[sizes == 2]
+    two = two[np.bitwise_count(words[two] ^ words[two + 1]) <= WORD_BITS]
+    yield nodes[two], nodes[two + 1]
+    for k in np.flatnonzero(sizes > 2):
         for at in range(starts[k], starts[k] + sizes[k], LIST_LIMIT):  # longer ones go in runs of like words
-            own, of = words[at : min(at + LIST_LIMIT, starts[k] + sizes[k])], nodes[at : min(at + LIST_LIMIT, starts[k] + sizes[k])]
-            left = np.arange(len(own))
+            part = slice(at, min(at + LIST_LIMIT, starts[k] + sizes[k]))
+            order = np.argsort(nodes[part])
+            own, of = words[part][order], nodes[part][order]
+            left, a, b = np.arange(len(own)), [], []
             while len(left) > 1:
-                one, left = left[0], left[1:]
-                hit = np.bitwise_count(own[left] ^ own[one]) <= WORD_BITS
-                yield np.repeat(of[one], hit.sum()), of[left[hit]]
-                left = left[~hit]
+                reached, left = [left[0]], left[1:]
+                while reached and len(left):
+                    one = reached.pop(0)
+                    hit = np.bitwise_count(own[left] ^ own[one]) <= WORD_BITS
+                    if hit.any():
+                        found = left[hit]
+                        a += [one] * len(found)
+                        b += found.tolist()
+                        reached += found.tolist()
+                        left = left[~hit]
+            if a:
+                yield of[a], of[b]
 
 
 def similar_links(distinct: DataFrame, texts: DataFrame, shingle_words: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -352,6 +362,7 @@ def similar_links(distinct: DataFrame, texts: DataFrame, shingle_words: int = SI
             for a, b in _alike(whole[0], whole[1].view(np.uint64), whole[2]):
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        release()
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -364,16 +375,7 @@ def similar_links(distinct: DataFrame, texts: DataFrame, shingle_words: int = SI
         for batch in batches:
             found = [np.unique(np.concatenate([np.zeros(0, "<u8"), *_shingle_hashes((t.as_py() or "").encode(), shingle_words)])).view(np.int64) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "hashes"])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            one, two = batch.column(2), batch.column(3)
-            alike = []
-            for x, y in zip(one, two, strict=True):
-                x, y = x.values.to_numpy(zero_copy_only=False), y.values.to_numpy(zero_copy_only=False)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                alike.append(shared >= similarity * (len(x) + len(y) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(alike, pa.bool_())) for k in (0, 1)], names=["a", "b"])
+        release()
 
     n = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     postings = distinct.select("node", "fp").mapInArrow(post, "name long, word long, node long")
@@ -386,16 +388,20 @@ def similar_links(distinct: DataFrame, texts: DataFrame, shingle_words: int = SI
     wanted = open_.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(distinct.select("node", "least"), "node")
     read = texts.join(written(wanted, "wanted"), F.col("id").eqNullSafe(F.col("least"))).select("node", "text").dropDuplicates(["node"])
     hashed = written(read.mapInArrow(sets, "node long, hashes array<bigint>"), "shingles")
-    return sure.union(_at_ends(open_, hashed).mapInArrow(compare, "a long, b long"))
+    shared = F.size(F.array_intersect("hashes_a", "hashes_b"))
+    alike = shared >= similarity * (F.size("hashes_a") + F.size("hashes_b") - shared)
+    return sure.union(_at_ends(open_, hashed).filter(alike).select("a", "b"))
 
 
 def _at_ends(pairs: DataFrame, values: DataFrame) -> DataFrame:
-    """Pairs (a, b) with the values (node, value) of both ends; a text that is alike to many is an end of many pairs."""
+    """Written pairs (a, b) with the values (node, value) of both ends; a text that is alike to many is an end of many pairs."""
     value = values.columns[1]
+    ends = {}
     for end in ("a", "b"):
-        ends = pairs.groupBy(end).agg(F.count("*").alias("_n")).join(values.select(F.col("node").alias(end), F.col(value).alias(f"{value}_{end}")), end)
-        pairs = join_counted(pairs, written(ends, "ends"), [end], "_n")
-    return pairs.select("a", "b", f"{value}_a", f"{value}_b")
+        counts = pairs.groupBy(end).agg(F.count("*").alias("_n"))
+        ends[end] = written(counts.join(values.select(F.col("node").alias(end), F.col(value).alias(f"{value}_{end}")), end), "ends")
+    pairs = written(join_counted(pairs, ends["a"], ["a"], "_n"), "ends")  # else what reads the result would join again
+    return join_counted(pairs, ends["b"], ["b"], "_n").select("a", "b", f"{value}_a", f"{value}_b")
 
 
 def similar_components(docs: DataFrame, id_col: str | Column = "doc_id", text_col: str = "text", shingle_words: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
