@@ -124,6 +124,22 @@ def test_betweenness_all_ways(spark, monkeypatch):
     assert path == {0: 0, 1: 2, 2: 2, 3: 0}
 
 
+def test_betweenness_of_large_graphs_by_component(spark, monkeypatch, tables_only):
+    rng = random.Random(3)
+    edges = sorted({(b + rng.randrange(8), b + rng.randrange(8)) for b in (0, 10, 20) for _ in range(30)} | {(20 + rng.randrange(9), 20 + rng.randrange(9)) for _ in range(60)})
+    g = make(spark, 31, edges)
+    expected = by_id(graph.betweenness(g), "betweenness")
+    tables_only()
+    levels = []
+    monkeypatch.setattr(graph, "_betweenness_by_levels", lambda v, e, s, f=graph._betweenness_by_levels: levels.append({r.src for r in e.collect()}) or f(v, e, s))
+    monkeypatch.setattr(graph, "TASK_WORK", 50)  # several tasks a component
+    assert by_id(graph.betweenness(g), "betweenness") == pytest.approx(expected) and not levels
+    monkeypatch.setattr(graph, "DENSE_VERTICES", 0)
+    monkeypatch.setattr(graph, "KERNEL_EDGES", 35)  # the last component is too large
+    assert by_id(graph.betweenness(g), "betweenness") == pytest.approx(expected) and max(expected.values()) > 3
+    assert len(levels) == 1 and min(levels[0]) >= 20
+
+
 def test_estimated_betweenness(spark):
     g = make(spark, 30, [(i, (i * 5 + k) % 30) for i in range(30) for k in (1, 2, 7)])
     whole = by_id(graph.betweenness(g), "betweenness")
