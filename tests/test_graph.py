@@ -240,6 +240,21 @@ def test_curves(spark, tables_only):
     assert {r.step: r.lcc for r in robustness.curves(wheel, order, steps).collect()} == expected
 
 
+def test_curves_of_large_graphs_in_one_pass(spark, tables_only, monkeypatch):
+    rng = random.Random(5)
+    g = make(spark, 60, sorted({(rng.randrange(58), rng.randrange(58)) for _ in range(90)}))
+    orders = written(robustness.random_orders(g, 3).union(robustness.removal_order(g, "degree")), "orders")
+    take = lambda: sorted(map(tuple, robustness.curves(g, orders, [0, 3, 10, 25, 40, 60]).collect()))
+    small = take()
+    tables_only()
+    by_step = robustness._curves_by_components
+    monkeypatch.setattr(robustness, "_curves_by_components", None)  # components at each step are found anew
+    assert take() == small and len(small) == 24
+    monkeypatch.setattr(robustness, "_curves_by_components", by_step)
+    monkeypatch.setattr(robustness, "KERNEL_EDGES", 0)  # orders that can't be held
+    assert take() == small
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_strong_curves_on_either_side_of_the_size(spark, tables_only, seed):
     rng = random.Random(seed)
