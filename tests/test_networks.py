@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import pytest
 
@@ -51,6 +52,25 @@ def test_transfers_include_both_ends_of_the_window(flights):
     assert pairs(networks.transfer_knn_edges(flights, 2, False)) == [(0, 1), (0, 3)]
 
 
+@pytest.mark.parametrize("window", [(30, 240), (-60, 20), (0, 0)])
+def test_transfers_without_all_pairs(spark, monkeypatch, window):
+    rng = random.Random(2)
+    when = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    rows = []
+    for i in range(150):
+        dep = rng.randrange(0, 40_000, 300)
+        rows.append((i, rng.choice(["A", "B", None]), rng.choice(["A", "B", None]), rng.choice(["C1", "C2", None]), when(dep), when(dep + rng.randrange(0, 9_000, 450)) if i % 9 else None))
+    flights = spark.createDataFrame(rows, "flight_id long, origin string, dest string, carrier string, dep_ts timestamp_ntz, arr_ts timestamp_ntz")
+    for same in (True, False):
+        pairs = {}
+        for r in networks.connections(flights, window, same).collect():
+            pairs.setdefault(r.arrival, []).append((r.minutes, r.dep_ts, r.departure))
+        expected = {(a, d, m) for a, found in pairs.items() for m, _, d in sorted(found)[:2]}
+        with monkeypatch.context() as m:
+            m.setattr(networks, "connections", None)  # every two flights within the window
+            assert {(r.src_id, r.dst_id, r.ground_time_minutes) for r in networks.transfer_knn_edges(flights, 2, same, window).collect()} == expected and expected
+
+
 def test_connections_against_brute_force(spark, sf_dir):
     legs = tables.legs(spark, sf_dir)
     rows = [r for r in legs.collect()]
