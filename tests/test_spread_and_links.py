@@ -3,11 +3,14 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tripweave.config import Costs
-from tripweave.operators import business, cascade, linkpred
+from tripweave.functions.draws import masks
+from tripweave.operators import business, cascade, graph, linkpred
 from tripweave.operators.graph import Graph
 
 
@@ -54,6 +57,33 @@ def test_parents_on_either_side_of_the_size(spark, monkeypatch):
     assert {(x.run, x.id) for x in cascade.cascades(df, seeds).collect()} == {x[:2] for x in expected}
 
 
+def test_draws_are_those_of_spark(spark):
+    edges = [(i * 997, -i if i % 5 == 0 else i * i, "route_knn" if i % 3 else "tail_next_leg", (i % 11) / 10) for i in range(400)]
+    df = spark.createDataFrame(edges, "src long, dst long, edge_type string, p double")
+    heads = ["42|7|", "42|click:13|", f"42|{'long' * 12}|"]
+    found = masks(heads, pa.array([f"{a}|{b}|{t}" for a, b, t, _ in edges]), np.array([e[3] for e in edges]))
+    for k, head in enumerate(heads):
+        live = {(r.src, r.dst) for r in df.filter(cascade.uniform(F.lit(42), F.lit(head.split("|")[1]), "src", "dst", "edge_type") < F.col("p")).collect()}
+        assert {e[:2] for e, m in zip(edges, found.tolist(), strict=True) if m >> k & 1} == live
+
+
+@pytest.mark.parametrize("far", [1, 10**15])
+def test_cascades_of_large_graphs_by_masks(spark, monkeypatch, far):
+    rows = [(i * far, (i * 7 + k) % 80 * far, "route_knn" if k < 5 else "tail_next_leg", 0.5) for i in range(80) for k in (1, 2, 5)]
+    df = spark.createDataFrame(rows, "src long, dst long, edge_type string, p double")
+    seeds = spark.createDataFrame([(f"s:{r}", (r * i) % 83 * far) for r in range(70) for i in (1, 3)], "run string, id long")  # more runs than a mask has bits; some seeds without an edge
+    take = lambda: sorted((r.run, r.id) for r in cascade.cascades(df, seeds).collect())
+    expected = take()
+    assert len(expected) > 1_000
+    monkeypatch.setattr(cascade, "_fits", lambda *a: False)
+    real = cascade._by_masks
+    for held in (cascade.HELD_EDGES, 0):
+        ways = []
+        monkeypatch.setattr(cascade, "HELD_EDGES", held)
+        monkeypatch.setattr(cascade, "_by_masks", lambda *a, f=real, w=ways: w.append(1) or f(*a))
+        assert take() == expected and ways
+
+
 def test_seeds_are_the_lowest_draws(spark):
     vertices = spark.createDataFrame([(i,) for i in range(500)], "id long")
     found = {}
