@@ -217,6 +217,32 @@ def test_similar_texts_are_found(spark, monkeypatch, limit):
     assert all(r.component_size == sizes[r.component_id] and r.component_id <= i for i, r in found.items())
 
 
+def test_long_lists_are_compared_whole(spark, monkeypatch):
+    """Pairs that share one posting list only, in which their words lie far apart."""
+    monkeypatch.setattr(simhash, "LIST_LIMIT", 8)
+    rng, rows = random.Random(4), []
+    far = lambda x, y: int.bit_count(int.from_bytes(x[:8]) ^ int.from_bytes(y[:8])) > simhash.WORD_BITS
+    while len(rows) < 120:
+        one, pair = bytearray(rng.randbytes(64)), len(rows) // 2
+        one[:8] = bytes(0 if p in simhash.TRIPLES[0] else rng.randrange(1, 256) for p in range(8))
+        other = bytearray(one)
+        for p in range(64):  # in the other words no three bytes are equal
+            if (p < 8 and p not in simhash.TRIPLES[0]) or (p >= 8 and p % 8 < 6):
+                other[p] ^= 0x80
+        if all(far(x, r[1]) for x in (one, other) for r in rows):  # no chance neighbours
+            rows += [(2 * pair, bytes(one), 2 * pair), (2 * pair + 1, bytes(other), 2 * pair + 1)]
+    distinct = spark.createDataFrame(rows, "node long, fp binary, least long")
+    texts = spark.createDataFrame([(r[0], "") for r in rows], "id long, text string")
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, "16")  # a list comes in several batches
+    try:
+        found = {(r.a, r.b) for r in simhash.similar_links(distinct, texts).collect()}
+    finally:
+        spark.conf.set(batch, before)
+    assert found == {(2 * pair, 2 * pair + 1) for pair in range(60)}
+
+
 def test_similar_on_odd_rows(odd, odd_rows, none):
     found = simhash.similar_components(odd).collect()
     assert len(found) == len(odd_rows)

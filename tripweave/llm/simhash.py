@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import collections
 import itertools
 import math
 from collections.abc import Callable, Iterator
@@ -284,6 +285,13 @@ def most_bits(similarity: float) -> int:
     return math.floor(64 * WIDE * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
+def _sizes(names: np.ndarray) -> np.ndarray:
+    """For each of ordered names how many times it is there."""
+    starts = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]])) if len(names) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(starts, len(names)))
+    return np.repeat(sizes, sizes)
+
+
 def _collapsed(names: np.ndarray, words: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Candidates (a, b) between rows of one name and word, each with the first of them, and which rows are first; rows are ordered by name and word."""
     first = np.concatenate([[True], (names[1:] != names[:-1]) | (words[1:] != words[:-1])]) if len(names) else np.zeros(0, bool)
@@ -292,37 +300,33 @@ def _collapsed(names: np.ndarray, words: np.ndarray, nodes: np.ndarray) -> tuple
 
 
 def _alike(names: np.ndarray, words: np.ndarray, nodes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidates (a, b) of whole posting lists by three bytes of a word: links that join what pairs join whose words are nearer than chance.
+    """Candidates (a, b) of whole posting lists by three bytes of a word, in which no word is twice: links that join what pairs join whose words are nearer than chance.
 
     A list gives less candidates than it has members, and each list starts from its least nodes, so the lists that a large group of like texts fills name mostly the same ones.
     """
-    a, b, first = _collapsed(names, words, nodes)
-    yield a, b
-    names, words, nodes = names[first], words[first], nodes[first]
     starts = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]])) if len(names) else np.zeros(0, np.int64)
     sizes = np.diff(np.append(starts, len(names)))
     two = starts[sizes == 2]
     two = two[np.bitwise_count(words[two] ^ words[two + 1]) <= WORD_BITS]
     yield nodes[two], nodes[two + 1]
     for k in np.flatnonzero(sizes > 2):
-        for at in range(starts[k], starts[k] + sizes[k], LIST_LIMIT):  # longer ones go in runs of like words
-            part = slice(at, min(at + LIST_LIMIT, starts[k] + sizes[k]))
-            order = np.argsort(nodes[part])
-            own, of = words[part][order], nodes[part][order]
-            left, a, b = np.arange(len(own)), [], []
-            while len(left) > 1:
-                reached, left = [left[0]], left[1:]
-                while reached and len(left):
-                    one = reached.pop(0)
-                    hit = np.bitwise_count(own[left] ^ own[one]) <= WORD_BITS
-                    if hit.any():
-                        found = left[hit]
-                        a += [one] * len(found)
-                        b += found.tolist()
-                        reached += found.tolist()
-                        left = left[~hit]
-            if a:
-                yield of[a], of[b]
+        part = slice(starts[k], starts[k] + sizes[k])
+        order = np.argsort(nodes[part])
+        own, of = words[part][order], nodes[part][order]
+        left, a, b = np.arange(len(own)), [], []
+        while len(left) > 1:
+            reached, left = collections.deque([left[0]]), left[1:]
+            while reached and len(left):
+                one = reached.popleft()
+                hit = np.bitwise_count(own[left] ^ own[one]) <= WORD_BITS
+                if hit.any():
+                    found = left[hit]
+                    a += [one] * len(found)
+                    b += found.tolist()
+                    reached += found.tolist()
+                    left = left[~hit]
+        if a:
+            yield of[a], of[b]
 
 
 def similar_links(distinct: DataFrame, texts: DataFrame, shingle_words: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -330,7 +334,7 @@ def similar_links(distinct: DataFrame, texts: DataFrame, shingle_words: int = SI
 
     The byte-position index of links(), for each of the WIDE words: a pair of similar texts shares three positional bytes that name a list in one word
     or another, and such lists are long only where texts are alike. In a list the words are compared (equal ones are linked to the first, others within WORD_BITS), and
-    every candidate is verified over all bits. Those that differ in SPREAD bits fewer than the similarity lets expect are similar beyond doubt, those with SPREAD
+    every candidate is verified over all bits. A list of more than LIST_LIMIT different words isn't held by a task: it is dealt into blocks, and every two blocks are compared in one. Those that differ in SPREAD bits fewer than the similarity lets expect are similar beyond doubt, those with SPREAD
     more aren't; in between the sets of shingles are compared, for which the texts of these candidates alone are read again. A pair at
     the limit is missed by all words in about one case of seven, a more similar one far more rarely; both are mostly joined by a third.
     """
@@ -346,18 +350,40 @@ def similar_links(distinct: DataFrame, texts: DataFrame, shingle_words: int = SI
                     yield pa.RecordBatch.from_arrays([pa.array(name), word, batch.column(0)], names=["name", "word", "node"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(a, b, null, null) of lists up to LIST_LIMIT different words, and (node, null, name, word) of the different words of longer ones."""
+        none = lambda n: pa.nulls(n, pa.int64())
+        names = ["a", "b", "name", "word"]
+        held, cut = [np.zeros(0, np.int64)] * 3, None
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                held = [np.concatenate([h, batch.column(k).to_numpy(zero_copy_only=False)]) for k, h in enumerate(held)]
+            a, b, first = _collapsed(*held)  # equal words are linked to the first of them, which alone stays
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), none(len(a)), none(len(a))], names=names)
+            held = [h[first] for h in held]
+            last = len(held[0]) if batch is None else int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+            whole, held = [h[:last] for h in held], [h[last:] for h in held]
+            size = _sizes(whole[0])
+            long = (size > LIST_LIMIT) | (whole[0] == cut) if cut is not None else size > LIST_LIMIT
+            for a, b in _alike(whole[0][~long], whole[1][~long].view(np.uint64), whole[2][~long]):
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), none(len(a)), none(len(a))], names=names)
+            name, word, node = (x[long] for x in whole)
+            if len(held[0]) > LIST_LIMIT or (len(held[0]) > 1 and held[0][0] == cut):  # goes on; its last word stays, as equal ones may follow
+                cut = held[0][0]
+                name, word, node = (np.concatenate([x, h[:-1]]) for x, h in zip((name, word, node), held, strict=True))
+                held = [h[-1:] for h in held]
+            if len(name):
+                yield pa.RecordBatch.from_arrays([pa.array(node), none(len(node)), pa.array(name), pa.array(word)], names=names)
+        release()
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Candidates of the squares of long lists; a square's rows come together and are as many as two blocks hold."""
         held = [np.zeros(0, np.int64)] * 3
         for batch in itertools.chain(batches, [None]):
             if batch is not None:
                 held = [np.concatenate([h, batch.column(k).to_numpy(zero_copy_only=False)]) for k, h in enumerate(held)]
             last = len(held[0]) if batch is None else int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
-            if not last and batch is not None and len(held[0]) > 8 * LIST_LIMIT:  # a list that goes on: its equal words give way to the first of them
-                a, b, first = _collapsed(held[0], held[1], held[2])
-                held = [h[first] for h in held]
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-                if len(held[0]) <= 8 * LIST_LIMIT:
-                    continue
-                last = len(held[0]) - LIST_LIMIT
             whole, held = [h[:last] for h in held], [h[last:] for h in held]
             for a, b in _alike(whole[0], whole[1].view(np.uint64), whole[2]):
                 if len(a):
@@ -379,7 +405,17 @@ def similar_links(distinct: DataFrame, texts: DataFrame, shingle_words: int = SI
 
     n = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     postings = distinct.select("node", "fp").mapInArrow(post, "name long, word long, node long")
-    found = postings.repartition(n, "name").sortWithinPartitions("name", "word", "node").mapInArrow(search, "a long, b long")
+    searched = postings.repartition(n, "name").sortWithinPartitions("name", "word", "node").mapInArrow(search, "a long, b long, name long, word long")
+    searched = written(searched, "searched")
+    found, long = searched.filter("b is not null").select("a", "b"), searched.filter("b is null")
+    if not long.isEmpty():
+        # Every two blocks of a long list, and with them every two of its words, are compared in a square.
+        lists = written(long.groupBy("name").agg(F.ceil(F.count("*") / (LIST_LIMIT // 2)).cast("int").alias("blocks")), "lists")
+        rows = long.join(lists, "name").withColumn("own", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        square = F.xxhash64("name", F.least("own", "other"), F.greatest("own", "other"))
+        squares = rows.select(square.alias("square"), "word", F.col("a").alias("node"))
+        found = found.union(squares.repartition(n, "square").sortWithinPartitions("square", "word", "node").mapInArrow(compare, "a long, b long"))
     found = written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
     found = written(_at_ends(found, distinct.select("node", "fp")).mapInArrow(verify, "a long, b long, sure boolean"), "verified")
     sure, open_ = found.filter("sure").select("a", "b"), found.filter("not sure").select("a", "b")
