@@ -233,6 +233,20 @@ def test_walks_in_tables_are_the_same(spark, monkeypatch, bias):
     assert take() == fast
 
 
+def test_walks_of_large_graphs_by_component(spark, monkeypatch):
+    edges = [(b + i, b + (i * 3 + k) % n, float(k)) for b, n in ((0, 9), (20, 4), (30, 14)) for i in range(n) for k in (1, 2, 4)]
+    g = Graph(spark.createDataFrame([(i,) for i in range(45)], "id long"), spark.createDataFrame(edges, "src long, dst long, weight double"))
+    take = lambda: sorted((r.walk, r.start, tuple(r.path)) for r in linkpred.walks(g, 6, 3).collect())
+    expected, tables = take(), []
+    monkeypatch.setattr(Graph, "small", lambda self, most=0: False)
+    monkeypatch.setattr(linkpred, "TASK_STEPS", 20)
+    monkeypatch.setattr(linkpred, "_walks_in_tables", lambda s, *a, f=linkpred._walks_in_tables: tables.append({r.id for r in s.collect()}) or f(s, *a))
+    assert take() == expected and not tables
+    monkeypatch.setattr(graph, "DENSE_VERTICES", 0)
+    monkeypatch.setattr(graph, "KERNEL_EDGES", 30)
+    assert take() == expected and tables == [set(range(30, 44))]
+
+
 def test_business(spark):
     trips = spark.createDataFrame(
         [("AA", "ATL", 10.0, 20.0, 0.0, 100.0)] * 2 + [("AA", "JFK", 5.0, -5.0, 0.0, 200.0), ("DL", "DEN", 0.0, 15.0, 0.0, 300.0), ("DL", "DEN", None, None, 1.0, 300.0), ("DL", "ATL", 3.0, 0.0, 0.0, 300.0)],
