@@ -229,6 +229,24 @@ def test_communities_are_the_same_at_every_size(spark, tables_only, case):
         assert c == min(own) and found == set(own)
 
 
+def test_communities_of_large_graphs_by_component(spark, monkeypatch):
+    sizes = ((0, 12, 1), (50, 9, 1), (70, 8, 5))
+    edges = sorted({(b + min(x, y), b + max(x, y)) for b, n, k in sizes for i in range(n) for x, y in [(i, (i * (4 * j + 3) + j) % n) for j in range(1, k + 1)] if x != y})
+    g, tables = make(spark, 80, edges), []
+    take = lambda g, runs=2: by_id(communities.leiden_cpm(g, 0.1, runs=runs), "community")
+    expected = take(g)
+    for b, n, _ in sizes:  # each component by itself
+        own = Graph(g.vertices.filter(F.col("id").between(b, b + n - 1)), g.edges.filter(F.col("src").between(b, b + n - 1)))
+        assert take(own) == {i: c for i, c in expected.items() if b <= i < b + n}
+    monkeypatch.setattr(Graph, "small", lambda self, most=0: False)
+    monkeypatch.setattr(communities, "_run_in_tables", lambda v, *a, f=communities._run_in_tables: tables.append(v.count()) or f(v, *a))
+    assert take(g) == expected and not tables
+    monkeypatch.setattr(graph, "DENSE_VERTICES", 0)
+    once = take(g, 1)
+    monkeypatch.setattr(graph, "KERNEL_EDGES", 14)
+    assert take(g, 1) == once and tables == [8]
+
+
 def test_curves(spark, tables_only):
     wheel = make(spark, 7, [(0, i) for i in range(1, 6)] + [(5, 6)])
     order = robustness.removal_order(wheel, "highest_degree")
