@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tripweave.config import Costs
-from tripweave.functions.draws import masks
+from tripweave.functions import draws
+from tripweave.functions.draws import live_bits, masks
 from tripweave.operators import business, cascade, graph, linkpred
 from tripweave.operators.graph import Graph
 
@@ -67,6 +68,15 @@ def test_draws_are_those_of_spark(spark):
         assert {e[:2] for e, m in zip(edges, found.tolist(), strict=True) if m >> k & 1} == live
 
 
+def test_only_wanted_draws_are_made(monkeypatch):
+    rows, p = pa.array([f"{i * 997}|{i}|route_knn" for i in range(300)]), np.arange(300) % 11 / 10
+    heads, wanted = ["42|7|", "42|click:13|", f"42|{'long' * 12}|"], (np.arange(300) % 8).astype(np.uint64)
+    expected, made = masks(heads, rows, p), []
+    monkeypatch.setattr(draws, "first_words", lambda w, n, f=draws.first_words: made.append(n) or f(w, n))
+    assert (live_bits(heads, rows, p, wanted) == (expected & wanted)).all()
+    assert sum(made) == sum(int(w) >> k & 1 for w in wanted for k in (0, 1))  # the third are of two blocks
+
+
 @pytest.mark.parametrize("far", [1, 10**15])
 def test_cascades_of_large_graphs_by_masks(spark, monkeypatch, far):
     rows = [(i * far, (i * 7 + k) % 80 * far, "route_knn" if k < 5 else "tail_next_leg", 0.5) for i in range(80) for k in (1, 2, 5)]
@@ -80,8 +90,10 @@ def test_cascades_of_large_graphs_by_masks(spark, monkeypatch, far):
     for held in (cascade.HELD_EDGES, 0):
         ways = []
         monkeypatch.setattr(cascade, "HELD_EDGES", held)
-        monkeypatch.setattr(cascade, "_by_masks", lambda *a, f=real, w=ways: w.append(1) or f(*a))
+        monkeypatch.setattr(cascade, "_by_masks", lambda *a, f=real, w=ways, **k: w.append(1) or f(*a, **k))
         assert take() == expected and ways
+        sizes = {r.run: r.n for r in cascade.run_sizes(df, seeds).collect()}
+        assert sizes == {run: sum(r == run for r, _ in expected) for run in {r for r, _ in expected}} and len(ways) == 2
 
 
 def test_seeds_are_the_lowest_draws(spark):
