@@ -234,6 +234,26 @@ def test_vectors_tell_who_walks_together(spark):
         assert inside > 0.2 + np.mean([like(i, j) for i in range(6) for j in range(6, 12)])
 
 
+def test_vectors_of_a_component_do_not_depend_on_others(spark):
+    ring = lambda a, n: [(a + i, a + (i + k) % n, 1.0) for i in range(n) for k in (1, 2)]
+
+    def learned(ids, edges):
+        g = Graph(spark.createDataFrame([(i,) for i in ids], "id long"), spark.createDataFrame(edges, "src long, dst long, weight double"))
+        return {r.id: r.embedding for r in linkpred.skip_gram(linkpred.walks(g, 8, 5), 5, 3, 2, rate=0.1).collect()}
+
+    both = learned(range(21), ring(0, 8) + ring(8, 12))  # 20 is alone
+    assert sorted(both) == list(range(21)) and all(len(x) == 5 for x in both.values())
+    assert {i: both[i] for i in range(8)} == learned(range(8), ring(0, 8)) and {i: both[i] for i in range(8, 20)} == learned(range(8, 20), ring(8, 12))
+
+
+def test_picker_finds_what_a_search_finds():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    odds, share = np.cumsum(rng.random(1000) ** 4), np.append(rng.random(100_000), 0.0)
+    assert (linkpred._picker(odds)(share) == np.searchsorted(odds, share * odds[-1], side="right")).all()
+
+
 @pytest.mark.parametrize("bias", [(1.0, 1.0), (0.5, 2.0)])
 def test_walks_in_tables_are_the_same(spark, monkeypatch, bias):
     edges = [(i, (i * 3 + k) % 9, float(k)) for i in range(9) for k in (1, 2, 4)] + [(2, 9, 5.0)]
