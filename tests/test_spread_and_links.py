@@ -96,6 +96,16 @@ def test_cascades_of_large_graphs_by_masks(spark, monkeypatch, far):
         assert sizes == {run: sum(r == run for r, _ in expected) for run in {r for r, _ in expected}} and len(ways) == 2
 
 
+def test_sizes_are_counted_without_rows(spark, monkeypatch):
+    df = spark.createDataFrame([(i, (i * 7 + k) % 80, "route_knn", 0.5) for i in range(80) for k in (1, 2, 5)], "src long, dst long, edge_type string, p double")
+    seeds = spark.createDataFrame([(r, (r * i) % 83) for r in range(6) for i in (1, 3)], "run long, id long")
+    spread = lambda x: sorted(map(tuple, x.collect()))
+    expected = spread(cascade.cascade_sizes(cascade.cascades(df, seeds), seeds, 80))
+    monkeypatch.setattr(cascade, "_fits", lambda *a: False)
+    monkeypatch.setattr(cascade, "cascades", None)
+    assert len(expected) == 6 and spread(cascade.counted_sizes(df, seeds, 80)) == expected
+
+
 def test_seeds_are_the_lowest_draws(spark):
     vertices = spark.createDataFrame([(i,) for i in range(500)], "id long")
     found = {}
