@@ -2,17 +2,21 @@ from __future__ import annotations
 
 import datetime as dt
 import hashlib
+import os
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tripweave.config import Costs
+from tripweave.config import Costs, Edges
 from tripweave.functions import draws
 from tripweave.functions.draws import live_bits, masks
-from tripweave.operators import business, cascade, graph, linkpred
+from tripweave.functions.keys import below, uniform
+from tripweave.operators import business, cascade, graph, linkpred, networks
 from tripweave.operators.graph import Graph
+from tripweave.sources import tables
+from tripweave.sources.shared import alone, written
 
 
 def test_cascade_against_search(spark):
@@ -319,3 +323,32 @@ def test_streamed_legs_match_the_batch(spark, tmp_path):
     edges = lambda df: sorted((r.src_id, r.dst_id, r.tail, r.ground_time_minutes) for r in df.collect())
     got = edges(spark.read.schema("src_id long, dst_id long, tail string, ground_time_minutes long").parquet(str(tmp_path / "out")))
     assert len(got) == 3 and got == edges(networks.tail_edges(spark.createDataFrame(first + late, schema)))
+
+
+def test_seeds_are_told_from_the_digest(spark):
+    rows = spark.range(3000).withColumn("id", F.when(F.col("id") > 5, F.col("id")))
+    draw = uniform(F.lit(42), F.lit("seed"), "id")
+    for limit in (-0.5, 0.0, 1 / 2**32, 0.013, 0.5, 1 - 2**-33, 1.0, 3.7):
+        assert rows.filter(below(limit, F.lit(42), F.lit("seed"), "id")).exceptAll(rows.filter(draw < limit)).isEmpty()
+        assert rows.filter(draw < limit).exceptAll(rows.filter(below(limit, F.lit(42), F.lit("seed"), "id"))).isEmpty()
+
+
+def test_tables_on_the_way_are_deleted(spark):
+    on_the_way = []
+
+    def make():
+        on_the_way.append(written(spark.range(9), "nine"))
+        return on_the_way[0].filter("id > 3")
+
+    assert sorted(r.id for r in alone(spark, "kept", make).collect()) == [4, 5, 6, 7, 8]
+    path = on_the_way[0].inputFiles()[0].removeprefix("file://")
+    assert not os.path.exists(path)
+
+
+def test_kinds_of_flight_edges(spark, sf_dir):
+    flights = tables.legs(spark, sf_dir).cache()
+    for settings in (Edges(), Edges(include_airport_transfer_knn=True), Edges(include_tail_sequence=False)):
+        wanted = networks.flight_edges(flights, settings).select("src_id", "dst_id", "edge_type")
+        found = networks.flight_edge_kinds(flights, settings)
+        assert found.exceptAll(wanted).isEmpty() and wanted.exceptAll(found).isEmpty() and not found.isEmpty()
+    flights.unpersist()
