@@ -352,3 +352,12 @@ def test_kinds_of_flight_edges(spark, sf_dir):
         found = networks.flight_edge_kinds(flights, settings)
         assert found.exceptAll(wanted).isEmpty() and wanted.exceptAll(found).isEmpty() and not found.isEmpty()
     flights.unpersist()
+
+
+def test_linked_on_either_side_of_the_size(spark, monkeypatch):
+    edges = spark.createDataFrame([(9, 4), (4, 9), (4, 7), (1, 1), (2, 3), (3, 8), (8, 2), (11, 20), (20, 30), (30, 7)], "src long, dst long")
+    expected = {(i, 4) for i in (4, 7, 9, 11, 20, 30)} | {(2, 2), (3, 2), (8, 2)}
+    assert {tuple(r) for r in graph.linked(edges).collect()} == expected
+    assert graph.linked(edges.limit(0)).isEmpty()
+    monkeypatch.setattr(graph, "KERNEL_EDGES", 1)
+    assert {tuple(r) for r in graph.linked(edges).collect()} == expected
