@@ -343,3 +343,21 @@ def test_random_orders_are_seeded(spark):
     a, b = (sorted(map(tuple, robustness.random_orders(g, 3).collect())) for _ in range(2))
     assert a == b and len(a) == 30
     assert robustness.sample_steps(10, 4) == [0, 2, 5, 7, 10]
+
+
+def test_betweenness_of_one_component_that_is_shared(spark, monkeypatch):
+    rng = random.Random(7)
+    crowd = {(a, b) for a in range(70) for b in range(70) if a != b and rng.random() < 0.08}  # dense, and large enough for a matrix of its own
+    sparse = {(100 + i, 100 + (i + k) % 120) for i in range(120) for k in (1, 3)} | {(225, 226), (226, 227)}
+    g = make(spark, 230, sorted(crowd | sparse))
+    arrays = [np.array(x) for x in zip(*sorted(crowd | sparse))]
+    expected = dict(enumerate(sum(graph._dependencies(v, *graph._adjacency(*arrays, 230)) for v in range(230))))
+    # As if the edges were more than KERNEL_EDGES: a component of fewer than SHARED_EDGES isn't searched in tables.
+    monkeypatch.setattr(Graph, "small", lambda self, most=10: self.edges.count() <= most)
+    monkeypatch.setattr(graph, "KERNEL_EDGES", 10)
+    monkeypatch.setattr(graph, "_betweenness_by_levels", None)
+    monkeypatch.setattr(graph, "in_parts", None)
+    assert by_id(graph.betweenness(g), "betweenness") == pytest.approx(expected) and expected[226] == 1
+    held = graph._searched(*arrays)
+    assert sorted((len(names), dense) for names, _, dense in held) == [(70, True), (123, False)]
+    assert [graph._dependencies_of(np.arange(230), held, batch).value.sum() for batch in (3, 512)] == pytest.approx([sum(expected.values())] * 2)
