@@ -361,3 +361,33 @@ def test_betweenness_of_one_component_that_is_shared(spark, monkeypatch):
     held = graph._searched(*arrays)
     assert sorted((len(names), dense) for names, _, dense in held) == [(70, True), (123, False)]
     assert [graph._dependencies_of(np.arange(230), held, batch).value.sum() for batch in (3, 512)] == pytest.approx([sum(expected.values())] * 2)
+
+
+def test_communities_of_one_component_that_is_shared(spark, monkeypatch):
+    edges = sorted({(min(x, y), max(x, y)) for i in range(40) for k in (1, 2, 5) for x, y in [(i, (i * 3 + k) % 40)] if x != y})
+    g = make(spark, 42, edges)
+    expected = by_id(communities.leiden_cpm(g, 0.1, runs=2), "community")
+    monkeypatch.setattr(Graph, "small", lambda self, most=10: self.edges.count() <= most)
+    monkeypatch.setattr(communities, "_best_in_parts", None)
+    assert by_id(communities.leiden_cpm(g, 0.1, runs=2), "community") == expected and len(set(expected.values())) < 42
+
+
+@pytest.mark.parametrize("weights", [(1.0, 2.0, 3.0), (0.25, 0.1, 1.5), (1.0, 0.0, -1.0)])
+def test_sums_around_vertices_are_kept_up(monkeypatch, weights):
+    rng = random.Random(2)
+    pairs = sorted({tuple(sorted(rng.sample(range(30), 2))) for _ in range(150)})
+    a, b = (np.array(x) for x in zip(*pairs))
+    w, now = np.array([rng.choice(weights) for _ in pairs]), np.arange(30)
+    for cells in (4_000_000, 90):
+        monkeypatch.setattr(communities, "CELLS", cells)
+        around = communities._Around(30, a, b, w)
+        for turn in range(25):
+            expected = {(v, int(now[v])): 0.0 for v in range(30)}
+            for x, y, z in zip(a.tolist(), b.tolist(), w.tolist()):
+                for v, u in ((x, y), (y, x)):
+                    expected[v, int(now[u])] = expected.get((v, int(now[u])), 0.0) + z
+            v, c, found = around.of(now)
+            assert list(zip(v.tolist(), c.tolist())) == sorted(expected) and found == pytest.approx([expected[k] for k in sorted(expected)])
+            now = now.copy()
+            for _ in range(8 if turn < 4 else 1):
+                now[rng.randrange(30)] = now[rng.randrange(30)]
