@@ -361,3 +361,22 @@ def test_linked_on_either_side_of_the_size(spark, monkeypatch):
     assert graph.linked(edges.limit(0)).isEmpty()
     monkeypatch.setattr(graph, "KERNEL_EDGES", 1)
     assert {tuple(r) for r in graph.linked(edges).collect()} == expected
+
+
+def test_edges_are_drawn_a_bounded_number_at_a_time(monkeypatch):
+    rng = np.random.default_rng(4)
+    src, dst = rng.integers(0, 40, (2, 900))
+    asked, dice = [], rng.integers(0, 1 << 20, 900).astype(np.uint64)
+
+    def live(at, bits):
+        asked.append(len(at))
+        return bits & dice[at]
+
+    take = lambda: cascade.flooded(src, dst, live, np.array([3, 5]), np.array([1023, 1 << 19], np.uint64), 40)
+    expected = take()
+    assert max(asked) > 300 and np.count_nonzero(expected) > 20
+    asked.clear()
+    monkeypatch.setattr(cascade, "DRAWN_AT_ONCE", 50)
+    most = np.bincount(src).max()
+    assert (take() == expected).all() and max(asked) <= 50 + most
+    assert (cascade.flooded(src, dst, dice, np.array([3, 5]), np.array([1023, 1 << 19], np.uint64), 40) == expected).all()
