@@ -380,3 +380,37 @@ def test_edges_are_drawn_a_bounded_number_at_a_time(monkeypatch):
     most = np.bincount(src).max()
     assert (take() == expected).all() and max(asked) <= 50 + most
     assert (cascade.flooded(src, dst, dice, np.array([3, 5]), np.array([1023, 1 << 19], np.uint64), 40) == expected).all()
+
+
+def test_walks_of_one_component_that_is_shared(spark, monkeypatch):
+    edges = [(i, (i * 3 + k) % 12, w) for i in range(12) for k, w in ((1, 1.0), (2, 3.0), (4, 2.0))] + [(2, 2**40, 5.0), (2**40, 3, 0.25), (2, 3, 4.0)]
+    g = Graph(spark.createDataFrame([(i,) for i in [*range(12), 2**40, 50]], "id long"), spark.createDataFrame(edges, "src long, dst long, weight double"))
+    take = lambda *bias: sorted((r.walk, r.start, tuple(r.path)) for r in linkpred.walks(g, 6, 3, *bias).collect())
+    arcs = g.edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    starts = g.vertices.crossJoin(spark.range(3).toDF("walk"))
+    monkeypatch.setattr(Graph, "small", lambda self, most=10: self.edges.count() <= most)
+    monkeypatch.setattr(linkpred, "_walks_in_parts", None)
+    for bias in ((1.0, 1.0), (0.5, 2.0)):
+        expected = sorted((r.walk, r.start, tuple(r.path)) for r in linkpred._walks_in_tables(starts, arcs, 6, *bias, 42).collect())
+        assert take(*bias) == expected and {2**40, 50} <= {x[1] for x in expected}
+    monkeypatch.setattr(linkpred, "PACKED_EDGES", 3)
+    assert take() == sorted((r.walk, r.start, tuple(r.path)) for r in linkpred._walks_in_tables(starts, arcs, 6, 1.0, 1.0, 42).collect())
+
+
+def test_no_starts_no_walks(spark):
+    nothing = spark.range(1).mapInPandas(lambda batches: (linkpred._walked({}, b.assign(walk=b.id)[:0], 5, 1.0, 1.0, 42) for b in batches), linkpred.WALKS)
+    assert nothing.collect() == []
+
+
+def test_steps_of_lines_that_tie(spark, tmp_path):
+    t = [dt.datetime(2024, 1, d) for d in (1, 2)]
+    lines = [(k % 3, 10 + k, 100 + (k * 7) % 5, 1, float(k % 2), float(k * 3 % 4), 0.0, 0.0, "N", "O", t[k % 2]) for k in range(24)]
+    schema = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
+    spark.createDataFrame(lines, schema).write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(0, 5), (1, 5), (2, 6)], "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    for key, place in (("l_suppkey", 2), ("l_partkey", 1)):
+        expected = []
+        for orders in ((0, 1), (2,)):
+            own = sorted((x for x in lines if x[0] in orders), key=lambda x: (x[10], x[0], x[3], x[1], x[2], *x[4:10]))
+            expected += [(a[place], b[place], 1) for a, b in zip(own, own[1:]) if a[place] != b[place]]
+        assert sorted(map(tuple, tables.steps(spark, str(tmp_path), key).collect())) == sorted(expected) and len(expected) > 10
